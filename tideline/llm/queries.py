@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .minhash import near_duplicates
+from .mixing import mix_sources
+from .sharding import shard_by_bytes
 from .substring_dedup import substring_dedup
+from .token_counts import token_counts
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,9 +46,90 @@ FROM d LEFT JOIN kept ON d.doc_id = kept.doc_id
 """
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    out = token_counts(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+    return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"))
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mix_sources(documents(spark, sf_dir), weights=(3, 1, 2), share=1.5, passes=2)
+    return out.select("doc_id", "size", "source_size", "target", "taken")
+
+
+OP5_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+         md5(coalesce(CAST(doc_id AS VARCHAR), 'null')) AS h FROM documents
+), s AS (
+  SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place FROM d GROUP BY source
+), w AS (
+  SELECT *, ([3.0, 1.0, 2.0])[place % 3 + 1]::DOUBLE AS weight, 2.0::DOUBLE * source_size AS cap, 1.5::DOUBLE * sum(source_size) OVER () AS budget FROM s
+), l AS (
+  SELECT *, cap / weight AS ratio,
+    (budget - coalesce(sum(cap) OVER (ORDER BY cap / weight, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0))
+      / sum(weight) OVER (ORDER BY cap / weight, place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w
+), t AS (
+  SELECT *, coalesce(least(cap, (SELECT arg_min(level, (ratio, place)) FROM l WHERE level <= ratio) * weight), cap) AS target FROM l
+), c AS (
+  SELECT doc_id, size, h, place, budget, source_size, target,
+    sum(size) OVER (PARTITION BY place ORDER BY h, doc_id ROWS UNBOUNDED PRECEDING)::BIGINT AS upto
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+), q AS (
+  SELECT doc_id, size, budget, sum(size) OVER (ORDER BY CASE WHEN target > 0 THEN (pass * source_size + upto) / target ELSE 2.0 END, place, pass, h, doc_id ROWS UNBOUNDED PRECEDING) AS run
+  FROM c, (VALUES (0), (1)) p(pass) WHERE size > 0
+), k AS (
+  SELECT doc_id, sum(size)::BIGINT AS taken FROM q WHERE run <= budget GROUP BY doc_id
+)
+SELECT c.doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken FROM c LEFT JOIN k ON k.doc_id = c.doc_id
+"""
+
+
+def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = near_duplicates(documents(spark, sf_dir), shingle_words=5, percent=75)
+    return out.select("doc_id", "n_shingles", "component_id", "kept")
+
+
+OP9_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), sh AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i+4], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM d WHERE len(w) > 0)
+), n AS (
+  SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id
+), links AS (
+  SELECT u, v FROM (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS c FROM sh a JOIN sh b USING (s) WHERE a.doc_id <> b.doc_id GROUP BY 1, 2)
+  JOIN n nu ON nu.doc_id = u JOIN n nv ON nv.doc_id = v WHERE 100 * c >= 75 * (nu.n + nv.n - c)
+), reach AS (
+  SELECT doc_id AS u, doc_id AS v FROM documents
+  UNION
+  SELECT reach.u, links.v FROM reach JOIN links ON links.u = reach.v
+)
+SELECT reach.u AS doc_id, CAST(coalesce(any_value(n.n), 0) AS BIGINT) AS n_shingles, min(v) AS component_id, reach.u = min(v) AS kept
+FROM reach LEFT JOIN n ON n.doc_id = reach.u GROUP BY reach.u
+"""
+
+
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = shard_by_bytes(documents(spark, sf_dir), shards=24)
+    return out.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
 def queries() -> dict:
-    return {"op1_substring_dedup": op1_substring_dedup}
+    return {
+        "op1_substring_dedup": op1_substring_dedup,
+        "op2_token_counts": op2_token_counts,
+        "op5_mixing": op5_mixing,
+        "op9_minhash_near_dedup": op9_minhash_near_dedup,
+        "op10_sharding": op10_sharding,
+    }
 
 
 def oracle_sql() -> dict:
-    return {"op1_substring_dedup": OP1_SQL}
+    return {"op1_substring_dedup": OP1_SQL, "op5_mixing": OP5_SQL, "op9_minhash_near_dedup": OP9_SQL}
