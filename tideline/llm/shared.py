@@ -32,6 +32,12 @@ def durable(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def let(value, body):
+    """body(value), with value computed once: an expression used inside a lambda, or by two others,
+    would be computed again each time."""
+    return F.transform(F.array(value), body)[0]
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
