@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .decontamination import decontaminate
+from .license_scan import scan_licenses
+from .license_texts import LICENSES, NOTICES, SPELLINGS
 from .minhash import near_duplicates
 from .mixing import mix_sources
 from .sharding import shard_by_bytes
@@ -53,6 +56,11 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return decontaminate(documents(spark, sf_dir), benchmark)
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mix_sources(documents(spark, sf_dir), weights=(3, 1, 2), share=1.5, passes=2)
     return out.select("doc_id", "size", "source_size", "target", "taken")
@@ -86,6 +94,46 @@ SELECT c.doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken
 """
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(documents(spark, sf_dir))
+
+
+def _sql_text(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+def _spelled_sql(x: str) -> str:
+    x = f"translate({x}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    x = rf"regexp_replace({x}, '(^|\n)[^a-z0-9\n]*(copyright|\(c\)|©)[ \t][^\n]*', '\1', 'g')"
+    for other, word in SPELLINGS:
+        x = f"replace({x}, {_sql_text(other)}, {_sql_text(word)})"
+    return x
+
+
+def _digest_sql(x: str) -> str:
+    return rf"sha256(trim(regexp_replace({x}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g')))"
+
+
+def op8_sql() -> str:
+    known = ", ".join(f"({_sql_text(n)}, '{k}', {_sql_text(t)})" for k, rows in (("text", LICENSES), ("line", NOTICES)) for n, t in rows)
+    return f"""
+WITH known AS (
+  SELECT kind, {_digest_sql(_spelled_sql("x"))} AS digest, min(license_id) AS license_id
+  FROM (VALUES {known}) v(license_id, kind, x) GROUP BY ALL
+), whole AS (
+  SELECT digest, min(license_id) AS license_id FROM known GROUP BY digest
+), d AS (
+  SELECT doc_id, {_spelled_sql("coalesce(text, '')")} AS s FROM documents
+), hits AS (
+  SELECT doc_id, count(*) AS n, string_agg(DISTINCT license_id, ',' ORDER BY license_id) AS notices
+  FROM (SELECT doc_id, {_digest_sql("line")} AS digest FROM (SELECT doc_id, unnest(string_split(s, chr(10))) AS line FROM d))
+  JOIN known USING (digest) WHERE kind = 'line' GROUP BY doc_id
+)
+SELECT d.doc_id, {_digest_sql("s")} AS text_digest, whole.license_id, CAST(coalesce(n, 0) AS BIGINT) AS n_notices, coalesce(notices, '') AS notices
+FROM d LEFT JOIN whole ON whole.digest = {_digest_sql("s")} LEFT JOIN hits ON hits.doc_id = d.doc_id
+"""
+
+
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_duplicates(documents(spark, sf_dir), shingle_words=5, percent=75)
     return out.select("doc_id", "n_shingles", "component_id", "kept")
@@ -125,11 +173,13 @@ def queries() -> dict:
     return {
         "op1_substring_dedup": op1_substring_dedup,
         "op2_token_counts": op2_token_counts,
+        "op3_decontamination": op3_decontamination,
         "op5_mixing": op5_mixing,
+        "op8_license_scan": op8_license_scan,
         "op9_minhash_near_dedup": op9_minhash_near_dedup,
         "op10_sharding": op10_sharding,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op1_substring_dedup": OP1_SQL, "op5_mixing": OP5_SQL, "op9_minhash_near_dedup": OP9_SQL}
+    return {"op1_substring_dedup": OP1_SQL, "op5_mixing": OP5_SQL, "op8_license_scan": op8_sql(), "op9_minhash_near_dedup": OP9_SQL}
