@@ -7,7 +7,7 @@ standard deviations under the threshold; what is left is confirmed on the full s
 texts. At similarity 0.75 a pair shares no bucket with probability 5e-6.
 
 Scale: equal sets count as one class before anything is paired. In every bucket members pair with one
-pivot, so pairs grow with members; each class confirms its best pivot, components are contracted,
+pivot, so pairs grow with members; each class confirms the pivot that it meets most, components are contracted,
 and this repeats with other pivots. Last, buckets that still hold several components are compared
 across components, without a cap, so no link between components is lost, whatever the pivots
 were. Hot buckets and hubs sit in joins that AQE can split, sums are pre-aggregated, and links,
@@ -175,15 +175,17 @@ def near_duplicates(
     links = roots = None
     for r in range(PIVOT_ROUNDS):
         if r == 0:
-            pairs = buckets.where("u <> v").select("u", "v").distinct()
+            met = buckets.where("u <> v").select("u", "v")
         else:
             members = durable(open_buckets(roots))
             first = F.min(F.struct(F.xxhash64(F.lit(r), "u").alias("k"), F.col("u").alias("v"), F.col("c").alias("d")))
             pivots = members.groupBy("b").agg(first.alias("p"))
-            pairs = members.join(pivots, "b").where("c <> p.d").select("u", F.col("p.v").alias("v")).distinct()
-        scored = pairs.join(sigs, "u").join(sigs.select(F.col("u").alias("v"), F.col("sig").alias("sig2")), "v")
-        scored = scored.select("u", "v", estimate("sig", "sig2").alias("e")).where(F.col("e") >= least)
-        best = scored.groupBy("u").agg(F.max(F.struct("e", "v")).alias("m")).select("u", F.col("m.v").alias("v"))
+            met = members.join(pivots, "b").where("c <> p.d").select("u", F.col("p.v").alias("v"))
+        # the pivot met in most buckets, one for each class
+        votes = met.groupBy("u", "v").agg(F.count("*").alias("n"))
+        best = votes.groupBy("u").agg(F.max(F.struct("n", "v")).alias("m")).select("u", F.col("m.v").alias("v"))
+        scored = best.join(sigs, "u").join(sigs.select(F.col("u").alias("v"), F.col("sig").alias("sig2")), "v")
+        best = scored.where(estimate("sig", "sig2") >= least).select("u", "v")
         found = confirmed(best)
         links = found if links is None else links.unionByName(found)
         roots = components(links)
