@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .decontamination import decontaminate
+from .language_id import identify_languages, train_language_id
 from .license_scan import scan_licenses
 from .license_texts import LICENSES, NOTICES, SPELLINGS
 from .minhash import near_duplicates
@@ -94,6 +95,18 @@ SELECT c.doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken
 """
 
 
+def held_out(modulus: int, rest: int):
+    """True for the documents whose crc32(doc_id as text) leaves this rest."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % modulus == rest
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = train_language_id(docs.where(~held_out(4, 2)))
+    out = identify_languages(docs, model)
+    return out.select("doc_id", held_out(4, 2).alias("held_out"), "lang_pred", "score", "accepted")
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(documents(spark, sf_dir))
 
@@ -175,6 +188,7 @@ def queries() -> dict:
         "op2_token_counts": op2_token_counts,
         "op3_decontamination": op3_decontamination,
         "op5_mixing": op5_mixing,
+        "op6_language_id": op6_language_id,
         "op8_license_scan": op8_license_scan,
         "op9_minhash_near_dedup": op9_minhash_near_dedup,
         "op10_sharding": op10_sharding,
