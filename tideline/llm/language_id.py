@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from . import textkit as tk
 
-BUCKETS, DIM, EPOCHS, BATCH, RATE = 1 << 15, 16, 12, 32, 4.0
+BUCKETS, DIM, STEPS, BATCH, RATE = 1 << 15, 16, 2000, 32, 4.0
 TRAIN_ROWS, FEATURES, REJECT = 1500, 1024, 0.0005
 GRAMS = (2, 3, 4)
 UNKNOWN = "und"
@@ -83,20 +83,18 @@ def fit(rows, seed=7):
         z = np.exp(z - z.max(axis=-1, keepdims=True))
         return z / z.sum(axis=-1, keepdims=True)
 
-    for epoch in range(EPOCHS):
-        rate = RATE * (1 - epoch / EPOCHS)
-        rng.shuffle(train)
-        for lo in range(0, len(train), BATCH):
-            part = train[lo : lo + BATCH]
-            h = np.stack([share[i] @ E[keys[i]] for i in part])
-            g = soft(h @ W + bias)
-            g[np.arange(len(part)), y[part]] -= 1
-            g /= len(part)
-            back = g @ W.T
-            W -= rate * (h.T @ g)
-            bias -= 0.1 * rate * g.sum(axis=0)
-            for row, i in enumerate(part):
-                E[keys[i]] -= rate * 8 * share[i][:, None] * back[row]
+    for step in range(STEPS):
+        rate = RATE * (1 - step / STEPS)
+        part = rng.choice(train, min(BATCH, len(train)), replace=False)
+        h = np.stack([share[i] @ E[keys[i]] for i in part])
+        g = soft(h @ W + bias)
+        g[np.arange(len(part)), y[part]] -= 1
+        g /= len(part)
+        back = g @ W.T
+        W -= rate * (h.T @ g)
+        bias -= 0.1 * rate * g.sum(axis=0)
+        for row, i in enumerate(part):
+            E[keys[i]] -= rate * 8 * share[i][:, None] * back[row]
     table = E @ W
     z = np.stack([share[i] @ table[keys[i]] for i in held]) + bias
     right = y[held]
@@ -110,42 +108,47 @@ def fit(rows, seed=7):
     return langs, table, bias, float(temperature), threshold
 
 
-def _predictor(model):
+def _judge(model, column):
+    """Language, score and acceptance of each text of an Arrow column."""
+    import regex
+
     langs, table, bias, temperature, threshold = model
-    table = np.ascontiguousarray(table, np.float32)
+    letter, n = regex.compile(r"\p{L}"), len(column)
+    known = np.array([bool(t and letter.search(t)) for t in column.to_pylist()], bool)
+    if not langs:
+        return np.array([UNKNOWN] * n, object), np.zeros(n), np.zeros(n, bool)
+    total, grams = np.zeros((n, len(langs))), np.zeros(n)
+    for lo, _, at, first, last in _grams(column):
+        hi = lo + len(first)
+        grams[lo:hi] += last - first
+        total[lo:hi] += _row_sums(table[at], first, last)
+    z = (total / np.maximum(grams, 1)[:, None] + bias) / temperature
+    z = np.exp(z - z.max(axis=1, keepdims=True))
+    p = z / z.sum(axis=1, keepdims=True)
+    score = np.where(known, np.clip(p.max(axis=1), 0, 1), 0.0)
+    return np.where(known, np.array(langs, object)[p.argmax(axis=1)], UNKNOWN), score, known & (score >= threshold)
 
-    def run(batches):
-        import regex
 
-        letter = regex.compile(r"\p{L}")
+def _predictor(model):
+    def run(batches):
         for batch in batches:
-            n = batch.num_rows
-            total, grams = np.zeros((n, len(langs))), np.zeros(n)
-            for lo, _, at, first, last in _grams(batch.column(0)):
-                hi = lo + len(first)
-                grams[lo:hi] += last - first
-                if langs:
-                    total[lo:hi] += _row_sums(table[at], first, last)
-            known = np.array([bool(letter.search(t)) if t else False for t in batch.column(0).to_pylist()], bool)
-            if langs:
-                z = (total / np.maximum(grams, 1)[:, None] + bias) / temperature
-                z = np.exp(z - z.max(axis=1, keepdims=True))
-                p = z / z.sum(axis=1, keepdims=True)
-                names = np.array(langs, object)[p.argmax(axis=1)]
-                score = p.max(axis=1)
-            else:
-                known[:] = False
-                names, score = np.array([UNKNOWN] * n, object), np.zeros(n)
-            names, score = np.where(known, names, UNKNOWN), np.where(known, score, 0.0)
-            accepted = known & (score >= threshold)
+            names, score, accepted = _judge(model, batch.column(0))
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[1:], pa.array(names, pa.string()), pa.array(np.clip(score, 0, 1)), pa.array(accepted)],
+                [*batch.columns[1:], pa.array(names, pa.string()), pa.array(score), pa.array(accepted)],
                 names=[*batch.schema.names[1:], "lang_pred", "score", "accepted"],
             )
 
     return run
 
 
+def _keeper(model, place):
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(_judge(model, batch.column(place))[2], pa.bool_()))
+
+    return run
+
+
 def train_language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang"):
     """The model, from rows with text, a language and an id; at most TRAIN_ROWS for each language,
     and no more than 200 languages, the commonest."""
@@ -171,3 +174,8 @@ def identify_languages(docs: DataFrame, model, id_col: str = "doc_id", text_col:
     kind = docs.schema[id_col].dataType.simpleString()
     out = docs.select(F.col(text_col).alias("x"), F.col(id_col).alias("doc_id"))
     return out.mapInArrow(_predictor(model), f"doc_id {kind}, lang_pred string, score double, accepted boolean")
+
+
+def keep_identified(docs: DataFrame, model, text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, whose text the model accepts; cases as in identify_languages."""
+    return docs.mapInArrow(_keeper(model, docs.columns.index(text_col)), docs.schema)

@@ -9,8 +9,10 @@ from .decontamination import decontaminate
 from .language_id import identify_languages, train_language_id
 from .license_scan import scan_licenses
 from .license_texts import LICENSES, NOTICES, SPELLINGS
+from .lm_scoring import score_documents
 from .minhash import near_duplicates
 from .mixing import mix_sources
+from .quality_rules import apply_rules
 from .sharding import shard_by_bytes
 from .substring_dedup import substring_dedup
 from .token_counts import token_counts
@@ -62,6 +64,11 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(documents(spark, sf_dir), benchmark)
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = score_documents(documents(spark, sf_dir), ~held_out(10, 0))
+    return out.select("doc_id", (~F.col("trained")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mix_sources(documents(spark, sf_dir), weights=(3, 1, 2), share=1.5, passes=2)
     return out.select("doc_id", "size", "source_size", "target", "taken")
@@ -107,6 +114,14 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out(4, 2).alias("held_out"), "lang_pred", "score", "accepted")
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    out = apply_rules(documents(spark, sf_dir), labels)
+    return out.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "broken"
+    )
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(documents(spark, sf_dir))
 
@@ -187,8 +202,10 @@ def queries() -> dict:
         "op1_substring_dedup": op1_substring_dedup,
         "op2_token_counts": op2_token_counts,
         "op3_decontamination": op3_decontamination,
+        "op4_lm_scoring": op4_lm_scoring,
         "op5_mixing": op5_mixing,
         "op6_language_id": op6_language_id,
+        "op7_quality_rules": op7_quality_rules,
         "op8_license_scan": op8_license_scan,
         "op9_minhash_near_dedup": op9_minhash_near_dedup,
         "op10_sharding": op10_sharding,
