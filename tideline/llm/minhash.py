@@ -2,7 +2,7 @@
 
 Each document's set of word shingles gives PERMS minima; bands of ROWS whole minima name
 candidate buckets, and the low BITS of every minimum are packed into longs, from which XOR and bit
-counts estimate similarity, corrected for chance collisions. Estimates only rule pairs out, at five
+counts estimate similarity, corrected for chance collisions. Estimates only rule pairs out, at SURE
 standard deviations under the threshold; what is left is confirmed on the full shingle sets of whole
 texts. At similarity 0.75 a pair shares no bucket with probability 5e-6.
 
@@ -23,9 +23,9 @@ from pyspark.sql import functions as F
 from . import textkit as tk
 from .shared import NULL_ID, components, durable
 
-PERMS, ROWS, BITS = 128, 4, 4
-BANDS, LONGS = PERMS // ROWS, PERMS * BITS // 64
-PIVOT_ROUNDS = 2
+PERMS, BITS, ROWS, BANDS = 512, 2, 4, 32
+LONGS = PERMS * BITS // 64
+PIVOT_ROUNDS, SURE = 2, 4.5
 _ODD = np.random.default_rng(977).integers(1, 1 << 63, PERMS, dtype=np.uint64) | np.uint64(1)
 
 
@@ -114,12 +114,13 @@ def _confirm(k, percent):
 
 def estimate(a: str, b: str):
     """Collision-corrected similarity of two packed signatures (array columns)."""
-    ones = int("1" * 16, 16)
+    ones = int(("0" * (BITS - 1) + "1") * (64 // BITS), 2)
     miss = None
     for j in range(LONGS):
         x = F.col(a)[j].bitwiseXOR(F.col(b)[j])
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseAND(F.lit(ones))
+        for k in range(1, BITS):  # a minimum differs if any of its bits does
+            x = x.bitwiseOR(F.shiftrightunsigned(F.col(a)[j].bitwiseXOR(F.col(b)[j]), k))
+        x = x.bitwiseAND(F.lit(ones))
         miss = F.bit_count(x) if miss is None else miss + F.bit_count(x)
     chance = 2.0**-BITS
     return (1 - miss / F.lit(float(PERMS)) - chance) / (1 - chance)
@@ -153,8 +154,8 @@ def near_duplicates(
     buckets = named.select("u", F.explode("bands").alias("b"))
     shared = buckets.groupBy("b").agg(F.count("*").alias("c"), F.min("u").alias("v")).where("c > 1").select("b", "v")
     buckets = durable(buckets.join(shared, "b"))
-    spread = (percent / 100 * (1 - percent / 100) / PERMS) ** 0.5 / (1 - 2.0**-BITS)
-    least = percent / 100 - 5 * spread
+    same = percent / 100 + (1 - percent / 100) * 2.0**-BITS
+    least = percent / 100 - SURE * (same * (1 - same) / PERMS) ** 0.5 / (1 - 2.0**-BITS)
 
     def confirmed(pairs):
         """pairs: u, v, distinct; those that are links on the full sets of whole texts."""
