@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from .shared import durable
 
-#: Pieces whose counts a task remembers before it starts afresh.
-REMEMBERED = 1 << 20
+#: Pieces whose counts a task remembers before it starts afresh; texts in hand at a time.
+REMEMBERED, STEP = 1 << 17, 64
 
 
 def file_digest(path: str) -> str:
@@ -66,18 +66,20 @@ def _encoder(path, pieces):
     def run(batches):
         count, known = load(), {}
         for batch in batches:
-            texts = batch.column(1).fill_null("").to_pylist()
-            if not pieces:
-                n = count(texts)
-            else:
-                n = []
-                for lo in range(0, len(texts), 256):
-                    split = [t.encode().split() for t in texts[lo : lo + 256]]
-                    new = list({w for words in split for w in words if w not in known})
-                    known.update(zip(new, count([w.decode() for w in new])))
-                    n += [sum(map(known.__getitem__, words)) for words in split]
-                    if len(known) > REMEMBERED:
-                        known.clear()
+            n = []
+            for lo in range(0, batch.num_rows, STEP):
+                texts = batch.column(1).slice(lo, STEP).fill_null("").to_pylist()
+                if not pieces:
+                    n += count(texts)
+                    continue
+                split = [t.encode().split() for t in texts]
+                new = list({w for words in split for w in words if w not in known})
+                for at in range(0, len(new), 4096):
+                    part = new[at : at + 4096]
+                    known.update(zip(part, count([w.decode() for w in part])))
+                n += [sum(map(known.__getitem__, words)) for words in split]
+                if len(known) > REMEMBERED:
+                    known.clear()
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64())], names=["digest", "n_tokens"])
 
     return run
