@@ -47,7 +47,7 @@ def _row_sums(values, first, last):
 
 
 def _count(batches):
-    """Arrow mapper: (text, lang) to hashed counts, whole texts."""
+    """Arrow mapper: (text, lang, order) to hashed counts, whole texts."""
     for batch in batches:
         keys, counts = [], []
         n = batch.num_rows
@@ -60,7 +60,9 @@ def _count(batches):
             top = np.sort(np.argsort(-c, kind="stable")[:FEATURES])
             keys.append(k[top].astype(np.int32))
             counts.append(c[top].astype(np.float32))
-        yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(keys, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.float32()))], names=["lang", "k", "c"])
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(1), batch.column(2), pa.array(keys, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.float32()))], names=["lang", "h", "k", "c"]
+        )
 
 
 def fit(rows, seed=7):
@@ -72,7 +74,7 @@ def fit(rows, seed=7):
     if not langs:
         return [], np.zeros((BUCKETS, 0)), np.zeros(0), 1.0, 0.0
     y = np.array([langs.index(r[0]) for r in rows])
-    share = [np.asarray(c, np.float64) / np.sum(c) for _, _, c in rows]
+    share = [np.asarray(c, np.float32) / np.float32(np.sum(c)) for _, _, c in rows]
     keys = [np.asarray(k) for _, k, _ in rows]
     order = rng.permutation(len(rows))
     held = order[: len(rows) // 5] if len(rows) >= 50 else order
@@ -160,9 +162,13 @@ def train_language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         odds = min(1.0, TRAIN_ROWS / r.n)
         bound = min(int((2 * odds - 1) * 2.0**63), 2**63 - 1)
         picks = picks | ((F.col(lang_col) == r.lang) & (F.xxhash64(F.col(id_col).cast("string"), F.lit("fit")) <= bound))
-    sample = rows.where(picks).select(F.col(text_col).alias("x"), F.col(lang_col).alias("lang"))
-    got = sample.mapInArrow(_count, "lang string, k array<int>, c array<float>").collect()
-    return fit(sorted((r.lang, tuple(r.k), tuple(r.c)) for r in got))
+    order = F.xxhash64(F.col(id_col).cast("string"), F.col(text_col))
+    sample = rows.where(picks).select(F.col(text_col).alias("x"), F.col(lang_col).alias("lang"), order.alias("h"))
+    got = sample.mapInArrow(_count, "lang string, h long, k array<int>, c array<float>").toArrow()
+    got = got.combine_chunks().sort_by([("lang", "ascending"), ("h", "ascending")])  # the same model whatever the partitions
+    k, c = got.column("k"), got.column("c")
+    parts = [(x.values.to_numpy(), y.values.to_numpy()) for x, y in zip(k, c)]
+    return fit([(lang, *p) for lang, p in zip(got.column("lang").to_pylist(), parts)])
 
 
 def identify_languages(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
