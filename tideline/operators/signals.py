@@ -89,7 +89,10 @@ def signals(bars: DataFrame, lag_offset: int = 0, names=SIGNALS) -> DataFrame:
     out |= {"flow_imbalance_fast": 2 * c("e_if") - 1, "flow_imbalance_slow": 2 * c("e_is") - 1}
     out |= {"flow_vwap_dev": (s.vwap(c("volume"), c("quote_volume"), c("close")) - c("close")) / F.greatest(c("close"), F.lit(s.EPS)) * 1e3}
     out |= {"flow_notional": s.log1p(c("quote_volume")) - 10, "micro_gap_density": c("e_gap")}
-    out |= {"micro_band_pos": s.clip((c("close") - c("e_lo")) / F.greatest(c("e_hi") - c("e_lo"), F.lit(s.EPS)), -3, 4) - 0.5}
+    # a flat band has position 0 (exactly: rounding noise over rounding noise says nothing)
+    band = c("e_hi") - c("e_lo")
+    place = F.when(band > 1e-9, (c("close") - c("e_lo")) / F.greatest(band, F.lit(s.EPS))).otherwise(0.0)
+    out |= {"micro_band_pos": s.clip(place, -3, 4) - 0.5}
     for label, period in (("tod", 86400), ("dow", 604800)):
         out |= {f"clock_{label}_sin": s.phase(c("ts"), period, F.sin), f"clock_{label}_cos": s.phase(c("ts"), period, F.cos)}
     return d.select("series", "ts", "row", "close", *[s.finite(out[n]).alias(n) for n in names])

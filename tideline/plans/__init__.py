@@ -1,6 +1,6 @@
 """Query plans of the time-series engine, by name, and their SQL."""
 
-from . import catalogue
+from . import catalogue, streams  # noqa: F401  streams adds its queries to the catalogue
 
 
 def queries() -> dict:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as s
-from ..operators import codec, grid, labels, stability, windows
+from ..operators import codec, grid, labels, mlp, stability, windows
 from ..operators.ema import ema
 from ..operators.normalise import normalise
 from ..operators.signals import SIGNALS, returns, signals
@@ -63,13 +63,13 @@ def q_grid_minutes(spark, sf_dir):
 LO, HI = 1704412800, 1705017600
 
 
-@query(sql.query(f"SELECT series, ts, round(close, 6) AS close FROM bars WHERE ts >= {LO} AND ts < {HI}", sql.TICKS, sql.bars()))
+@query(sql.query(f"SELECT series, ts, round(close, 6) + 0.0 AS close FROM bars WHERE ts >= {LO} AND ts < {HI}", sql.TICKS, sql.bars()))
 def q_range_scan(spark, sf_dir):
     out = tables.time_range(tables.event_bars(spark, sf_dir, G), LO, HI)
     return rounded(out.select("series", "ts", "close"), ["close"])
 
 
-@query(sql.query(f"SELECT series, ts, round(close, 6) AS close FROM bars WHERE ts >= {LO} - 48 * 3600 AND ts < {LO}", sql.TICKS, sql.bars()))
+@query(sql.query(f"SELECT series, ts, round(close, 6) + 0.0 AS close FROM bars WHERE ts >= {LO} - 48 * 3600 AND ts < {LO}", sql.TICKS, sql.bars()))
 def q_history_before(spark, sf_dir):
     out = tables.history_before(tables.event_bars(spark, sf_dir, G), LO, 48, G)
     return rounded(out.select("series", "ts", "close"), ["close"])
@@ -140,7 +140,7 @@ DECODED = """dec AS (SELECT *, sum(close_delta) OVER (PARTITION BY series ORDER
 @query(
     sql.query(
         """SELECT series, ts, row, round((c + open_off) / 100.0, 6)::DOUBLE AS open, round((c + high_off) / 100.0, 6)::DOUBLE AS high, round((c + low_off) / 100.0, 6)::DOUBLE AS low,
-  round(c / 100.0, 6)::DOUBLE AS close, round(v, 6) AS volume, round(v * (c / 100.0::DOUBLE + vwap_off / 100.0::DOUBLE), 4) AS quote_volume,
+  round(c / 100.0, 6)::DOUBLE AS close, round(v, 6) + 0.0 AS volume, round(v * (c / 100.0::DOUBLE + vwap_off / 100.0::DOUBLE), 4) AS quote_volume,
   CAST(trades_u16 AS BIGINT) AS trades, round(v * tb_ratio_u8 / 255, 6) AS taker_buy_base, gap FROM dec""",
         sql.BASE,
         CODED,
@@ -208,7 +208,7 @@ def q_lag_returns_literal(spark, sf_dir):
 
 @query(
     sql.query(
-        "SELECT series, ts, round(y20, 6) AS y20, round(y300, 6) AS y300 FROM e",
+        "SELECT series, ts, round(y20, 6) + 0.0 AS y20, round(y300, 6) + 0.0 AS y300 FROM e",
         sql.BASE,
         sql.ema("e", [("y20", "close", 20, "0.0"), ("y300", "close", 300, "close")], "grid"),
         recursive=True,
@@ -221,7 +221,7 @@ def q_ema(spark, sf_dir):
 
 @query(
     sql.query(
-        "SELECT ts, round(y60, 6) AS y60, round(y7200, 6) AS y7200 FROM e",
+        "SELECT ts, round(y60, 6) + 0.0 AS y60, round(y7200, 6) + 0.0 AS y7200 FROM e",
         sql.TICKS,
         GLOBAL,
         sql.bars(60, "ticks1"),
@@ -307,7 +307,7 @@ def scored_rows(d):
     return d.join(last, "series").where(((F.col("window_id") + 1) * W <= F.col("n")) & F.col("target").isNotNull()).drop("n")
 
 
-@query(sql.query("SELECT series, ts, round(future_price, 6) AS future_price, round(target, 6) AS target FROM lab", sql.FORECASTS))
+@query(sql.query("SELECT series, ts, round(future_price, 6) + 0.0 AS future_price, round(target, 6) + 0.0 AS target FROM lab", sql.FORECASTS))
 def q_label_join(spark, sf_dir):
     return rounded(labelled(spark, sf_dir).select("series", "ts", "future_price", "target"), ["future_price", "target"])
 
@@ -339,7 +339,7 @@ RUN_INPUT = "wr AS (SELECT series, window_id AS row, mae, direction_acc FROM wm)
 
 @query(
     sql.query(
-        """SELECT series, row AS window_id, round(ema_mae, 6) AS ema_mae, round(ema_direction, 6) AS ema_direction,
+        """SELECT series, row AS window_id, round(ema_mae, 6) + 0.0 AS ema_mae, round(ema_direction, 6) + 0.0 AS ema_direction,
   round(min(ema_mae) OVER w, 6) AS best_ema_mae, round(max(ema_direction) OVER w, 6) AS best_ema_direction FROM e WINDOW w AS (PARTITION BY series ORDER BY row)""",
         sql.FORECASTS,
         sql.metrics("full_w"),
@@ -362,7 +362,7 @@ def q_lane_mean(spark, sf_dir):
     return m.groupBy("window_id").agg(F.count("*").alias("lanes"), *[F.round(F.avg(c), 6).alias(c) for c in ("mae", "band_accuracy", "skill_vs_naive")])
 
 
-@query(sql.query("SELECT series, ts, round(mu_smooth, 6) AS mu_smooth, clipped FROM st", sql.FORECASTS, sql.stability(), recursive=True))
+@query(sql.query("SELECT series, ts, round(mu_smooth, 6) + 0.0 AS mu_smooth, clipped FROM st", sql.FORECASTS, sql.stability(), recursive=True))
 def q_stability(spark, sf_dir):
     f = forecasts(spark, sf_dir)
     d = f.select("series", "row", "ts").join(stability.stabilise(f, ["series"]), ["series", "row"])
@@ -439,7 +439,7 @@ def q_shards(spark, sf_dir):
     return d.groupBy("series", "rank").agg(F.count("*").alias("n"))
 
 
-@query(sql.query("SELECT series, ts, round(close, 6) AS close FROM grid WHERE row % 8 = 0", sql.BASE))
+@query(sql.query("SELECT series, ts, round(close, 6) + 0.0 AS close FROM grid WHERE row % 8 = 0", sql.BASE))
 def q_thin(spark, sf_dir):
     return rounded(windows.thin(tables.event_grid(spark, sf_dir), 8).select("series", "ts", "close"), ["close"])
 
@@ -450,7 +450,7 @@ def q_last_n(spark, sf_dir):
     return d.select("series", "ts", "window_id")
 
 
-@query(sql.query("SELECT series, window_id, round(mae, 6) AS mae FROM (SELECT *, row_number() OVER (PARTITION BY series ORDER BY mae, window_id) AS k FROM wm) WHERE k <= 5", sql.FORECASTS, sql.metrics("full_w")))
+@query(sql.query("SELECT series, window_id, round(mae, 6) + 0.0 AS mae FROM (SELECT *, row_number() OVER (PARTITION BY series ORDER BY mae, window_id) AS k FROM wm) WHERE k <= 5", sql.FORECASTS, sql.metrics("full_w")))
 def q_topk(spark, sf_dir):
     m = labels.window_metrics(scored_rows(labelled(spark, sf_dir)), ["series", "window_id"])
     w = Window.partitionBy("series").orderBy("mae", "window_id")
@@ -489,14 +489,14 @@ def q_report_latest(spark, sf_dir):
 
 @query(
     sql.query(
-        "SELECT ts, round(close, 6) AS price_now, round(close * exp(mu / 1000), 6) AS pred_price, round(future_price, 6) AS true_future_price, round(abs(close * exp(mu / 1000) - future_price) / future_price * 10000, 4) AS err_bps FROM lab WHERE series = (SELECT max(series) FROM lab) ORDER BY ts LIMIT 20000",
+        "SELECT ts, round(close, 6) + 0.0 AS price_now, round(close * exp(mu / 1000), 6) AS pred_price, round(future_price, 6) + 0.0 AS true_future_price, round(abs(close * exp(mu / 1000) - future_price) / future_price * 10000, 4) AS err_bps FROM lab WHERE series = (SELECT max(series) FROM lab) ORDER BY ts LIMIT 20000",
         sql.FORECASTS,
     )
 )
 def q_actual_vs_pred(spark, sf_dir):
     labelled(spark, sf_dir).createOrReplaceTempView("tideline_tape")
     return spark.sql(
-        """SELECT ts, round(close, 6) AS price_now, round(close * exp(mu / 1000), 6) AS pred_price, round(future_price, 6) AS true_future_price,
+        """SELECT ts, round(close, 6) + 0.0 AS price_now, round(close * exp(mu / 1000), 6) AS pred_price, round(future_price, 6) + 0.0 AS true_future_price,
              round(abs(close * exp(mu / 1000) - future_price) / future_price * 10000, 4) AS err_bps
            FROM tideline_tape WHERE series = (SELECT max(series) FROM tideline_tape) ORDER BY ts LIMIT 20000"""
     )
@@ -521,7 +521,7 @@ def q_concat_parts(spark, sf_dir):
 
 @query(
     sql.query(
-        "SELECT series, ts, round(mu, 6) AS mu, round(CASE WHEN row % 2 = 0 THEN target END, 6) AS target FROM lab",
+        "SELECT series, ts, round(mu, 6) + 0.0 AS mu, round(CASE WHEN row % 2 = 0 THEN target END, 6) AS target FROM lab",
         sql.FORECASTS,
     )
 )
@@ -549,7 +549,7 @@ def q_loss_terms(spark, sf_dir):
     return rounded(labels.loss_terms(scored_rows(labelled(spark, sf_dir)), ["series", "window_id"]), names)
 
 
-@query(sql.query("SELECT series, ts, round(mu, 6) AS mu, round(sigma, 6) AS sigma FROM fc", sql.FORECASTS))
+@query(sql.query("SELECT series, ts, round(mu, 6) + 0.0 AS mu, round(sigma, 6) + 0.0 AS sigma FROM fc", sql.FORECASTS))
 def q_linear_forecast(spark, sf_dir):
     return rounded(forecasts(spark, sf_dir).select("series", "ts", "mu", "sigma"), ["mu", "sigma"])
 
@@ -578,3 +578,12 @@ def q_order_bars(spark, sf_dir):
     t = o.select(F.col("o_orderpriority").alias("series"), (F.floor(F.unix_micros(F.col("o_orderdate").cast("timestamp")) / 86_400_000_000) * 86_400_000_000).cast("long").alias("us"), F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("price"), F.lit(1.0).alias("volume"), F.lit(0.0).alias("taker"))
     d = grid.bars_from_ticks(t, 86400)
     return rounded(d.select("series", F.floor(F.col("ts") / 86400).alias("day"), *grid.PRICES, "trades"), grid.PRICES)
+
+
+@query(None)
+def q_mlp_train(spark, sf_dir):
+    """Ten steps of the network on scaled returns, a lane for each series: the loss of every step."""
+    d = labels.with_labels(returns(tables.event_grid(spark, sf_dir), (1, 5)), 1).where(F.col("target").isNotNull())
+    d = d.select("series", "row", (F.col("mom_ret1") / 1000).alias("a"), (F.col("mom_ret5") / 1000).alias("b"), (F.col("target") / 1000).alias("target"))
+    _, losses = mlp.train(d, ["a", "b"], "series", "row", steps=10, rate=0.02)
+    return spark.createDataFrame([(k, float(x)) for k, x in enumerate(losses)], "step long, loss double")

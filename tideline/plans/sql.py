@@ -99,7 +99,7 @@ SIGNALS = {
     "flow_vwap_dev": "(vwap - close) / greatest(close, 1e-12) * 1e3",
     "flow_notional": "ln(1 + quote_volume) - 10",
     "micro_gap_density": "e_gap",
-    "micro_band_pos": "least(greatest((close - e_lo) / greatest(e_hi - e_lo, 1e-12), -3), 4) - 0.5",
+    "micro_band_pos": "CASE WHEN e_hi - e_lo > 1e-9 THEN least(greatest((close - e_lo) / greatest(e_hi - e_lo, 1e-12), -3), 4) ELSE 0 END - 0.5",
     **{f"clock_{c}_{f}": f"{f}(2 * pi() * (ts % {p}) / {p})" for c, p in (("tod", 86400), ("dow", 604800)) for f in ("sin", "cos")},
 }
 
