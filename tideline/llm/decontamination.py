@@ -29,7 +29,7 @@ UNITS = (
 def valued(text: Column) -> Column:
     """The text with slots written as #n=3_5, #u=km and #p=smith, lower-cased otherwise."""
     t = F.translate(text, "#=_", "   ")
-    t = F.regexp_replace(t, r"\p{Lu}(?<=[^.!?:;\x22\s] .)[\p{L}\p{M}]*", "#p=$0")
+    t = F.regexp_replace(t, r"\p{Lu}(?<=[^.!?:;\x22\s] .)(?=\p{Ll})[\p{L}\p{M}]*", "#p=$0")
     t = F.regexp_replace(F.lower(t), r"(?<=[0-9])[.,](?=[0-9])", "_")
     t = F.regexp_replace(t, r"([0-9][0-9_]*)[ \x2D]?(" + "|".join(sorted(UNITS, key=len, reverse=True)) + r")(?![\p{L}\p{N}])", " #n=$1 #u=$2 ")
     t = F.regexp_replace(t, r"%", "pct")
@@ -66,7 +66,8 @@ def decontaminate(
     """Leaks, a row for each document (id and text) and item: doc_id, text_crc32, item_id,
     matched_windows, item_windows, slots, verbatim (no slot has another value).
 
-    A leak aligns at least LEAK_WORDS words with the item, or all windows of a shorter item; windows of the
+    A leak aligns at least LEAK_WORDS words with the item, or, for a shorter item, all its windows but one
+    (its first word is taken for a name where it follows on a sentence); windows of the
     item with slots in over half of their words are no evidence. Defined cases: null or wordless texts
     match nothing; items of fewer than WINDOW words match only a document that has these words alone;
     equal rows give one result; a null id is reported as null; empty tables give an empty result;
@@ -84,7 +85,7 @@ def decontaminate(
     small = probes.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS
     met = each.join(F.broadcast(probes) if small else probes, "w")
     aligned = met.groupBy("i", "t", "item", (F.col("pos") - F.col("at")).alias("shift")).agg(F.collect_set("at").alias("ats"))
-    need = F.least(F.lit(LEAK_WORDS - WINDOW + 1), F.col("item_windows"))
+    need = F.least(F.lit(LEAK_WORDS - WINDOW + 1), F.greatest(F.lit(1), F.col("item_windows") - 1))
     aligned = durable(aligned.join(known, "item").where(F.size("ats") >= need))
 
     hit = aligned.select("i", "t").distinct()
