@@ -73,8 +73,8 @@ def mix_sources(
     targets = source_targets(slices.groupBy("source").agg(F.sum("s").alias("source_size")), weights, share, passes)
     t = durable(targets)
     told = sums.alias("a").join(t.alias("b"), F.expr("a.source <=> b.source")).select("a.slice", "a.before", "b.*")
-    order = ["h", F.coalesce("doc_id", F.lit(NULL_ID)), "size", "text_crc32"]
-    inside = Window.partitionBy("r.source", "r.slice").orderBy(*[F.col(f"r.{c}") if isinstance(c, str) else F.coalesce("r.doc_id", F.lit(NULL_ID)) for c in order]).rowsBetween(Window.unboundedPreceding, 0)
+    order = [F.col("r.h"), F.coalesce("r.doc_id", F.lit(NULL_ID)), F.col("r.size"), F.col("r.text_crc32")]
+    inside = Window.partitionBy("r.source", "r.slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     placed = rows.alias("r").join(told.alias("t"), F.expr("r.source <=> t.source AND r.slice = t.slice"))
     placed = placed.select(
         "r.doc_id", "r.source", "r.size", "r.text_crc32", "r.h", "t.source_size", "t.place", "t.target", "t.budget",
