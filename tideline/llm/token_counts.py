@@ -11,6 +11,8 @@ force. Encoding works on a task's distinct pieces between white space, which no
 from __future__ import annotations
 
 import hashlib
+import sys
+import types
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -18,8 +20,8 @@ from pyspark.sql import functions as F
 
 from .shared import durable
 
-#: Pieces whose counts a task remembers before it starts afresh; texts in hand at a time.
-REMEMBERED, STEP = 1 << 17, 64
+#: Pieces whose counts a worker remembers before it starts afresh; texts in hand at a time.
+REMEMBERED, STEP = 1 << 19, 64
 
 
 def file_digest(path: str) -> str:
@@ -44,7 +46,7 @@ def _piecewise(path):
     )
 
 
-def _encoder(path, pieces):
+def _encoder(path, version, pieces):
     """Arrow mapper: (digest, text) to (digest, n_tokens)."""
 
     def load():
@@ -64,7 +66,11 @@ def _encoder(path, pieces):
         return lambda texts: [len(x) for x in model.encode_batch_fast(texts, add_special_tokens=False)]
 
     def run(batches):
-        count, known = load(), {}
+        # Workers serve many tasks: the tokenizer and the pieces stay for the next one.
+        kept = sys.modules.setdefault("tideline_worker", types.ModuleType("tideline_worker")).__dict__
+        if kept.get("version") != version:
+            kept.update(version=version, count=load(), known={})
+        count, known = kept["count"], kept["known"]
         for batch in batches:
             n = []
             for lo in range(0, batch.num_rows, STEP):
@@ -121,7 +127,7 @@ def token_counts(
     texts = docs.select(digest.alias("digest"), F.col(id_col).alias("r"), normal.alias("x"))
     on = (texts.digest == misses.digest) & texts.r.eqNullSafe(misses.r)
     one = texts.join(misses.hint("shuffle_hash"), on, "left_semi").select("digest", "x")
-    fresh = durable(one.mapInArrow(_encoder(tokenizer_path, pieces), "digest binary, n_tokens long").dropDuplicates(["digest"]))
+    fresh = durable(one.mapInArrow(_encoder(tokenizer_path, version, pieces), "digest binary, n_tokens long").dropDuplicates(["digest"]))
     if cache_path is not None:
         fresh.select("digest", "n_tokens", F.lit(version).alias("tokenizer")).write.mode("append").parquet(cache_path)
     counts = fresh if cached is None else fresh.unionByName(cached.dropDuplicates(["digest"]))
