@@ -9,6 +9,8 @@ broadcast joins with the known table, which is a constant of the release and who
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,10 +64,12 @@ def scan_licenses(docs: DataFrame, known: DataFrame | None = None, id_col: str =
         lambda s: F.struct(digest(bare(s)).alias("whole"), F.transform(F.split(s, "\n"), lambda x: digest(bare(x))).alias("lines")),
     )
     base = docs.select(F.col(id_col).alias("doc_id"), digests.alias("d"))
-    table = known.where("kind = 'line'").agg(F.map_from_entries(F.collect_list(F.struct("digest", "license_id"))).alias("m"))
-    rows = base.join(F.broadcast(table))
-    hits = F.filter(F.transform("d.lines", lambda x: F.col("m")[x]), lambda x: x.isNotNull())
-    rows = rows.select("doc_id", F.col("d.whole").alias("text_digest"), hits.alias("hits"))
+    lines = known.where("kind = 'line'").limit(MOST_KNOWN + 1).collect()
+    if len(lines) > MOST_KNOWN:
+        raise ValueError(f"more than {MOST_KNOWN} known notices")
+    table = F.from_json(F.lit(json.dumps({r.digest: r.license_id for r in lines})), "map<string, string>")
+    hits = F.filter(F.transform("d.lines", lambda x: table[x]), lambda x: x.isNotNull())
+    rows = base.select("doc_id", F.col("d.whole").alias("text_digest"), hits.alias("hits"))
     return rows.join(F.broadcast(whole), "text_digest", "left").select(
         "doc_id",
         "text_digest",
