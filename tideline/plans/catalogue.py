@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as s
-from ..operators import codec, grid, labels, mlp, stability, windows
+from ..operators import codec, grid, labels, mlp, stability, views, windows
 from ..operators.ema import ema
 from ..operators.normalise import normalise
 from ..operators.signals import SIGNALS, returns, signals
@@ -580,6 +580,37 @@ def q_order_bars(spark, sf_dir):
     return rounded(d.select("series", F.floor(F.col("ts") / 86400).alias("day"), *grid.PRICES, "trades"), grid.PRICES)
 
 
+VIEW = """SELECT series, ts, round(close, 6) + 0.0 AS close, ts + 86400 AS due_ts, round(close * exp(mu / 1000), 6) + 0.0 AS pred_price,
+  round(close * exp(mu / 1000) - close * (exp(sigma / 1000) - 1), 6) + 0.0 AS lo, round(close * exp(mu / 1000) + close * (exp(sigma / 1000) - 1), 6) + 0.0 AS hi,
+  round(mu - target, 6) + 0.0 AS error_permille FROM (SELECT *, max(row) OVER (PARTITION BY series) AS top FROM lab) WHERE row > top - 72"""
+
+
+@query(sql.query(VIEW, sql.FORECASTS))
+def q_view_trailing(spark, sf_dir):
+    return rounded(views.trailing(labelled(spark, sf_dir), 72, H * G), ["close", "pred_price", "lo", "hi", "error_permille"])
+
+
+@query(
+    sql.query(
+        "SELECT series, row AS window_id, round(mae, 6) + 0.0 AS mae, round(ema_mae, 6) + 0.0 AS ema_mae, round(lo, 6) + 0.0 AS lo_mae, round(hi, 6) + 0.0 AS hi_mae FROM e JOIN (SELECT series, quantile_cont(mae, 0.01) AS lo, quantile_cont(mae, 0.99) AS hi FROM wr GROUP BY 1) USING (series)",
+        sql.FORECASTS,
+        sql.metrics("full_w"),
+        RUN_INPUT,
+        sql.ema("e", [("ema_mae", "mae", 40, "mae")], "wr"),
+        recursive=True,
+    )
+)
+def q_metric_curves(spark, sf_dir):
+    m = labels.window_metrics(scored_rows(labelled(spark, sf_dir)), ["series", "window_id"]).withColumnRenamed("window_id", "row")
+    names = ["mae", "ema_mae", "lo_mae", "hi_mae"]
+    return rounded(views.curves(m, ["mae"]).withColumnRenamed("row", "window_id"), names).select("series", "window_id", *names)
+
+
+@query(sql.query("SELECT series, count(*) AS n_points FROM grid JOIN (SELECT series, count(*) AS n FROM grid GROUP BY 1) USING (series) WHERE row % CAST(greatest(1, ceil(n / 100.0)) AS BIGINT) = 0 GROUP BY 1", sql.BASE))
+def q_payload(spark, sf_dir):
+    return views.payload(tables.event_grid(spark, sf_dir), ["close"], 100).select("series", "n_points")
+
+
 @query(None)
 def q_mlp_train(spark, sf_dir):
     """Ten steps of the network on scaled returns, a lane for each series: the loss of every step."""
