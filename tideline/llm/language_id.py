@@ -49,20 +49,16 @@ def _row_sums(values, first, last):
 def _count(batches):
     """Arrow mapper: (text, lang, order) to hashed counts, whole texts."""
     for batch in batches:
-        keys, counts = [], []
-        n = batch.num_rows
-        held = [[] for _ in range(n)]
+        packed = []
+        held = [[] for _ in range(batch.num_rows)]
         for lo, _, at, first, last in _grams(batch.column(0)):
             for r, (a, b) in enumerate(zip(first.tolist(), last.tolist())):
                 held[lo + r].append(at[a:b])
         for parts in held:
             k, c = np.unique(np.concatenate(parts) if parts else np.zeros(0, np.uint32), return_counts=True)
             top = np.sort(np.argsort(-c, kind="stable")[:FEATURES])
-            keys.append(k[top].astype(np.int32))
-            counts.append(c[top].astype(np.float32))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(1), batch.column(2), pa.array(keys, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.float32()))], names=["lang", "h", "k", "c"]
-        )
+            packed.append(k[top].astype("<u2").tobytes() + c[top].astype("<f4").tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(packed, pa.binary())], names=["lang", "h", "kc"])
 
 
 def fit(rows, seed=7):
@@ -164,11 +160,14 @@ def train_language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         picks = picks | ((F.col(lang_col) == r.lang) & (F.xxhash64(F.col(id_col).cast("string"), F.lit("fit")) <= bound))
     order = F.xxhash64(F.col(id_col).cast("string"), F.col(text_col))
     sample = rows.where(picks).select(F.col(text_col).alias("x"), F.col(lang_col).alias("lang"), order.alias("h"))
-    got = sample.mapInArrow(_count, "lang string, h long, k array<int>, c array<float>").toArrow()
-    got = got.combine_chunks().sort_by([("lang", "ascending"), ("h", "ascending")])  # the same model whatever the partitions
-    k, c = got.column("k"), got.column("c")
-    parts = [(x.values.to_numpy(), y.values.to_numpy()) for x, y in zip(k, c)]
-    return fit([(lang, *p) for lang, p in zip(got.column("lang").to_pylist(), parts)])
+    got = sample.mapInArrow(_count, "lang string, h long, kc binary").toArrow()
+    order = sorted(range(got.num_rows), key=list(zip(got.column("lang").to_pylist(), got.column("h").to_pylist())).__getitem__)
+    names, blobs, parts = got.column("lang").to_pylist(), got.column("kc"), []
+    for i in order:  # the same model whatever the partitions; the buffers are read in place
+        raw = blobs[i].as_buffer()
+        n = raw.size // 6
+        parts.append((names[i], np.frombuffer(raw, "<u2", n), np.frombuffer(raw, "<f4", n, 2 * n)))
+    return fit(parts)
 
 
 def identify_languages(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
