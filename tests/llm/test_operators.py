@@ -6,6 +6,7 @@ import math
 import re
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -182,6 +183,44 @@ def test_lm_scoring(docs, local, odd, empty):
     assert {(r.n_known, r.train_tokens) for r in nothing} == {(0, 0)}
 
 
+def test_lm_scoring_keeps_rare_contexts(spark):
+    # 2.3 million contexts with a symbol, nearly all of them seen once
+    rng = np.random.default_rng(5)
+    words = rng.integers(97, 123, (150_000, 19), dtype=np.uint8)
+    text = [x.tobytes().decode() for x in words]
+    probe = [*text[:3], *text[70_000:70_003], "q" * 19, "é" * 3]
+    rows = [(i, " ".join(text[i * 2500 : i * 2500 + 2500])) for i in range(60)] + [(60, " ".join(probe))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = score_documents(frame, F.col("doc_id") < 60).where("doc_id = 60").first()
+    wide = np.full((len(words), ORDER + 20), 0xFE, np.uint8)
+    wide[:, ORDER - 1], wide[:, ORDER:-1], wide[:, -1] = 0x20, words, 0x20
+    seen = np.lib.stride_tricks.sliding_window_view(wide, ORDER + 1, axis=1).reshape(-1, ORDER + 1)
+    ends = np.array([[0xFE] * (ORDER - 1) + [0x20, 0xFF]] * 60, np.uint8)
+    seen = np.concatenate([seen, ends])
+
+    def ppm(ctx, sym):
+        p, banned = 1.0, set()
+        for k in range(ORDER, -1, -1):
+            part = seen
+            for j in range(ORDER - 1, ORDER - 1 - k, -1):
+                part = part[part[:, j] == ctx[j]]
+            counts = {s: c for s, c in enumerate(np.bincount(part[:, -1]).tolist()) if c and s not in banned}
+            total = sum(counts.values()) + len(counts)
+            if not total:
+                continue
+            if sym in counts:
+                return p * counts[sym] / total
+            p *= len(counts) / total
+            banned |= set(counts)
+        return p / (256 - len(banned))
+
+    want = 0.0
+    for t, w in enumerate([*probe, None]):
+        body = [0xFE] * (ORDER - 1) + [0x20] + ([0xFF] if w is None else [*w.encode(), 0x20])
+        want += math.log10(1 - SHARE * t / (t + WARM)) + sum(math.log10(ppm(body[j - ORDER : j], body[j])) for j in range(ORDER, len(body)))
+    assert got.score == pytest.approx(want, rel=1e-9)
+
+
 def test_mixing(docs, local, odd, empty):
     out = mix_sources(docs).collect()
     sizes = {i: len(WORD.findall(r.text or "")) for i, r in local.items()}

@@ -11,20 +11,22 @@ end; its score is that length as a log10 probability. White space counts as one
 
 Scale: rows are dealt into chunks of about CHUNK_BYTES, for which distinct words are sent once: a word that
 is in all texts costs a record for each chunk, and counts return the same way. Words are keyed by
-64-bit hashes. The trie keeps the NODES commonest contexts with a symbol, a fixed memory for the
-model as in any such coder; counts of words cover all rows and have no bound."""
+64-bit hashes. The trie is never in one place: a chunk's distinct contexts with symbol go to buckets
+by the last two bytes of the context, where orders 2 to ORDER are complete, and their odds return;
+orders 0 and 1 have at most 2^16 pairs of bytes, whatever the corpus, and are broadcast. All counts
+cover all rows and have no bound."""
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as tk
 from .shared import durable, partitions
 
-ORDER, NODES = 5, 1 << 21
+ORDER = 5
 SHARE, WARM = 0.3, 50
 CHUNK_BYTES, BUCKET_WORDS = 8 << 20, 1 << 18
 PAD, END, SPACE = 0xFE, 0xFF, 0x20
@@ -84,8 +86,22 @@ def _end_code():
     return sum(PAD << (8 * k) for k in range(2, ORDER + 1)) | (SPACE << 8) | END
 
 
+def _gram_buckets(grams, buckets):
+    """The bucket of each code, by the last two bytes of its context."""
+    return (tk.mix((grams >> tk.U(8)) & tk.U(0xFFFF)) % tk.U(buckets)).astype(np.int64)
+
+
+def _packed(keys, n, bucket):
+    """For each bucket its keys and counts as bytes, in the order of the keys."""
+    by = np.argsort(bucket, kind="stable")
+    keys, n, bucket = keys[by], n[by], bucket[by]
+    names, lo = np.unique(bucket, return_index=True)
+    return {k: keys[a:b].tobytes() + n[a:b].tobytes() for k, a, b in zip(names.tolist(), lo, np.r_[lo[1:], len(bucket)])}
+
+
 def _gather(buckets):
-    """Chunk to records for buckets: words (hash, training count), grams (code, count)."""
+    """Chunk to records for buckets, each with words (hash, training count) and grams (code, count); and
+    one record (bucket null) with the counts of orders 0 and 1 as pairs of bytes."""
 
     def run(table):
         chunk, trains = table.column("chunk")[0], table.column("train").to_numpy()
@@ -98,18 +114,18 @@ def _gather(buckets):
         code, weight = np.r_[code, tk.U(_end_code())], np.r_[weight, trains.sum()]
         grams, to = np.unique(code, return_inverse=True)
         total = np.bincount(to, weight, len(grams)).astype(np.int64)
-        grams, total = grams[total > 0], total[total > 0]
-        bucket = (keys % tk.U(buckets)).astype(np.int64)
-        by = np.argsort(bucket, kind="stable")
-        keys, n_all, bucket = keys[by], n_all[by], bucket[by]
-        names, lo = np.unique(bucket, return_index=True)
-        hi = np.r_[lo[1:], len(bucket)]
-        blobs = [keys[a:b].tobytes() + n_all[a:b].tobytes() for a, b in zip(lo, hi)]
+        pairs, to = np.unique(grams & tk.U(_MASK[1]), return_inverse=True)
+        low = pairs.tobytes() + np.bincount(to, total, len(pairs)).astype(np.int64).tobytes()
+        words = _packed(keys, n_all, (keys % tk.U(buckets)).astype(np.int64))
+        codes = _packed(grams, total, _gram_buckets(grams, buckets))
+        names = sorted(words.keys() | codes.keys())
         return pa.table(
             {
-                "bucket": pa.array([*names.tolist(), None], pa.int64()),
+                "bucket": pa.array([*names, None], pa.int64()),
                 "chunk": pa.array([chunk.as_py()] * (len(names) + 1), pa.int64()),
-                "payload": pa.array([*blobs, grams.tobytes() + total.tobytes()], pa.binary()),
+                "words": pa.array([*(words.get(k, b"") for k in names), None], pa.binary()),
+                "grams": pa.array([*(codes.get(k, b"") for k in names), None], pa.binary()),
+                "low": pa.array([None] * len(names) + [low], pa.binary()),
             }
         )
 
@@ -121,39 +137,63 @@ def _halves(blob):
     return both[: len(both) // 2], both[len(both) // 2 :].view(np.int64)
 
 
-def _answer(table):
-    """Bucket to replies for its chunks, and a row (chunk null) with the bucket's tokens and words."""
-    parts = [_halves(b) for b in table.column("payload").to_pylist()]
+def _summed(blobs):
+    """Keys of each blob, distinct keys, each one's place among them, and their counts."""
+    parts = [_halves(b) for b in blobs]
     keys, to = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
     n = np.zeros(len(keys), np.int64)
     np.add.at(n, to, np.concatenate([c for _, c in parts]))
-    out = [k.tobytes() + n[np.searchsorted(keys, k)].tobytes() for k, _ in parts]
-    return pa.table(
-        {
-            "chunk": pa.array([*table.column("chunk").to_pylist(), None], pa.int64()),
-            "payload": pa.array([*out, None], pa.binary()),
-            "tokens": pa.array([None] * len(out) + [int(n.sum())], pa.int64()),
-            "words": pa.array([None] * len(out) + [int((n > 0).sum())], pa.int64()),
-        }
-    )
+    return [k for k, _ in parts], keys, to, n
+
+
+def _answer(low):
+    """Bucket to replies for its chunks: words with their counts, and the odds of grams in the order in
+    which these were sent; and a row (chunk null) with the bucket's tokens and distinct words."""
+
+    def run(table):
+        bucket, chunks = table.column("bucket")[0].as_py(), table.column("chunk").to_pylist()
+        sent, keys, _, n = _summed(table.column("words").to_pylist())
+        counts = [k.tobytes() + n[np.searchsorted(keys, k)].tobytes() for k in sent]
+        sent, codes, to, m = _summed(table.column("grams").to_pylist())
+        odds = Trie(codes[m > 0], m[m > 0], *low.value).log10(codes)[to]
+        ends = np.cumsum([len(k) for k in sent])
+        return pa.table(
+            {
+                "chunk": pa.array([*chunks, None], pa.int64()),
+                "bucket": pa.array([bucket] * (len(chunks) + 1), pa.int64()),
+                "counts": pa.array([*counts, None], pa.binary()),
+                "odds": pa.array([*(odds[e - len(k) : e].tobytes() for e, k in zip(ends, sent)), None], pa.binary()),
+                "tokens": pa.array([None] * len(chunks) + [int(n.sum())], pa.int64()),
+                "words": pa.array([None] * len(chunks) + [int((n > 0).sum())], pa.int64()),
+            }
+        )
+
+    return run
 
 
-def _gram_rows(batches):
+def _low_rows(batches):
+    """Counts of pairs of bytes, added up over the task."""
+    total = np.zeros(1 << 16, np.int64)
     for batch in batches:
         for blob in batch.column(0).to_pylist():
-            code, n = _halves(blob)
-            yield pa.RecordBatch.from_arrays([pa.array(code.view(np.int64)), pa.array(n)], names=["code", "n"])
+            pair, n = _halves(blob)
+            total[pair.astype(np.int64)] += n
+    pair = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(pair, pa.int64()), pa.array(total[pair])], names=["pair", "n"])
 
 
 class Trie:
     """Levels 0..ORDER: sorted codes of contexts with symbol and counts; of contexts, their total,
-    distinct symbols, and the count that those symbols have one level down."""
+    distinct symbols, and the count that those symbols have one level down. Levels 0 and 1 come from
+    the corpus's pairs of bytes, the others from codes, which need only hold all those with the last two
+    bytes of context that are asked for."""
 
-    def __init__(self, codes, counts):
+    def __init__(self, codes, counts, low, low_counts):
         self.pairs, self.contexts = [], []
         for k in range(ORDER + 1):
-            pair, to = np.unique(codes & tk.U(_MASK[k]), return_inverse=True)
-            n = np.bincount(to, counts, len(pair)).astype(np.float64)
+            source, weights = (low, low_counts) if k < 2 else (codes, counts)
+            pair, to = np.unique(source & tk.U(_MASK[k]), return_inverse=True)
+            n = np.bincount(to, weights, len(pair)).astype(np.float64)
             ctx, to = np.unique(pair >> tk.U(8), return_inverse=True)
             below = self.pairs[-1][1][np.searchsorted(self.pairs[-1][0], pair & tk.U(_MASK[k - 1]))] if k else np.zeros(len(pair))
             sums = [np.bincount(to, w, len(ctx)) for w in (n, np.ones(len(pair)), below)]
@@ -189,23 +229,27 @@ class Trie:
         return out[to]
 
 
-def _score(model):
+def _score(buckets):
     def run(left, right):
-        trie = Trie(*model.value)
         first, keys, place, body, at, order = _words(left.column("x"))
-        known, counts = (np.concatenate(x) for x in zip(*[_halves(b) for b in right.column("payload").to_pylist()]))
+        right = right.sort_by("bucket")
+        known, counts = (np.concatenate(x) for x in zip(*map(_halves, right.column("counts").to_pylist())))
         by = np.argsort(known)
         known, counts = known[by], counts[by]
         c = counts[np.searchsorted(known, keys)] if len(keys) else np.zeros(0)
         end = counts[np.searchsorted(known, tk.U(_END_KEY))]
         code, begin = _codes(body, at)
+        grams, to = np.unique(np.r_[code, tk.U(_end_code())], return_inverse=True)
+        odds = np.empty(len(grams))
+        odds[np.argsort(_gram_buckets(grams, buckets), kind="stable")] = np.frombuffer(b"".join(right.column("odds").to_pylist()))
+        odds = odds[to]
         bits = np.zeros(len(keys))
         if len(begin):
-            bits[order] = np.add.reduceat(trie.log10(code), begin)
+            bits[order] = np.add.reduceat(odds[:-1], begin)
         n = np.diff(first)
         row = np.repeat(np.arange(len(n)), n)
         add = lambda v: np.bincount(row, v, len(n)) if len(row) else np.zeros(len(n))
-        end_bits = trie.log10(np.array([_end_code()], np.uint64))[0] + np.log10(1 - SHARE * n / (n + WARM))
+        end_bits = odds[-1] + np.log10(1 - SHARE * n / (n + WARM))
         word = bits[place]
         if len(row):
             past = np.arange(len(row)) - first[row]  # words before, and those of them that are the same
@@ -249,23 +293,20 @@ def score_documents(docs: DataFrame, learn: Column, id_col: str = "doc_id", text
         F.coalesce(F.col(text_col), F.lit("")).alias("x"),
         F.coalesce(learn, F.lit(False)).alias("train"),
     )
-    sent = durable(rows.groupBy("chunk").applyInArrow(_gather(buckets), "bucket long, chunk long, payload binary"))
-    grams = sent.where("bucket is null").select("payload").mapInArrow(_gram_rows, "code long, n long")
-    grams = durable(grams.groupBy("code").agg(F.sum("n").alias("n")))
-    least = 0
-    if grams.count() > NODES:  # the smallest count with which no more than NODES remain
-        most = Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, 0)
-        kept = grams.groupBy("n").agg(F.count("*").alias("c")).withColumn("upto", F.sum("c").over(most))
-        least = kept.where(F.col("upto") <= NODES).agg(F.min("n")).first()[0] or 0
-    learnt = grams.where(F.col("n") >= least).toArrow()
-    model = spark.sparkContext.broadcast((learnt.column("code").to_numpy().view(np.uint64), learnt.column("n").to_numpy()))
+    sent = durable(rows.groupBy("chunk").applyInArrow(_gather(buckets), "bucket long, chunk long, words binary, grams binary, low binary"))
+    pairs = sent.where("low is not null").select("low").mapInArrow(_low_rows, "pair long, n long")
+    pairs = pairs.groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    low = spark.sparkContext.broadcast((pairs.column("pair").to_numpy().astype(np.uint64), pairs.column("n").to_numpy()))
     answers = durable(
-        sent.where("bucket is not null").groupBy("bucket").applyInArrow(_answer, "chunk long, payload binary, tokens long, words long")
+        sent.where("bucket is not null")
+        .select("bucket", "chunk", "words", "grams")
+        .groupBy("bucket")
+        .applyInArrow(_answer(low), "chunk long, bucket long, counts binary, odds binary, tokens long, words long")
     )
     told = answers.where("chunk is null").agg(F.sum("tokens").alias("n"), F.sum("words").alias("v")).first()
-    replies = answers.where("chunk is not null").select("chunk", "payload")
+    replies = answers.where("chunk is not null").select("chunk", "bucket", "counts", "odds")
     schema = f"doc_id {kind}, trained boolean, n_tokens long, n_known long, raw double, score double"
-    out = rows.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(_score(model), schema)
+    out = rows.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(_score(buckets), schema)
     tokens, words = int(told.n or 0), int(told.v or 0)
     base = F.col("raw") - F.col("n_tokens") * F.log10(F.lit(tokens + 0.1 * (words + 1)))
     return out.select(
