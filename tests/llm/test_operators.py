@@ -265,6 +265,19 @@ def test_language_id(spark, docs, odd, empty):
     assert identify_languages(empty, model).count() == 0
 
 
+def test_language_id_rejects(spark, docs):
+    held = q.held_out(4, 2)
+    model = train_language_id(docs.where(~held & (F.col("lang") != "de")))
+    rng = np.random.default_rng(3)
+    junk = [" ".join(rng.integers(97, 123, n, dtype=np.uint8).tobytes().decode() for n in rng.integers(2, 9, 200)) for _ in range(40)]
+    frame = docs.where("lang = 'de'").select("doc_id", "text", F.lit("left out").alias("k"))
+    frame = frame.union(docs.where(held & (F.col("lang") != "de")).select("doc_id", "text", F.lit("clean")))
+    frame = frame.union(spark.createDataFrame([(-i, t, "junk") for i, t in enumerate(junk)], "doc_id long, text string, k string"))
+    out = identify_languages(frame, model).join(frame.select("doc_id", "k"), "doc_id")
+    share = {r.k: r.s for r in out.groupBy("k").agg(F.avg(F.col("accepted").cast("int")).alias("s")).collect()}
+    assert share["clean"] >= 0.95 and share["left out"] <= 0.1 and share["junk"] == 0
+
+
 def test_quality_rules(spark, docs, local, data, odd, empty):
     labels = spark.read.parquet(f"{data}/labels.parquet")
     for r in apply_rules(docs, labels).collect():

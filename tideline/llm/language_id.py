@@ -102,7 +102,7 @@ def fit(rows, seed=7):
     p = soft(z / temperature)
     good = np.sort(p.max(axis=1)[p.argmax(axis=1) == right])
     floor = 1 / len(langs)
-    threshold = float(min(good[int(REJECT * len(good))], floor + 0.1)) if len(good) else floor
+    threshold = float(good[int(REJECT * len(good))]) if len(good) else floor
     return langs, table, bias, float(temperature), threshold
 
 
