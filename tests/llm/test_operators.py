@@ -7,9 +7,11 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from tideline.llm import language_id
 from tideline.llm import queries as q
 from tideline.llm.decontamination import decontaminate
 from tideline.llm.language_id import identify_languages, train_language_id
@@ -278,6 +280,18 @@ def test_language_id_rejects(spark, docs):
     assert share["clean"] >= 0.95 and share["left out"] <= 0.1 and share["junk"] == 0
 
 
+def test_language_id_learns_from_whole_texts(spark):
+    text = " ".join(f"{i * 7919 % 100003:x}" for i in range(5000))
+    batch = pa.RecordBatch.from_arrays([pa.array([text]), pa.array(["en"]), pa.array([1], pa.int64())], names=["x", "lang", "h"])
+    blob = next(language_id._count([batch])).column("kc")[0].as_py()
+    n = len(blob) // 6
+    assert n > 1024 and np.frombuffer(blob, "<f4", n, 2 * n).sum() == sum(len(text) - k + 1 for k in language_id.GRAMS)
+    # every language is learnt, however many
+    rows = [(i, f"{i:03d}" * 20, f"l{i:03d}") for i in range(210)]
+    model = train_language_id(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model[0] == [r[2] for r in rows]
+
+
 def test_quality_rules(spark, docs, local, data, odd, empty):
     labels = spark.read.parquet(f"{data}/labels.parquet")
     for r in apply_rules(docs, labels).collect():

@@ -5,8 +5,9 @@ their embeddings, and a linear layer with softmax gives language odds. Both laye
 stochastic gradient descent in numpy. A fifth of the training rows calibrates: a temperature, and the
 confidence under which a prediction is rejected, which at most REJECT of that fifth's right ones lack.
 
-Scale: the model is fitted on at most TRAIN_ROWS rows for each language, those with the smallest hashed ids, of which only
-hashed counts reach the driver. Prediction is one pass without a shuffle: embeddings times the
+Scale: the model is fitted on about TRAIN_ROWS rows for each language, or fewer where languages are so many that
+these would pass FIT_ROWS in all, picked by hashed ids; of these all hashed counts meet in one executor's
+task, and only the model reaches the driver. Prediction is one pass without a shuffle: embeddings times the
 linear layer make a table of one row for each bucket, so a text costs a lookup for each byte and gram
 size, whatever its length."""
 
@@ -18,9 +19,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as tk
+from .shared import durable
 
 BUCKETS, DIM, STEPS, BATCH, RATE = 1 << 15, 16, 2000, 32, 4.0
-TRAIN_ROWS, FEATURES, REJECT = 1500, 1024, 0.0005
+TRAIN_ROWS, FIT_ROWS, REJECT = 1500, 24_000, 0.0005
 GRAMS = (2, 3, 4)
 UNKNOWN = "und"
 
@@ -56,8 +58,7 @@ def _count(batches):
                 held[lo + r].append(at[a:b])
         for parts in held:
             k, c = np.unique(np.concatenate(parts) if parts else np.zeros(0, np.uint32), return_counts=True)
-            top = np.sort(np.argsort(-c, kind="stable")[:FEATURES])
-            packed.append(k[top].astype("<u2").tobytes() + c[top].astype("<f4").tobytes())
+            packed.append(k.astype("<u2").tobytes() + c.astype("<f4").tobytes())
         yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(packed, pa.binary())], names=["lang", "h", "kc"])
 
 
@@ -147,27 +148,45 @@ def _keeper(model, place):
     return run
 
 
+def _fit(table):
+    """All counts to one row with the model, the same whatever the order of the rows."""
+    langs, blobs, parts = table.column("lang").to_pylist(), table.column("kc"), []
+    for i in sorted(range(len(langs)), key=list(zip(langs, table.column("h").to_pylist())).__getitem__):
+        raw = blobs[i].as_buffer()  # read in place
+        n = raw.size // 6
+        parts.append((langs[i], np.frombuffer(raw, "<u2", n), np.frombuffer(raw, "<f4", n, 2 * n)))
+    names, logits, bias, temperature, threshold = fit(parts)
+    return pa.table(
+        {
+            "langs": pa.array([names], pa.list_(pa.string())),
+            "logits": pa.array([logits.tobytes()], pa.binary()),
+            "bias": pa.array([bias.tobytes()], pa.binary()),
+            "temperature": pa.array([temperature], pa.float64()),
+            "threshold": pa.array([threshold], pa.float64()),
+        }
+    )
+
+
 def train_language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang"):
-    """The model, from rows with text, a language and an id; at most TRAIN_ROWS for each language,
-    and no more than 200 languages, the commonest."""
+    """The model, from rows with text, a language and an id: all languages, and about TRAIN_ROWS rows
+    for each, or an equal share of FIT_ROWS if that is less."""
     rows = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
-    slim = rows.select(F.col(lang_col).alias("lang"), F.col(id_col).alias("i"), F.xxhash64(F.col(id_col).cast("string"), F.lit("fit")).alias("h"))
-    sizes = slim.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(200).collect()
-    picks = F.lit(False)
-    for r in sizes:  # about TRAIN_ROWS rows of each language, by a hash of the id
-        odds = min(1.0, TRAIN_ROWS / r.n)
-        bound = min(int((2 * odds - 1) * 2.0**63), 2**63 - 1)
-        picks = picks | ((F.col(lang_col) == r.lang) & (F.xxhash64(F.col(id_col).cast("string"), F.lit("fit")) <= bound))
+    pick = F.xxhash64(F.col(id_col).cast("string"), F.lit("fit"))
     order = F.xxhash64(F.col(id_col).cast("string"), F.col(text_col))
-    sample = rows.where(picks).select(F.col(text_col).alias("x"), F.col(lang_col).alias("lang"), order.alias("h"))
-    got = sample.mapInArrow(_count, "lang string, h long, kc binary").toArrow()
-    order = sorted(range(got.num_rows), key=list(zip(got.column("lang").to_pylist(), got.column("h").to_pylist())).__getitem__)
-    names, blobs, parts = got.column("lang").to_pylist(), got.column("kc"), []
-    for i in order:  # the same model whatever the partitions; the buffers are read in place
-        raw = blobs[i].as_buffer()
-        n = raw.size // 6
-        parts.append((names[i], np.frombuffer(raw, "<u2", n), np.frombuffer(raw, "<f4", n, 2 * n)))
-    return fit(parts)
+    slim = rows.select(F.col(text_col).alias("x"), F.col(lang_col).alias("lang"), order.alias("h"), pick.alias("pick"))
+    sizes = durable(slim.groupBy("lang").agg(F.count("*").alias("n")))
+    each = min(TRAIN_ROWS, max(1, FIT_ROWS // max(1, sizes.count())))
+    # about `each` rows of a language, by a hash of the id; a language with no more has them all
+    bound = (F.lit(2.0 * each) / F.col("n") - 1) * 2.0**63
+    odds = sizes.select("lang", F.when(F.col("n") > each, bound.cast("long")).alias("bound"))
+    sample = slim.join(F.broadcast(odds), "lang").where("bound is null or pick <= bound").select("x", "lang", "h")
+    counts = sample.mapInArrow(_count, "lang string, h long, kc binary")
+    out = "langs array<string>, logits binary, bias binary, temperature double, threshold double"
+    got = counts.groupBy(F.lit(0).alias("all")).applyInArrow(_fit, out).first()
+    if got is None:
+        return fit([])
+    logits = np.frombuffer(got.logits).reshape(BUCKETS, len(got.langs))
+    return got.langs, logits, np.frombuffer(got.bias), got.temperature, got.threshold
 
 
 def identify_languages(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
