@@ -73,6 +73,17 @@ def test_substring_dedup_odd(odd, empty):
     assert substring_dedup(empty).count() == 0
 
 
+def test_substring_dedup_null_ids_of_like_checksum(spark):
+    passage = " ".join(f"p{i}" for i in range(30))
+    long = "head of it " + passage + " tail"
+    low = lambda t: zlib.crc32(t.encode()) & 0xFFFF
+    other = lambda j: " ".join(f"u{j}x{i}" for i in range(20))
+    short = next(t for t in map(other, range(10**6)) if low(t) == low(long))
+    frame = spark.createDataFrame([(1, passage), (None, long), (None, short)], "doc_id long, text string")
+    got = {(r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in substring_dedup(frame).drop("spans").collect()}
+    assert got == {(1, 30, 0, passage), (None, 34, 30, "head of it tail"), (None, 20, 0, short)}
+
+
 def test_token_counts(spark, docs, local, odd, empty, tmp_path):
     import public_tokenizers
     from tokenizers import Tokenizer

@@ -11,7 +11,8 @@ Scale: a task first settles windows among its own rows and sends on each only fr
 document, packed by anchor bucket, so copies by the thousand add one record for each task. Anchors
 that hold over 1/HOT_SHARE of all (in the borders of very common passages) are at most HOT_SHARE,
 found by exact counts; their windows are dealt one by one instead. Buckets have about BUCKET_BYTES
-whatever the input's size. Fingerprints have 96 bits beside the bucket."""
+whatever the input's size. Fingerprints have 96 bits beside the bucket; rows that share an id are told
+apart by 64-bit hashes of their texts."""
 
 from __future__ import annotations
 
@@ -27,7 +28,7 @@ ANCHOR_WORDS = 4
 HOT_SHARE = 1024
 BUCKET_BYTES = 2 << 20
 FLUSH_WORDS = 1 << 20
-_HEAD = np.dtype([("doc", "<i8"), ("anchor", "<u8"), ("at", "<i4"), ("tag", "<u2"), ("sent", "<u2"), ("gone", "<u2")])
+_HEAD = np.dtype([("doc", "<i8"), ("anchor", "<u8"), ("at", "<i4"), ("tag", "<i8"), ("sent", "<u2"), ("gone", "<u2")])
 
 
 def _windows(column, min_words):
@@ -121,7 +122,7 @@ def _seeds(min_words, hot, buckets):
         for batch in batches:
             doc, tag = _keys(batch)
             for lo, row, at, where, anchor, full in _windows(batch.column(1), min_words):
-                parts.append((doc[lo + row], tag[lo + row].astype(np.uint16), at.astype(np.int32), where + (held << 1), anchor, full))
+                parts.append((doc[lo + row], tag[lo + row], at.astype(np.int32), where + (held << 1), anchor, full))
                 held += len(row)
                 if held >= FLUSH_WORDS:
                     yield pack(parts)
@@ -159,7 +160,7 @@ def _settle(table):
         np.bitwise_or.at(gone, of[late], np.left_shift(1, bit[late]))
     keep = gone > 0
     rec, gone = rec[keep], gone[keep]
-    return pa.table({"d": rec["doc"], "t": rec["tag"].astype(np.int32), "m": (rec["at"].astype(np.int64) << 16) | gone})
+    return pa.table({"d": rec["doc"], "t": rec["tag"], "m": (rec["at"].astype(np.int64) << 16) | gone})
 
 
 def _cut(min_words):
@@ -216,13 +217,13 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     total = total.n if total else 0
     # at most HOT_SHARE rows: their counts add up to no more than the total
     hot = [r.anchor & (2**64 - 1) for r in found.where((F.col("anchor").isNotNull()) & (F.col("n") * HOT_SHARE > total)).collect()]
-    buckets = max(4 * partitions(spark), total * 44 // BUCKET_BYTES)
-    tag = F.pmod(F.crc32(F.coalesce("x", F.lit("")).cast("binary")), F.lit(1 << 16)).cast("int")
+    buckets = max(4 * partitions(spark), total * 50 // BUCKET_BYTES)
+    tag = F.xxhash64(F.coalesce("x", F.lit("")))
     marks = (
         rows.select("i", "x", tag.alias("t"))
         .mapInArrow(_seeds(min_words, hot, buckets), "bucket long, payload binary")
         .groupBy("bucket")
-        .applyInArrow(_settle, "d long, t int, m long")
+        .applyInArrow(_settle, "d long, t long, m long")
         .groupBy("d", "t")
         .agg(F.collect_list("m").alias("m"))
     )
