@@ -2,34 +2,68 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Characters that part words: space and the ASCII controls 9 to 13.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 #: Stands for a null identifier inside the operators; it orders after every other one.
 NULL_ID = (1 << 63) - 1
+_written: dict = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors and the driver share: spark.checkpoint.dir, and only where
-    that is unset (tests, one machine) a temporary folder."""
+    """The folder that all executors and the driver share: spark.checkpoint.dir. Where that is unset and all
+    run on one machine (tests) it is a temporary folder; on a cluster that is an error, for each
+    executor would write to its own disk."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="tideline-")
         spark.sparkContext.setCheckpointDir(found)
     return found
 
 
+def _delete(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def _sweep():
+    """At the interpreter's end, tables that still back results go too."""
+    for path, spark in list(_written.items()):
+        try:
+            _delete(spark, path)
+        except Exception:  # noqa: BLE001  the session may have ended before
+            return
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Write df as a table in the shared folder and read it back: cuts lineage, and survives the
     loss of executors. Unlike cache() nothing depends on executor memory or local disks."""
-    path = f"{shared_dir(df.sparkSession)}/tideline-{uuid.uuid4().hex}"
+    if not _written:
+        atexit.register(_sweep)
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/tideline-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    _written[path] = spark
+    out = spark.read.schema(df.schema).parquet(path)
+    out.tideline_path = path
+    return out
+
+
+def release(*tables: DataFrame):
+    """Deletes durable tables that nothing will read any more."""
+    for t in tables:
+        path = getattr(t, "tideline_path", None)
+        if path in _written:
+            _delete(_written.pop(path), path)
 
 
 def let(value, body):
@@ -42,6 +76,23 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def row_key(*columns: str) -> Column:
+    """128 bits that tell rows with other values in these columns apart; null differs from every value."""
+    parts = [F.when(F.col(f"`{c}`").isNull(), F.lit("n")).otherwise(F.concat(F.lit("v"), F.octet_length(F.col(f"`{c}`").cast("string")), F.lit(":"), F.col(f"`{c}`").cast("string"))) for c in columns]
+    return F.unhex(F.md5(F.concat(*parts).cast("binary")))
+
+
+def placed(docs: DataFrame) -> tuple:
+    """docs and a 64-bit column that is another for every row, equal ones too, and the same whenever docs is
+    read: the row's place in its file. Frames that aren't tables as read are written first."""
+    place = F.xxhash64(F.col("_metadata.file_path"), F.col("_metadata.row_index"))
+    try:
+        docs.select(place)
+    except AnalysisException:
+        docs = durable(docs)
+    return docs, place
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of the undirected edges (u, v): rows (u, root), root the smallest node.
 
@@ -62,13 +113,17 @@ def components(edges: DataFrame) -> DataFrame:
         )
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u")
-        e = durable(
+        after = durable(
             small.select(F.col("v").alias("u"), F.col("m").alias("v"))
             .unionByName(small.select("u", F.col("m").alias("v")))
             .where("u <> v")
             .distinct()
         )
+        release(e)
+        e = after
         seen = e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if tuple(seen) == before:
-            return e.select("u", F.col("v").alias("root"))
+            out = e.select("u", F.col("v").alias("root"))
+            out.tideline_path = e.tideline_path
+            return out
         before = tuple(seen)
