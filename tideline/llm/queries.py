@@ -61,7 +61,7 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return decontaminate(documents(spark, sf_dir), benchmark)
+    return decontaminate(documents(spark, sf_dir), benchmark).drop("row_key")
 
 
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
