@@ -5,19 +5,22 @@ source's words up to and with it, divided by the source's target. A target may e
 then the source is queued again, so a document has one finish time for each of its passes. All
 are sorted by finish time and the queue is cut at the total budget.
 
-Scale: both running sums have two levels. Sums over 4096 hash slices of each source (and over slices
-of the finish time) are pre-aggregated and added up in a table of bounded size; inside a slice a
-window runs, so a source with a third of all rows still spreads over 4096 groups. Only the
-slice that the budget cuts, about one row in 4096, is ordered in full."""
+Scale: equal rows travel as one record with a count until they have their places, so copies of a row by the
+million meet in no task. Both running sums have two levels. Sums over hash slices of each source (and over
+slices of the finish time) are pre-aggregated and added up; inside a slice a window runs. The number of
+slices follows the rows, SLICE_ROWS to a slice on average, so a source with a third of all rows spreads over a third
+of the slices, and only the slice that the budget cuts is ordered in full."""
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import NULL_ID, WORD_PATTERN, durable
+from .shared import NULL_ID, WORD_PATTERN, durable, release, row_key
 
-SLICES = 4096
+SLICE_ROWS, LEAST_DIGITS, CHUNK = 50_000, 3, 1000
 
 
 def source_targets(sizes: DataFrame, weights: tuple, share: float, most: float) -> DataFrame:
@@ -51,36 +54,49 @@ def mix_sources(
     source_col: str = "source",
 ) -> DataFrame:
     """One row for each row of docs: doc_id, source, size (words), source_size, target, taken
-    (words that the mix takes, repeats counted), text_crc32.
+    (words that the mix takes, repeats counted), row_key (row_key of id, text and source).
 
     Defined cases: null text has size 0 and is taken 0 times; a null source is a source, the last
-    one; a null id is shuffled as the text 'null'; rows that share an id are told apart by their
-    texts, equal rows are taken or left together; an empty table gives an empty one; other columns are ignored.
-    Reruns agree, for the shuffle is a hash."""
+    one; a null id is shuffled by the row's key; rows that share an id are told apart by their
+    texts; equal rows stand together in the queue, so they fare alike unless the budget ends among them;
+    equal finish times are ordered by source, pass, shuffle, id, size and key; texts of any length are counted in their row; an
+    empty table gives an empty one; other columns are ignored. Reruns agree, for the shuffle is a hash."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = durable(
-        docs.select(
-            F.col(id_col).alias("doc_id"),
-            F.col(source_col).alias("source"),
-            F.regexp_count(text, F.lit(WORD_PATTERN)).cast("long").alias("size"),
-            F.crc32(text.cast("binary")).alias("text_crc32"),
-            F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("null")).cast("binary")).alias("h"),
-        ).withColumn("slice", F.conv(F.substring("h", 1, 3), 16, 10).cast("int"))
-    )
-    slices = rows.groupBy("source", "slice").agg(F.sum("size").alias("s"))
+    one = docs.select(
+        F.col(id_col).alias("i"),
+        F.col(source_col).alias("source"),
+        F.regexp_count(text, F.lit(WORD_PATTERN)).cast("long").alias("size"),
+        row_key(id_col, text_col, source_col).alias("g"),
+    ).withColumn("h", F.md5(F.coalesce(F.col("i").cast("string").cast("binary"), "g")))
+    rows = durable(one.groupBy("source", "h", "i", "size", "g").agg(F.count("*").alias("copies")))
+    digits = max(LEAST_DIGITS, math.ceil(math.log(max(1, rows.count() / SLICE_ROWS), 16)))
+    slices_of_time = 16**digits
+    rows = rows.withColumn("slice", F.conv(F.substring("h", 1, digits), 16, 10).cast("long"))
+    words = F.col("size") * F.col("copies")
+    slices = rows.groupBy("source", "slice").agg(F.sum(words).alias("s"))
     before = Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     sums = slices.withColumn("before", F.coalesce(F.sum("s").over(before), F.lit(0)))
     targets = source_targets(slices.groupBy("source").agg(F.sum("s").alias("source_size")), weights, share, passes)
     t = durable(targets)
     told = sums.alias("a").join(t.alias("b"), F.expr("a.source <=> b.source")).select("a.slice", "a.before", "b.*")
-    order = [F.col("r.h"), F.coalesce("r.doc_id", F.lit(NULL_ID)), F.col("r.size"), F.col("r.text_crc32")]
+    order = [F.col("r.h"), F.coalesce(F.col("r.i").cast("long"), F.lit(NULL_ID)), F.col("r.size"), F.col("r.g")]
     inside = Window.partitionBy("r.source", "r.slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     placed = rows.alias("r").join(told.alias("t"), F.expr("r.source <=> t.source AND r.slice = t.slice"))
     placed = placed.select(
-        "r.doc_id", "r.source", "r.size", "r.text_crc32", "r.h", "t.source_size", "t.place", "t.target", "t.budget",
-        (F.col("t.before") + F.sum("r.size").over(inside)).alias("upto"),
+        "r.i", "r.source", "r.size", "r.g", "r.h", "r.copies", "t.source_size", "t.place", "t.target", "t.budget",
+        (F.col("t.before") + F.sum(F.col("r.size") * F.col("r.copies")).over(inside) - F.col("r.size") * F.col("r.copies")).alias("from"),
     )
     placed = durable(placed)
+    # a row for each copy; many copies of one row are dealt out in chunks first
+    chunks = F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(copies - 1) div {CHUNK}")))
+    many = placed.where("copies > 1").withColumn("chunk", chunks).repartition("g", "chunk")
+    in_chunk = F.sequence(F.col("chunk") * CHUNK, F.least(F.col("copies"), (F.col("chunk") + 1) * CHUNK) - 1)
+    many = many.withColumn("copy", F.explode(in_chunk)).drop("chunk")
+    placed_all = placed.where("copies = 1").withColumn("copy", F.lit(0).cast("long")).unionByName(many)
+    placed_all = placed_all.withColumn("upto", F.col("from") + (F.col("copy") + 1) * F.col("size")).drop("from", "copies")
+    done = placed
+    placed = durable(placed_all)
+    release(done, rows)
 
     def finish(k):
         return F.when(F.col("target") > 0, (F.lit(k) * F.col("source_size") + F.col("upto")) / F.col("target")).otherwise(F.lit(2.0))
@@ -88,11 +104,11 @@ def mix_sources(
     def ticket(k):
         return F.struct(
             finish(k).alias("finish"), F.col("place").alias("place"), F.lit(k).alias("pass"), F.col("h").alias("h"),
-            F.coalesce("doc_id", F.lit(NULL_ID)).alias("i"), F.col("size").alias("size"), F.col("text_crc32").alias("t"),
+            F.coalesce(F.col("i").cast("long"), F.lit(NULL_ID)).alias("i"), F.col("size").alias("size"), F.col("g").alias("g"), F.col("copy").alias("copy"),
         )
 
     # a slice of the finish time; the budget's end lies near 1
-    at = lambda k: F.least(F.floor(ticket(k)["finish"] * SLICES), F.lit(2 * SLICES))
+    at = lambda k: F.least(F.floor(ticket(k)["finish"] * slices_of_time), F.lit(2 * slices_of_time))
     queue = placed.where("size > 0").select("size", "budget", F.explode(F.array(*[F.struct(at(k).alias("at"), ticket(k).alias("k")) for k in range(passes)])).alias("q"))
     sums = queue.groupBy("q.at").agg(F.sum("size").alias("s"), F.max("budget").alias("budget"))
     upto = F.sum("s").over(Window.orderBy("at").rowsBetween(Window.unboundedPreceding, 0))
@@ -108,8 +124,9 @@ def mix_sources(
         def takes(k):
             if last is None:
                 return at(k) < edge["at"]
-            end = F.struct(F.lit(last.finish), F.lit(last.place), F.lit(last["pass"]), F.lit(last.h), F.lit(last.i).cast("long"), F.lit(last["size"]).cast("long"), F.lit(last.t).cast("long"))
+            end = F.struct(F.lit(last.finish), F.lit(last.place), F.lit(last["pass"]), F.lit(last.h), F.lit(last.i).cast("long"), F.lit(last["size"]).cast("long"), F.lit(bytes(last.g)), F.lit(last["copy"]).cast("long"))
             return (at(k) < edge["at"]) | ((at(k) == edge["at"]) & (ticket(k) <= end))
 
         taken = sum((F.when(takes(k), F.col("size")).otherwise(F.lit(0)) for k in range(passes)), F.lit(0))
-    return placed.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"), "text_crc32")
+    release(t)
+    return placed.select(F.col("i").alias("doc_id"), "source", "size", "source_size", "target", taken.cast("long").alias("taken"), F.col("g").alias("row_key"))
