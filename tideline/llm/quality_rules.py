@@ -1,19 +1,20 @@
 """Quality rules with risk-controlled thresholds.
 
-Each rule rejects a document whose statistic exceeds a cutoff. Cutoffs come from the labelled good documents that
-pass the base rules, stratum by stratum: from lenient to strict, a rule tightens as long as an exact
-binomial upper bound on its share of false rejections stays within its part of LIMIT. Testing in a fixed order
-needs no correction along the cutoffs; DELTA is divided by the number of rules and strata. So with
-probability 1 - DELTA no stratum loses more than LIMIT of its good documents; a stratum with too few labels keeps
-all that pass the base rules.
+Each rule rejects a document whose statistic exceeds a cutoff. The rules tighten together, along one path of STEPS cutoffs from
+extremes to the strictest that such rules usually have. How far, is chosen stratum by stratum from the labelled good
+documents that pass the base rules: from lenient to strict, as long as an exact binomial upper bound on the share that any
+rule rejects falsely stays within LIMIT. Testing in a fixed order needs no correction along the path; DELTA is
+divided by the number of strata. So with probability 1 - DELTA no stratum loses more than LIMIT of its good documents;
+a stratum with too few labels for that (about 150 and more, as strata grow) keeps all that pass the base rules.
 
 Scale: statistics are one Arrow pass over whole texts; after it only a few numbers for each document move. Labels
-are counted, not collected: a row for each stratum, rule and cutoff reaches the driver, of strata
-with enough labels for any certificate."""
+are counted, not collected: a row for each stratum with enough labels for any certificate reaches the driver, and
+rows meet their stratum's cutoffs in a map, which those strata alone make up."""
 
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -21,20 +22,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .shared import durable
+from .shared import durable, release
 
-LIMIT, DELTA = 0.02, 0.05
+LIMIT, DELTA, STEPS = 0.02, 0.05, 32
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 
-#: Rules: a statistic of the columns, and its cutoffs from lenient to strict.
+
+def _path(first, last, spread):
+    return [round(float(x), 4) for x in spread(first, last, STEPS)]
+
+
+#: Rules: a statistic of the columns, and its cutoffs along the path, from lenient to strict.
 _WORDS = "greatest(n_words, 1)"
 RULES = {
-    "symbols": (f"n_symbols / {_WORDS}", [round(float(x), 4) for x in np.geomspace(4, 0.05, 24)]),
-    "dup_lines": ("n_dup_lines / greatest(n_lines, 1)", [round(float(x), 4) for x in np.linspace(0.96, 0.04, 24)]),
-    "repeats": (f"n_repeat_words / {_WORDS}", [round(float(x), 4) for x in np.linspace(0.49, 0.03, 24)]),
-    "long_words": (f"word_chars / {_WORDS}", [round(float(x), 4) for x in np.geomspace(60, 8, 24)]),
-    "short_words": (f"-word_chars / {_WORDS}", [round(float(x), 4) for x in np.linspace(-1, -4, 24)]),
+    "symbols": (f"n_symbols / {_WORDS}", _path(4, 0.1, np.geomspace)),
+    "dup_lines": ("n_dup_lines / greatest(n_lines, 1)", _path(0.96, 0.3, np.linspace)),
+    "repeats": (f"n_repeat_words / {_WORDS}", _path(0.49, 0.2, np.linspace)),
+    "long_words": (f"word_chars / {_WORDS}", _path(60, 10, np.geomspace)),
+    "short_words": (f"-word_chars / {_WORDS}", _path(-1, -3, np.linspace)),
 }
 
 
@@ -100,7 +106,7 @@ def upper_bound(k: int, n: int, delta: float) -> float:
 
 
 def choose_cutoffs(over: list, n: int, part: float, delta: float) -> int:
-    """How many of the cutoffs, lenient first, are certified; over: good documents above each."""
+    """How many steps of the path, lenient first, are certified; over: good documents that each rejects."""
     for place, k in enumerate(over):
         if k > n * part or upper_bound(k, n, delta) > part:
             return place
@@ -133,29 +139,28 @@ def apply_rules(
 
     labels has doc_id and quality (1: good); a document with several labels is good if all say so.
     Defined cases: null text has no words and fails the base rules; a null stratum is a stratum; null ids have
-    no label; repeated rows stay; without labels the base rules alone decide; empty tables give an
-    empty result; other columns are ignored."""
+    no label; repeated rows stay, and count as often as they occur if labelled; a value equal to a cutoff doesn't exceed it;
+    texts of any length are counted whole, at about 50 times their bytes in one task's memory; without labels the base
+    rules alone decide; empty tables give an empty result; other columns are ignored."""
     stats = durable(quality_statistics(docs, id_col, text_col, stratum_col))
     good = labels.groupBy("doc_id").agg(F.min("quality").alias("q")).where("q = 1").select(F.col("doc_id").alias("good_id"))
     held = stats.where(~base_failed()).join(good, F.col("doc_id") == F.col("good_id"), "left_semi")
-    sums = [F.count("*").alias("n")]
-    for name, (value, cutoffs) in RULES.items():
-        sums.append(F.array(*[F.count_if(F.expr(value) > c) for c in cutoffs]).alias(name))
-    counted = durable(held.groupBy("stratum").agg(*sums))
-    strata = counted.count()
-    part, share = limit / len(RULES), delta / max(1, len(RULES) * strata)
-    enough = math.log(share) / math.log1p(-part)  # fewer labels certify nothing, not even without an error
-    cutoffs = {name: [] for name in RULES}
-    for r in counted.where(F.col("n") >= enough).collect():
-        for name, (_, values) in RULES.items():
-            if passed := choose_cutoffs(list(r[name]), r.n, part, share):
-                cutoffs[name].append((r.stratum, values[passed - 1]))
+
+    def rejected(step):
+        return reduce(lambda x, y: x | y, [F.expr(value) > cutoffs[step] for value, cutoffs in RULES.values()])
+
+    counted = durable(held.groupBy("stratum").agg(F.count("*").alias("n"), F.array(*[F.count_if(rejected(k)) for k in range(STEPS)]).alias("over")))
+    share = delta / max(1, counted.count())
+    enough = math.log(share) / math.log1p(-limit)  # fewer labels certify nothing, not even without an error
+    steps = {r.stratum: choose_cutoffs(list(r.over), r.n, limit, share) for r in counted.where(F.col("n") >= enough).collect()}
+    steps = {stratum: k - 1 for stratum, k in steps.items() if k}
+    release(counted)
     out = stats.withColumn("base_failed", base_failed())
-    broken = []
-    for name, (value, _) in RULES.items():
-        if cutoffs[name]:
-            table = F.create_map(*[F.lit(x) for pair in cutoffs[name] for x in pair])
-            broken.append(F.when(F.expr(value) > table[F.col("stratum")], F.lit(name)))
-    hits = F.filter(F.array(*broken), lambda x: x.isNotNull()) if broken else F.array().cast("array<string>")
+    hits = F.array().cast("array<string>")
+    if steps:
+        at = F.create_map(*[F.lit(x) for pair in steps.items() for x in pair])[F.col("stratum")]
+        cutoff = lambda values: F.get(F.array(*[F.lit(v) for v in values]), at)
+        broken = [F.when(F.expr(value) > cutoff(cutoffs), F.lit(name)) for name, (value, cutoffs) in RULES.items()]
+        hits = F.filter(F.array(*broken), lambda x: x.isNotNull())
     out = out.withColumn("broken", F.array_join(hits, ","))
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("broken") == ""))
