@@ -14,50 +14,59 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .license_texts import LICENSES, NOTICES, SPELLINGS
+from .license_texts import DIGESTS, LICENSES, NOTICES, SPELLINGS, TITLES
 from .shared import let
 
 MOST_KNOWN = 100_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+#: A line is a copyright line if a year, a mark or a blank to fill in follows, or if it stands above the body.
+COPYRIGHT = r"(^|\n)[^a-z0-9\n]*(?:copyright[ \t]*(?:\(c\)|\xA9|[\[<{]|[12][0-9]{3})|\(c\)[ \t]*[12][0-9]{3}|\xA9)[^\n]*"
+FIRST = r"^([^\n]{0,60}licen[sc]e[^\n]{0,60}\n)?\s*copyright[ \t][^\n]*\n"
+TITLE = "^(?:the )?(?:" + "|".join(TITLES) + ") ([a-z0-9])"
+
+
 def spelled(text: Column) -> Column:
-    """Lower case, no copyright lines, one spelling."""
+    """Lower case, no copyright lines."""
     t = F.translate(text, _UPPER, _LOWER)
-    t = F.regexp_replace(t, r"(^|\n)[^a-z0-9\n]*(copyright|\(c\)|\xA9)[ \t][^\n]*", "$1")
-    for other, word in SPELLINGS:
-        t = F.replace(t, F.lit(other), F.lit(word))
-    return t
+    return F.regexp_replace(F.regexp_replace(t, COPYRIGHT, "$1"), FIRST, "$1")
 
 
 def bare(text: Column) -> Column:
-    """Words alone, one space between them."""
-    return F.trim(F.regexp_replace(text, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " "))
+    """Words alone in one spelling, one space between them, without a title or a reservation of rights."""
+    t = F.regexp_replace(F.concat(F.lit(" "), text, F.lit(" ")), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " ")
+    for other, word in SPELLINGS:
+        t = F.replace(t, F.lit(other), F.lit(word))
+    return F.regexp_replace(F.trim(F.replace(t, F.lit(" all rights reserved "), F.lit(" "))), TITLE, "$1")
 
 
 def digest(canonical: Column) -> Column:
     return F.sha2(canonical.cast("binary"), 256)
 
 
-def known_licenses(spark: SparkSession, texts=LICENSES, notices=NOTICES) -> DataFrame:
+def known_licenses(spark: SparkSession, texts=LICENSES, notices=NOTICES, digests=DIGESTS) -> DataFrame:
     """license_id, kind (text or line), digest. Texts given twice count once, by the smallest id."""
-    rows = [(n, "text", t) for n, t in texts] + [(n, "line", t) for n, t in notices]
+    rows = [(n, "text", t, None) for n, t in texts] + [(n, "line", t, None) for n, t in notices] + [(n, "text", None, d) for n, d in digests]
     if len(rows) > MOST_KNOWN:
         raise ValueError(f"more than {MOST_KNOWN} known texts; give them as a table and join unbroadcast")
-    one = F.array(*[F.struct(*[F.lit(v).alias(c) for c, v in zip(("license_id", "kind", "x"), r)]) for r in rows])
+    one = F.array(*[F.struct(*[F.lit(v).cast("string").alias(c) for c, v in zip(("license_id", "kind", "x", "d"), r)]) for r in rows])
     table = spark.range(0, 1, 1, 1).select(F.explode(one).alias("r")).select("r.*")
-    return table.groupBy("kind", digest(bare(spelled(F.col("x")))).alias("digest")).agg(F.min("license_id").alias("license_id"))
+    return table.groupBy("kind", F.coalesce("d", digest(bare(spelled(F.col("x"))))).alias("digest")).agg(F.min("license_id").alias("license_id"))
 
 
 def scan_licenses(docs: DataFrame, known: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of docs: doc_id, text_digest, license_id (the whole text's licence or
     null), n_notices (lines that are known notices), notices (their distinct ids, sorted, joined by a comma).
 
-    Whole texts are also held against the notices, so a text that is one notice has its licence.
-    Defined cases: null text counts as empty and has no licence; null ids and repeated rows stay;
+    Whole texts are also held against the notices, so a text that is one notice has its licence. known may be any table
+    of license_id, kind and digest; it is broadcast only if it has at most MOST_KNOWN rows.
+    Defined cases: null text counts as empty and has no licence; null ids and repeated rows stay; a digest with
+    several licences has the smallest id; texts of any length are digested whole, in their row;
     an empty table gives an empty one; other columns are ignored."""
     known = known_licenses(docs.sparkSession) if known is None else known
     whole = known.groupBy("digest").agg(F.min("license_id").alias("license_id")).select(F.col("digest").alias("text_digest"), "license_id")
+    small = known.limit(MOST_KNOWN + 1).count() <= MOST_KNOWN
     # digests of lines are looked up in a map of the known ones: a hash join in the row itself
     digests = let(
         spelled(F.coalesce(F.col(text_col), F.lit(""))),
@@ -70,7 +79,7 @@ def scan_licenses(docs: DataFrame, known: DataFrame | None = None, id_col: str =
     table = F.from_json(F.lit(json.dumps({r.digest: r.license_id for r in lines})), "map<string, string>")
     hits = F.filter(F.transform("d.lines", lambda x: table[x]), lambda x: x.isNotNull())
     rows = base.select("doc_id", F.col("d.whole").alias("text_digest"), hits.alias("hits"))
-    return rows.join(F.broadcast(whole), "text_digest", "left").select(
+    return rows.join(F.broadcast(whole) if small else whole, "text_digest", "left").select(
         "doc_id",
         "text_digest",
         "license_id",

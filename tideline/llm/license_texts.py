@@ -1,9 +1,9 @@
 """Public licence texts, one-line notices and equivalent spellings."""
 
-#: Spellings that count as one; the second replaces the first.
+#: Spellings, without punctuation, that count as one; the second replaces the first.
 SPELLINGS = (
-    ("https://", "http://"), ("licence", "license"), ("sub-license", "sublicense"), ("non-commercial", "noncommercial"),
-    ("non-infringement", "noninfringement"), ("copyright owner", "copyright holder"), ("organisation", "organization"),
+    (" https ", " http "), ("licence", "license"), ("sub license", "sublicense"), ("non commercial", "noncommercial"),
+    ("non infringement", "noninfringement"), ("copyright owner", "copyright holder"), ("organisation", "organization"),
     ("authoris", "authoriz"), ("recognis", "recogniz"), ("favour", "favor"), ("whilst", "while"), ("wilful", "willful"),
     ("judgement", "judgment"), ("acknowledgement", "acknowledgment"), ("merchantibility", "merchantability"),
 )
@@ -48,9 +48,47 @@ _ISC_END = (
     "NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
 )
 
+_UNLICENSE = (
+    "This is free and unencumbered software released into the public domain.\n"
+    "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as "
+    "a compiled binary, for any purpose, commercial or non-commercial, and by any means.\n"
+    "In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright "
+    "interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the "
+    "detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all "
+    "present and future rights to this software under copyright law.\n"
+    'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE '
+    "WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE "
+    "FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN "
+    "CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.\n"
+    "For more information, please refer to <https://unlicense.org>"
+)
+_BOOST = (
+    "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and "
+    'accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and '
+    "transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is "
+    "furnished to do so, all subject to the following:\n"
+    "The copyright notices in the Software and this entire statement, including the above license grant, this restriction and "
+    "the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of "
+    "the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by "
+    "a source language processor.\n"
+    'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE '
+    "WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT "
+    "HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR "
+    "OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+)
+_ZLIB = (
+    "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for "
+    "any damages arising from the use of this software.\n"
+    "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it "
+    "and redistribute it freely, subject to the following restrictions:\n"
+    "1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you "
+    "use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.\n"
+    "2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.\n"
+    "3. This notice may not be removed or altered from any source distribution."
+)
+
 LICENSES = (
     ("MIT", _MIT_PERMIT),
-    ("MIT", "MIT License\n" + _MIT_PERMIT),
     ("BSD-2-Clause", _PERMIT + _BSD_END),
     ("BSD-3-Clause", _PERMIT + _NAME + _BSD_END),
     (
@@ -63,6 +101,40 @@ LICENSES = (
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.\n"
         + _ISC_END,
     ),
+    ("Unlicense", _UNLICENSE),
+    ("BSL-1.0", _BOOST),
+    ("Zlib", _ZLIB),
+)
+
+#: Titles that a text may have above its body, as they stand in canonical form.
+TITLES = (
+    "mit license mit", "mit license", "expat license", "isc license isc", "isc license", "bsd 2 clause license", "bsd 3 clause license",
+    "bsd 2 clause simplified license", "bsd 3 clause new or revised license", "2 clause bsd license", "3 clause bsd license",
+    "bsd zero clause license", "zero clause bsd license", "zero clause bsd", "bsd license", "new bsd license", "simplified bsd license",
+    "unlicense", "boost software license version 1 0 august 17th 2003", "boost software license version 1 0", "zlib license",
+)
+
+#: Digests of the canonical forms of long public texts, with and without what stands behind their terms.
+DIGESTS = (
+    ("Apache-2.0", "04e64e0427d80fdde16fa8415931bf2c09bc943f13ec322a09df188bf23a3543"),
+    ("Apache-2.0", "119e2da0e9ec849d113a40405b338c1bbbd2ef9194c22bf2740fa4e195411c40"),
+    ("Artistic-1.0-Perl", "e963bc30f4d3c45f45030c34409ee37315564625649c1394e32bb5ddd99e01b2"),
+    ("CC0-1.0", "cccf7894e1b9f4ba9f97728bf0c5baf9e07bc2ac93da7a51556451b1fb2b868e"),
+    ("GFDL-1.2", "15f6a8d360ffdecc988c29279c00f23e20de17f14f2a06572ab0d41de6e98b7b"),
+    ("GFDL-1.3", "2d36daeff2ad303badb6dee8149748be25e22974dd468e1e8a55cf40f16fc01d"),
+    ("GPL-1.0", "8f586b09c093668e2db772bdcfc1d5dc0b03e0e862fccbff035e1bf134e9b224"),
+    ("GPL-1.0", "6375a768fd262bf5281905a9585411d2d0fb4ea15cb08cfcba49f73fedb82abc"),
+    ("GPL-2.0", "efe73660e5476cf0368fc0fc143f624ff9d1b73c4484b14a9969dd20c5786821"),
+    ("GPL-2.0", "e1270b653c300290e7c039142bccb8776f9b5d14e8a05bc4e87dc7d1614a3b34"),
+    ("GPL-3.0", "eaab5d82fdcca441d83a1913bbf07e4de3a739e190578c0bffde24f84e93bb2a"),
+    ("GPL-3.0", "ac6b52d57c0104e687039148f7b8e370e04c9bb5705bb786f8ef814eb65e8636"),
+    ("LGPL-2.0", "61af4dcea4e412e8ccfb8877fd2762bd6d962f8d42a9fa2c06cf7b4613f2c908"),
+    ("LGPL-2.0", "504542bce5421b0f5a7e63ddb55443ccb300b27a65ba6bfc1370fed16a3af260"),
+    ("LGPL-2.1", "4d55922bdeafabde164d75448bbfb0b474bf952bbb541325364010900acd9891"),
+    ("LGPL-2.1", "48d2010e70a815a564f914b0c7c1e80d7a6843793348fed3684c957112fe0aa4"),
+    ("LGPL-3.0", "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be"),
+    ("MPL-1.1", "cbbde7eeab9b4d180dc00b34252f800e97fb1cddbab38ed8c0c73b956dc2cbf6"),
+    ("MPL-2.0", "6fedd8db6adb0e102fc0f69b9e1501d2edaf25940e34910831cab46f9f5d4e4d"),
 )
 
 NOTICES = (

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .decontamination import decontaminate
 from .language_id import identify_languages, train_language_id
 from .license_scan import scan_licenses
-from .license_texts import LICENSES, NOTICES, SPELLINGS
+from .license_texts import DIGESTS, LICENSES, NOTICES, SPELLINGS, TITLES
 from .lm_scoring import score_documents
 from .minhash import near_duplicates
 from .mixing import mix_sources
@@ -132,22 +132,26 @@ def _sql_text(x: str) -> str:
 
 def _spelled_sql(x: str) -> str:
     x = f"translate({x}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-    x = rf"regexp_replace({x}, '(^|\n)[^a-z0-9\n]*(copyright|\(c\)|©)[ \t][^\n]*', '\1', 'g')"
-    for other, word in SPELLINGS:
-        x = f"replace({x}, {_sql_text(other)}, {_sql_text(word)})"
+    x = rf"regexp_replace({x}, '(^|\n)[^a-z0-9\n]*(?:copyright[ \t]*(?:\(c\)|©|[\[<{{]|[12][0-9]{{3}})|\(c\)[ \t]*[12][0-9]{{3}}|©)[^\n]*', '\1', 'g')"
+    x = rf"regexp_replace({x}, '^([^\n]{{0,60}}licen[sc]e[^\n]{{0,60}}\n)?[ \t-\r]*copyright[ \t][^\n]*\n', '\1')"
     return x
 
 
 def _digest_sql(x: str) -> str:
-    return rf"sha256(trim(regexp_replace({x}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g')))"
+    x = rf"regexp_replace(' ' || {x} || ' ', '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g')"
+    for other, word in SPELLINGS:
+        x = f"replace({x}, {_sql_text(other)}, {_sql_text(word)})"
+    return rf"sha256(regexp_replace(trim(replace({x}, ' all rights reserved ', ' ')), {_sql_text('^(?:the )?(?:' + '|'.join(TITLES) + ') ([a-z0-9])')}, '\1'))"
 
 
 def op8_sql() -> str:
     known = ", ".join(f"({_sql_text(n)}, '{k}', {_sql_text(t)})" for k, rows in (("text", LICENSES), ("line", NOTICES)) for n, t in rows)
+    long = ", ".join(f"({_sql_text(n)}, '{d}')" for n, d in DIGESTS)
     return f"""
 WITH known AS (
   SELECT kind, {_digest_sql(_spelled_sql("x"))} AS digest, min(license_id) AS license_id
   FROM (VALUES {known}) v(license_id, kind, x) GROUP BY ALL
+  UNION ALL SELECT 'text', digest, license_id FROM (VALUES {long}) v(license_id, digest)
 ), whole AS (
   SELECT digest, min(license_id) AS license_id FROM known GROUP BY digest
 ), d AS (
