@@ -2,8 +2,10 @@
 
 A text's features are its byte 2-, 3- and 4-grams, lower-cased, hashed into BUCKETS; the text is the average of
 their embeddings, and a linear layer with softmax gives language odds. Both layers are trained by
-stochastic gradient descent in numpy. A fifth of the training rows calibrates: a temperature, and the
-confidence under which a prediction is rejected, which at most REJECT of that fifth's right ones lack.
+stochastic gradient descent in numpy. A fifth of the training rows calibrates (all, where fewer than 50 are there): a
+temperature for the odds, and the margin between the two best languages' logits under which a prediction is
+rejected, which a share of REJECT of that fifth's right ones lack. The margin is that of the averages as they are, which
+texts of other scripts, code and noise leave small, while odds come out near one for them too.
 
 Scale: the model is fitted on about TRAIN_ROWS rows for each language, or fewer where languages are so many that
 these would pass FIT_ROWS in all, picked by hashed ids; of these all hashed counts meet in one executor's
@@ -22,7 +24,7 @@ from . import textkit as tk
 from .shared import durable
 
 BUCKETS, DIM, STEPS, BATCH, RATE = 1 << 15, 16, 2000, 32, 4.0
-TRAIN_ROWS, FIT_ROWS, REJECT = 1500, 24_000, 0.0005
+TRAIN_ROWS, FIT_ROWS, REJECT = 1500, 24_000, 0.002
 GRAMS = (2, 3, 4)
 UNKNOWN = "und"
 
@@ -62,6 +64,12 @@ def _count(batches):
         yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(packed, pa.binary())], names=["lang", "h", "kc"])
 
 
+def _margins(z):
+    """How far each row's best logit is above its second best (above 0, of one language)."""
+    z = np.sort(np.pad(z, ((0, 0), (0, int(z.shape[1] == 1)))), axis=1)
+    return z[:, -1] - z[:, -2]
+
+
 def fit(rows, seed=7):
     """rows: (lang, buckets, counts). Returns languages, the table of logits and biases, the
     temperature and the threshold."""
@@ -99,11 +107,9 @@ def fit(rows, seed=7):
     right = y[held]
     # one temperature that makes the held rows likeliest
     loss = lambda t: -np.log(soft(z / t)[np.arange(len(held)), right] + 1e-12).mean()
-    temperature = min(np.geomspace(0.05, 20, 61), key=loss)
-    p = soft(z / temperature)
-    good = np.sort(p.max(axis=1)[p.argmax(axis=1) == right])
-    floor = 1 / len(langs)
-    threshold = float(good[int(REJECT * len(good))]) if len(good) else floor
+    temperature = min(np.geomspace(0.002, 20, 93), key=loss)
+    good = np.sort(_margins(z)[z.argmax(axis=1) == right])
+    threshold = float(good[int(REJECT * len(good))]) if len(good) else 0.0
     return langs, table, bias, float(temperature), threshold
 
 
@@ -121,11 +127,12 @@ def _judge(model, column):
         hi = lo + len(first)
         grams[lo:hi] += last - first
         total[lo:hi] += _row_sums(table[at], first, last)
-    z = (total / np.maximum(grams, 1)[:, None] + bias) / temperature
-    z = np.exp(z - z.max(axis=1, keepdims=True))
+    z = total / np.maximum(grams, 1)[:, None] + bias
+    clear = _margins(z) >= threshold
+    z = np.exp((z - z.max(axis=1, keepdims=True)) / temperature)
     p = z / z.sum(axis=1, keepdims=True)
     score = np.where(known, np.clip(p.max(axis=1), 0, 1), 0.0)
-    return np.where(known, np.array(langs, object)[p.argmax(axis=1)], UNKNOWN), score, known & (score >= threshold)
+    return np.where(known, np.array(langs, object)[p.argmax(axis=1)], UNKNOWN), score, known & clear
 
 
 def _predictor(model):
@@ -168,10 +175,11 @@ def _fit(table):
 
 
 def train_language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang"):
-    """The model, from rows with text, a language and an id: all languages, and about TRAIN_ROWS rows
-    for each, or an equal share of FIT_ROWS if that is less."""
+    """The model, from rows with text and a language: all languages, and about TRAIN_ROWS rows
+    for each, or an equal share of FIT_ROWS if that is less. Rows are picked by a hash of the id, null ids by one of the text, so
+    repeated rows are picked together; rows without text or language teach nothing; an empty table gives a model that rejects all."""
     rows = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
-    pick = F.xxhash64(F.col(id_col).cast("string"), F.lit("fit"))
+    pick = F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.col(text_col)), F.lit("fit"))
     order = F.xxhash64(F.col(id_col).cast("string"), F.col(text_col))
     slim = rows.select(F.col(text_col).alias("x"), F.col(lang_col).alias("lang"), order.alias("h"), pick.alias("pick"))
     sizes = durable(slim.groupBy("lang").agg(F.count("*").alias("n")))
@@ -193,8 +201,9 @@ def identify_languages(docs: DataFrame, model, id_col: str = "doc_id", text_col:
     """One row for each row of docs: doc_id, lang_pred, score, accepted.
 
     lang_pred is 'und' with score 0, and rejected, if the text is null, has no letter, or nothing was
-    learned. Null ids and repeated rows stay; an empty table gives an empty one; other columns are
-    ignored, and language, source and id are no inputs of a prediction."""
+    learned. Null ids and repeated rows stay, equal texts get equal results; of equally likely languages the first by name
+    is predicted; texts of any length are read whole, in slabs, a single one at about 60 times its bytes; an empty table gives
+    an empty one; other columns are ignored, and language, source and id are no inputs of a prediction."""
     kind = docs.schema[id_col].dataType.simpleString()
     out = docs.select(F.col(text_col).alias("x"), F.col(id_col).alias("doc_id"))
     return out.mapInArrow(_predictor(model), f"doc_id {kind}, lang_pred string, score double, accepted boolean")
