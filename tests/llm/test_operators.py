@@ -3,12 +3,14 @@
 import collections
 import hashlib
 import math
+import os
 import re
 import zlib
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from brute import LOWER, WORD, brute_components, brute_mix, key_of, leaks_of
 from pyspark.sql import functions as F
 
 from tideline.llm import language_id
@@ -17,16 +19,15 @@ from tideline.llm.decontamination import decontaminate
 from tideline.llm.language_id import identify_languages, train_language_id
 from tideline.llm.license_scan import scan_licenses
 from tideline.llm.license_texts import LICENSES
-from tideline.llm.lm_scoring import ORDER, SHARE, WARM, score_documents
+from tideline.llm.lm_scoring import DISCOUNT, ORDER, score_documents
 from tideline.llm.minhash import near_duplicates
 from tideline.llm.mixing import mix_sources
-from tideline.llm.quality_rules import apply_rules, choose_cutoffs, upper_bound
+from tideline.llm.quality_rules import DELTA, LIMIT, RULES, STEPS, apply_rules, choose_cutoffs, upper_bound
+from tideline.llm.shared import row_key
 from tideline.llm.sharding import shard_by_bytes
 from tideline.llm.substring_dedup import substring_dedup
 from tideline.llm.token_counts import token_counts
 
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
-LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, shard string, kept string"
 
 
@@ -107,62 +108,63 @@ def test_token_counts(spark, docs, local, odd, empty, tmp_path):
 
 def test_decontamination(spark, docs, local, data, odd, empty):
     bench = spark.read.parquet(f"{data}/benchmark.parquet")
-    items = {r.item_id: [w.lower() for w in re.findall(r"\w+", r.text)] for r in bench.collect()}
-    want = set()
-    for i, r in local.items():
-        words = " " + " ".join(w.lower() for w in re.findall(r"\w+", r.text or "")) + " "
-        want |= {(i, k) for k, w in items.items() if " " + " ".join(w) + " " in words}
-    out = decontaminate(docs, bench)
-    assert want <= {(r.doc_id, r.item_id) for r in out.collect()}
-    # what is found besides holds at least 13 words of the item in a row
-    for i, k in {(r.doc_id, r.item_id) for r in out.collect()} - want:
-        text = " ".join(re.findall(r"\w+", local[i].text.lower()))
-        assert any(" ".join(items[k][a : a + 8]) in text for a in range(len(items[k])))
+    found = {(r.doc_id, r.item_id, r.matched_words) for r in decontaminate(docs, bench).collect()}
+    assert found == leaks_of([(i, r.text) for i, r in local.items()], [(r.item_id, r.text) for r in bench.collect()]) and found
     question = "Anna bought 12 red apples and 12 green pears for 5.50 dollars, then walked 3 km to the market."
-    bench = spark.createDataFrame([(1, "So then " + question, "z"), (2, None, "z"), (3, "short one", "z")], "item_id long, text string, kept string")
+    long_item = "The old mill by the river grinds wheat and barley all through the long winter. It holds 12 stones and 12 sieves for the miller to use."
+    items = [(1, "So then " + question), (2, None), (3, "short one"), (4, "What weighs more than gold"), (5, "1 2 3 4 5 6 7 8 9 10"), (6, long_item), (7, "")]
     texts = [
         "Yesterday then Maria bought 7 red apples and 7 green pears for 9 dollars, then walked 40 km to the market. End.",
         "Yesterday then Maria bought 7 red apples and 8 green pears for 9 dollars, then walked 40 km to the market. End.",
         "He bought nothing at all and walked home to sleep for a while in the quiet of the evening.",
         "So then " + question,
-    ]
-    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {(r.doc_id, r.item_id, r.verbatim) for r in decontaminate(frame, bench).collect()}
-    assert got == {(0, 1, False), (3, 1, True)}
+        # a name of two words; equal values where the item's differ
+        "Yesterday then Maria Lopez bought 9 red apples and 9 green pears for 9 dollars, then walked 9 km to the market. End.",
+        # a verbatim run, then another value for one of two equal ones
+        "x y. " + long_item.replace("12 sieves", "14 sieves"),
+        # a word put in: neither side is long enough alone
+        question.replace("and 12 green", "and exactly 12 green"),
+        "they asked: what weighs more than gold? nobody knew", "short one", "a short one here", "set 1 2 3 4 5 6 7 8 9 10 end", "set 1 2 3 4 5 6 7 9 8 10 end", None, "", "#n=3 = _ # %",
+    ]
+    frame = spark.createDataFrame([(None if k == 3 else k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    bench = spark.createDataFrame([(k, t, "z") for k, t in items], "item_id long, text string, kept string")
+    out = decontaminate(frame.unionByName(frame.where("doc_id = 0")), bench).collect()
+    got = {(3 if r.doc_id is None else r.doc_id, r.item_id, r.matched_words) for r in out}
+    assert got == leaks_of(enumerate(texts), items) and len(out) == len(got)
+    assert {(i, k) for i, k, _ in got} == {(0, 1), (3, 1), (4, 1), (5, 6), (6, 1), (7, 4), (8, 3), (10, 5)}
+    assert {r.doc_id for r in out if r.verbatim} == {None, 5, 6, 7, 8, 10}
     assert decontaminate(odd, bench).count() == 0 and decontaminate(empty, bench).count() == 0
     assert decontaminate(frame, bench.limit(0)).count() == 0
 
 
+def stream_of(words):
+    """A text's bytes as the model sees them: beginnings, words with a space behind each, an end."""
+    return [0xFE] * ORDER + [x for w in words for x in [*w.encode(), 0x20]] + [0xFF]
+
+
 def brute_lm(texts, learn):
     """Unigram base and PPM by plain recursion."""
     words = {i: WORD.findall((t or "").translate(LOWER)) for i, t in texts.items()}
     counts = collections.Counter()
     grams = [collections.defaultdict(collections.Counter) for _ in range(ORDER + 1)]
-
-    def steps(w):
-        body = b" " + w.encode() + b" "
-        for j in range(1, len(body)):
-            ctx = ([0xFE] * ORDER + list(body[:j]))[-ORDER:]
-            yield tuple(ctx), body[j]
-
-    end = (tuple([0xFE] * (ORDER - 1) + [0x20]), 0xFF)
     for i in learn:
         counts.update([*words[i], None])
-        for s in [x for w in words[i] for x in steps(w)] + [end]:
+        body = stream_of(words[i])
+        for j in range(ORDER, len(body)):
             for k in range(ORDER + 1):
-                grams[k][s[0][ORDER - k :]][s[1]] += 1
+                grams[k][tuple(body[j - k : j])][body[j]] += 1
     n, v = sum(counts.values()), len(counts)
 
     def ppm(ctx, sym):
         p, banned = 1.0, set()
         for k in range(ORDER, -1, -1):
             seen = {s: c for s, c in grams[k].get(ctx[ORDER - k :], {}).items() if s not in banned}
-            total = sum(seen.values()) + len(seen)
+            total = sum(seen.values())
             if not total:
                 continue
             if sym in seen:
-                return p * seen[sym] / total
-            p *= len(seen) / total
+                return p * (seen[sym] - DISCOUNT) / total
+            p *= DISCOUNT * len(seen) / total
             banned |= set(seen)
         return p / (256 - len(banned))
 
@@ -170,12 +172,8 @@ def brute_lm(texts, learn):
     for i, w in words.items():
         tokens = [*w, None]
         base = sum(math.log10((counts[t] + 0.1) / (n + 0.1 * (v + 1))) for t in tokens)
-        score, past = 0.0, collections.Counter()
-        for t, x in enumerate(tokens):
-            a = SHARE * t / (t + WARM)
-            p = math.prod(ppm(*s) for s in ([end] if x is None else steps(x)))
-            score += math.log10((1 - a) * p + (a * past[x] / t if t else 0))
-            past[x] += 1
+        body = stream_of(w)
+        score = sum(math.log10(ppm(tuple(body[j - ORDER : j]), body[j])) for j in range(ORDER, len(body)))
         out[i] = (len(tokens), sum(counts[t] > 0 for t in tokens), n, base, score)
     return out
 
@@ -205,11 +203,8 @@ def test_lm_scoring_keeps_rare_contexts(spark):
     rows = [(i, " ".join(text[i * 2500 : i * 2500 + 2500])) for i in range(60)] + [(60, " ".join(probe))]
     frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     got = score_documents(frame, F.col("doc_id") < 60).where("doc_id = 60").first()
-    wide = np.full((len(words), ORDER + 20), 0xFE, np.uint8)
-    wide[:, ORDER - 1], wide[:, ORDER:-1], wide[:, -1] = 0x20, words, 0x20
+    wide = np.array([stream_of(text[i * 2500 : i * 2500 + 2500]) for i in range(60)], np.uint8)
     seen = np.lib.stride_tricks.sliding_window_view(wide, ORDER + 1, axis=1).reshape(-1, ORDER + 1)
-    ends = np.array([[0xFE] * (ORDER - 1) + [0x20, 0xFF]] * 60, np.uint8)
-    seen = np.concatenate([seen, ends])
 
     def ppm(ctx, sym):
         p, banned = 1.0, set()
@@ -218,22 +213,28 @@ def test_lm_scoring_keeps_rare_contexts(spark):
             for j in range(ORDER - 1, ORDER - 1 - k, -1):
                 part = part[part[:, j] == ctx[j]]
             counts = {s: c for s, c in enumerate(np.bincount(part[:, -1]).tolist()) if c and s not in banned}
-            total = sum(counts.values()) + len(counts)
+            total = sum(counts.values())
             if not total:
                 continue
             if sym in counts:
-                return p * counts[sym] / total
-            p *= len(counts) / total
+                return p * (counts[sym] - DISCOUNT) / total
+            p *= DISCOUNT * len(counts) / total
             banned |= set(counts)
         return p / (256 - len(banned))
 
-    want = 0.0
-    for t, w in enumerate([*probe, None]):
-        body = [0xFE] * (ORDER - 1) + [0x20] + ([0xFF] if w is None else [*w.encode(), 0x20])
-        want += math.log10(1 - SHARE * t / (t + WARM)) + sum(math.log10(ppm(body[j - ORDER : j], body[j])) for j in range(ORDER, len(body)))
+    body = stream_of(probe)
+    want = sum(math.log10(ppm(body[j - ORDER : j], body[j])) for j in range(ORDER, len(body)))
     assert got.score == pytest.approx(want, rel=1e-9)
 
 
+def test_lm_scoring_beats_words(spark):
+    """On texts that it hasn't learnt the model is clearly ahead of the word-unigram base."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    out = score_documents(docs, ~q.held_out(10, 0)).where("not trained")
+    r = out.agg((F.sum("score") / F.sum("n_tokens")).alias("s"), (F.sum("base_score") / F.sum("n_tokens")).alias("b")).first()
+    assert r.s > r.b + 0.15
+
+
 def test_mixing(docs, local, odd, empty):
     out = mix_sources(docs).collect()
     sizes = {i: len(WORD.findall(r.text or "")) for i, r in local.items()}
@@ -258,6 +259,19 @@ def test_mixing(docs, local, odd, empty):
         taken[r.source] += r.taken
     longest = max(sizes.values())
     assert all(abs(taken[s] - target[s]) <= longest for s in by) and sum(taken.values()) <= budget
+    rows = [(i, r.text, r.source) for i, r in local.items()]
+    times = collections.Counter()
+    for r in out:
+        times[bytes(r.row_key)] += r.taken // r.size if r.size else 0
+    assert times == brute_mix(rows)
+    # equal rows, with and without an id, and a null source
+    many = [r for r in rows[:9] for _ in range(7)] + [(None, "one two three four", None)] * 50 + [(7, "x y", None), (None, None, "src1")]
+    frame = odd.sparkSession.createDataFrame(many, "doc_id long, text string, source string").repartition(3)
+    times = collections.Counter()
+    for r in (got := mix_sources(frame).collect()):
+        assert r.taken in (0, r.size, 2 * r.size)
+        times[bytes(r.row_key)] += r.taken // r.size if r.size else 0
+    assert len(got) == len(many) and times == brute_mix(many)
     first = rows_of(mix_sources(odd).select("doc_id", "size", "source_size", "target", "taken"))
     assert first == rows_of(mix_sources(odd.repartition(5)).select("doc_id", "size", "source_size", "target", "taken"))
     assert len(first) == odd.count() and mix_sources(empty).count() == 0
@@ -291,6 +305,36 @@ def test_language_id_rejects(spark, docs):
     assert share["clean"] >= 0.95 and share["left out"] <= 0.1 and share["junk"] == 0
 
 
+def test_language_id_rejects_other_scripts(spark, docs):
+    """At most one in fifty texts of other scripts, code and noise is accepted, while clean texts stay."""
+    model = train_language_id(docs.where(~q.held_out(4, 2)))
+    rng = np.random.default_rng(11)
+    pick = lambda letters, n: "".join(rng.choice(list(letters), n))
+    alphabets = ["абвгдежзийклмнопрстуфхцчшщыэюя ", "αβγδεζηθικλμνξοπρστυφχψω ", "的一是在不了有和人这中大为上个国我以要他", "abcdefghijklmnopqrstuvwxyz ", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "{}();=<>!&|[] intforifelsereturn0123456789\n"]
+    texts = [pick(a, int(n)) for a in alphabets for n in rng.integers(200, 900, 50)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = identify_languages(frame, model).collect()
+    for k in range(len(alphabets)):
+        assert sum(r.accepted for r in out if r.doc_id // 50 == k) <= 1
+    # predictions, by plain Python
+    langs, table, bias, temperature, threshold = model
+    for r in identify_languages(docs.where("doc_id < 20"), model).join(docs.select("doc_id", "text"), "doc_id").collect():
+        body = r.text.translate(LOWER).encode()
+        z, n = np.zeros(len(langs)), 0
+        for size in language_id.GRAMS:
+            for a in range(len(body) - size + 1):
+                h = size
+                for x in body[a : a + size]:
+                    h = (h ^ x) * 16777619 % 2**32
+                z += table[(h ^ (h >> 15)) % language_id.BUCKETS]
+                n += 1
+        z = z / n + bias
+        odds = np.exp((z - z.max()) / temperature)
+        best = sorted(z)
+        assert r.lang_pred == langs[int(z.argmax())] and r.score == pytest.approx(odds.max() / odds.sum(), rel=1e-6)
+        assert r.accepted == (best[-1] - best[-2] >= threshold) or abs(best[-1] - best[-2] - threshold) < 1e-9
+
+
 def test_language_id_learns_from_whole_texts(spark):
     text = " ".join(f"{i * 7919 % 100003:x}" for i in range(5000))
     batch = pa.RecordBatch.from_arrays([pa.array([text]), pa.array(["en"]), pa.array([1], pa.int64())], names=["x", "lang", "h"])
@@ -326,6 +370,46 @@ def test_quality_rules(spark, docs, local, data, odd, empty):
     assert choose_cutoffs([0, 0, 1, 50], 5000, 0.004, 0.002) == 3 and choose_cutoffs([0], 10, 0.004, 0.002) == 0
 
 
+def test_quality_rules_verdict(spark):
+    """kept and broken against a plain walk along the path, with exact binomial tails."""
+    sf = "/root/testdata/sf0.1"
+    quality = {}
+    for r in spark.read.parquet(f"{sf}/labels.parquet").collect():
+        quality[r.doc_id] = min(r.quality, quality.get(r.doc_id, 1))
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    out = apply_rules(docs, spark.read.parquet(f"{sf}/labels.parquet")).collect()
+    lang = {r.doc_id: r.lang for r in docs.select("doc_id", "lang").collect()}
+
+    def values(r):
+        w = max(r.n_words, 1)
+        return {"symbols": r.n_symbols / w, "dup_lines": r.n_dup_lines / max(r.n_lines, 1), "repeats": r.n_repeat_words / w, "long_words": r.word_chars / w, "short_words": -r.word_chars / w}
+
+    def broken(r, step):
+        return [k for k, v in values(r).items() if v > RULES[k][1][step]]
+
+    strata = collections.defaultdict(list)
+    for r in out:
+        if quality.get(r.doc_id) == 1 and not r.base_failed:
+            strata[lang[r.doc_id]].append(r)
+    steps = {}
+    for s, rows in strata.items():
+        n, steps[s] = len(rows), -1
+        for step in range(STEPS):
+            k = sum(bool(broken(r, step)) for r in rows)
+            # the bound is within LIMIT if k or fewer have probability DELTA at most there
+            tail = math.fsum(math.exp(math.lgamma(n + 1) - math.lgamma(j + 1) - math.lgamma(n - j + 1) + j * math.log(LIMIT) + (n - j) * math.log1p(-LIMIT)) for j in range(k + 1))
+            if tail > DELTA / len(strata):
+                break
+            steps[s] = step
+    assert sum(k >= 0 for k in steps.values()) >= 3
+    for r in out:
+        want = broken(r, k) if (k := steps.get(lang[r.doc_id], -1)) >= 0 else []
+        assert r.broken == ",".join(want) and r.kept == (not r.base_failed and not want)
+    bad = [r for r in out if not r.base_failed and r.broken]
+    print(steps, len(bad), sum(quality.get(r.doc_id) == 1 for r in bad), sum(quality.get(r.doc_id) == 0 for r in bad))
+    assert bad
+
+
 def test_license_scan(spark, odd, empty):
     mit = LICENSES[0][1]
     texts = [
@@ -338,32 +422,90 @@ def test_license_scan(spark, odd, empty):
     assert scan_licenses(odd).count() == odd.count() and scan_licenses(empty).count() == 0
 
 
+def test_license_scan_of_wrapped_texts(spark):
+    """Known texts at any width, under usual titles and copyright lines, by Spark and by SQL."""
+    import textwrap
+
+    titles = {"MIT": ["MIT License", "The MIT License (MIT)"], "ISC": ["ISC License"], "BSD-2-Clause": ["BSD 2-Clause License"], "BSD-3-Clause": ['BSD 3-Clause "New" or "Revised" License'], "Unlicense": [], "Zlib": ["zlib License"], "BSL-1.0": ["Boost Software License - Version 1.0 - August 17th, 2003"]}
+    heads = ["", "Copyright (c) 2019-2024, The Authors\n\n", "Copyright 2020 A. N. Other <a@b.c>\nCopyright (C) 1999 B.\nAll rights reserved.\n\n", "Copyright Jane Doe\n", "(c) 2021 Z\n", "// \u00a9 Someone\n"]
+    rows = []
+    for name, text in LICENSES:
+        for width in range(40, 121):
+            body = "\n".join(textwrap.fill(part, width) for part in text.split("\n"))
+            for head in ["", heads[width % len(heads)]]:
+                rows.append((name, head + body))
+                rows += [(name, t + "\n\n" + head + body) for t in titles.get(name, [])]
+    rows += [(None, "Copyright notice"), (None, "Copyright 2020 X"), (None, LICENSES[0][1] + " And more."), (None, "MIT License"), ("MIT", "Released under the MIT licence.")]
+    frame = spark.createDataFrame([(k, t) for k, (_, t) in enumerate(rows)], "doc_id long, text string")
+    got = {r.doc_id: r for r in scan_licenses(frame).collect()}
+    assert [k for k, (name, _) in enumerate(rows) if got[k].license_id != name] == []
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", [(k, t) for k, (_, t) in enumerate(rows) if k % 7 == 0])
+    for doc_id, digest, license_id, n, notices in con.execute(q.op8_sql()).fetchall():
+        r = got[doc_id]
+        assert (r.text_digest, r.license_id, r.n_notices, r.notices) == (digest, license_id, n, notices)
+
+
+def test_license_digests(spark):
+    """Long texts, where this machine has them, against the fixed digests."""
+    names = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+    at = {f: f"/usr/share/common-licenses/{f}" for f in names}
+    have = {f: p for f, p in at.items() if os.path.exists(p)}
+    if not have:
+        pytest.skip("no licence texts on this machine")
+    rows = [(names[f], open(p, encoding="utf-8").read()) for f, p in have.items()]
+    frame = spark.createDataFrame([(k, t) for k, (_, t) in enumerate(rows)], "doc_id long, text string")
+    assert {r.doc_id: r.license_id for r in scan_licenses(frame).collect()} == {k: n for k, (n, _) in enumerate(rows)}
+
+
 def test_near_duplicates(docs, local, odd, empty):
-    sets = {}
-    for i, r in local.items():
-        w = WORD.findall((r.text or "").translate(LOWER))
-        sets[i] = {tuple(w[k : k + 5]) for k in range(max(len(w) - 4, 1))} if w else set()
-    root = {i: i for i in sets}
-
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
-
-    ids = sorted(sets)
-    for a in ids:
-        for b in ids:
-            if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
-                x, y = find(a), find(b)
-                root[max(x, y)] = min(x, y)
+    ids = sorted(local)
+    want = brute_components([local[i].text for i in ids])
     got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_duplicates(docs).collect()}
-    assert got == {i: (len(sets[i]), find(i), find(i) == i) for i in ids}
+    assert got == {i: (n, ids[c], c == k) for k, (i, (n, c)) in enumerate(zip(ids, want))}
     got = rows_of(near_duplicates(odd).select("doc_id", "component_id", "kept"))
-    want = [(1, 1, True), (2, 1, False), (2, 1, False), (3, 3, True), (None, None, True), (None, None, True), (4, 4, True), (5, 5, True), (6, 6, True), (7, 6, False), (8, 8, True), (8, 8, True)]
+    want = [(1, 1, True), (2, 1, False), (2, 1, False), (3, 3, True), (None, 1, False), (None, None, True), (4, 4, True), (5, 5, True), (6, 6, True), (7, 6, False), (8, 8, True), (8, 8, True)]
     assert got == sorted(want, key=lambda r: tuple((x is None, str(x)) for x in r))
     assert near_duplicates(empty).count() == 0
 
 
+def test_near_duplicates_dense_groups(spark):
+    """Groups whose members lie on both sides of the threshold, cut and lengthened too, some without ids."""
+    rng = np.random.default_rng(5)
+    texts = []
+    for base in range(3):
+        words = [f"w{base}_{i}" for i in range(100)]
+        for _ in range(90):
+            t = list(words[: rng.integers(70, 101)])
+            for j in rng.integers(0, len(t), rng.integers(0, 6)):
+                t[j] = f"x{rng.integers(1 << 40)}" if rng.random() < 0.7 else f"y{j % 7}"
+            texts.append(" ".join(t + [f"z{rng.integers(1 << 40)}"] * int(rng.integers(0, 4))))
+    texts += [texts[5]] * 40
+    want = brute_components(texts)
+    ids = [None if k % 5 == 4 else k for k in range(len(texts))]
+    rows = {(ids[k], texts[k]): c for k, (_, c) in enumerate(want)}
+    first = collections.defaultdict(list)
+    for (i, _), c in rows.items():
+        first[c].append(i)
+    name = {c: min((i for i in g if i is not None), default=None) for c, g in first.items()}
+    frame = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string").repartition(4)
+    got = near_duplicates(frame).join(frame.select(row_key("doc_id", "text").alias("row_key"), "text").distinct(), "row_key").collect()
+    assert len(got) == len(texts)
+    keys = collections.defaultdict(set)
+    for r in got:
+        c = rows[(r.doc_id, r.text)]
+        keys[c].add(r.component_key)
+        assert r.component_id == name[c]
+        if name[c] is not None:
+            assert r.kept == (r.doc_id == name[c])
+    assert all(len(k) == 1 for k in keys.values()) and len({*map(min, keys.values())}) == len(keys)
+    alone = {c for c in keys if name[c] is None}
+    assert {c for c in alone if any(r.kept for r in got if rows[(r.doc_id, r.text)] == c)} == alone
+
+
 def test_sharding(spark, docs, local, odd, empty):
     out = shard_by_bytes(docs).collect()
     total, by = sum(r.size for r in out), collections.defaultdict(list)
