@@ -1,12 +1,16 @@
 """From raw documents to sharded training data: five stages, each a table that the next one reads.
 
-Cases: stages take documents with further columns, which pass through (but for the last, which
-returns places); null texts have no language and go in the first stage; rows that share an id are
-told apart by their texts, equal ones fare alike; null ids pass; empty tables give empty ones."""
+Cases, alike in all stages: documents may have further columns of any name, which pass through (but for the last stage,
+which returns places); rows are told apart by 128-bit keys of id and text (and source, where mixed), so null and repeated
+ids pass; empty tables give empty ones; texts of any length are read whole. By stage: null texts and those without a letter have no
+language and go; of equal rows, as of any group of near-duplicates, one stays, that with the smallest id, then
+key, while texts without words are in no group and all stay; a document goes if it leaks any item, ties or not; in the mix equal rows
+get as many copies as their places in the queue give them together, dealt out evenly; shards are cut at equal bytes."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tideline.llm.decontamination import decontaminate
@@ -14,19 +18,14 @@ from tideline.llm.language_id import keep_identified, train_language_id
 from tideline.llm.minhash import near_duplicates
 from tideline.llm.mixing import mix_sources
 from tideline.llm.sharding import shard_by_bytes
-from tideline.llm.shared import durable
+from tideline.llm.shared import durable, release, row_key
 
+CHUNK_ROWS = 10_000
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """Columns that tell rows apart, beside all others under one name that clashes with none."""
-    crc = F.crc32(F.coalesce("text", F.lit("")).cast("binary"))
-    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("i"), crc.alias("t"))
 
-
-def _joined(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
-    keys = keys.select(F.col("doc_id").alias("j"), F.col("text_crc32").alias("u"), *[c for c in keys.columns if c not in ("doc_id", "text_crc32")])
-    rows = _keyed(docs)
-    return rows.join(keys, rows.i.eqNullSafe(keys.j) & (rows.t == keys.u), how)
+def _keyed(docs: DataFrame, *columns: str) -> DataFrame:
+    """The rows, whole, under a name that clashes with none, and their keys."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), row_key(*columns).alias("key"))
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,21 +35,49 @@ def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """MinHash near-dedup; one document of each group stays."""
-    kept = near_duplicates(docs).where("kept").select("doc_id", "text_crc32").distinct()
-    return _joined(docs, kept, "left_semi").select("row.*")
+    found = near_duplicates(docs).where("kept")
+    group = F.coalesce(F.col("component_key").cast("string").cast("binary"), F.col("row_key"))
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")).alias("m")
+    grouped = found.groupBy(group.alias("group"), F.col("component_key").isNull().alias("alone")).agg(first, F.count("*").alias("n"))
+    # texts without words are in no group: all their rows stay
+    kept = durable(grouped.select(F.col("m.row_key").alias("key"), "alone"))
+    rows = _keyed(docs, "doc_id", "text")
+    one = rows.join(kept.where("not alone"), "key", "left_semi").groupBy("key").agg(F.any_value("row").alias("row")).select("row.*")
+    return one.unionByName(rows.join(kept.where("alone"), "key", "left_semi").select("row.*"))
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Benchmark decontamination; documents with a leak go."""
     leaks = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return _joined(docs, leaks.select("doc_id", "text_crc32").distinct(), "left_anti").select("row.*")
+    return _keyed(docs, "doc_id", "text").join(leaks.select(F.col("row_key").alias("key")).distinct(), "key", "left_anti").select("row.*")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Mixing sources to target weights; a document that is taken twice is there twice."""
-    taken = mix_sources(docs).where("taken > 0")
-    times = taken.select("doc_id", "text_crc32", (F.col("taken") / F.col("size")).cast("int").alias("times")).distinct()
-    return _joined(docs, times, "inner").select("row", F.explode(F.array_repeat(F.lit(0), F.col("times")))).select("row.*")
+    taken = mix_sources(docs).where("size > 0").groupBy(F.col("row_key").alias("key"))
+    times = taken.agg(F.count("*").alias("rows"), F.sum(F.expr("taken div size")).alias("times")).where("times > 0")
+    times = durable(times.select("key", F.expr("times div rows").alias("each"), (F.col("times") % F.col("rows")).alias("more")))
+    try:
+        where = docs.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"))
+        del where
+    except AnalysisException:  # not a table as read: rows have no place yet
+        docs = durable(docs)
+    columns = ("doc_id", "text", "source")
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at")).alias("place")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), row_key(*columns).alias("key"), place)
+    # where the budget ends among equal rows, the first of them by place get one more: at most a key for each source and pass
+    split = F.broadcast(times.where("more > 0").select("key", "more"))
+    few = durable(docs.select(row_key(*columns).alias("key"), place).join(split, "key").select("key", "more", "place.*").withColumn("chunk", F.expr(f"at div {CHUNK_ROWS}")))
+    chunks = few.groupBy("key", "file", "chunk").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("key").orderBy("file", "chunk").rowsBetween(Window.unboundedPreceding, -1))
+    chunks = chunks.withColumn("before", F.coalesce(before, F.lit(0))).drop("n")
+    rank = F.row_number().over(Window.partitionBy("key", "file", "chunk").orderBy("at"))
+    ranked = few.withColumn("rank", rank).join(chunks, ["key", "file", "chunk"]).where("before + rank <= more")
+    extra = durable(ranked.select(F.struct("file", "at").alias("place"), F.lit(1).alias("extra")))
+    all_times = rows.join(times, "key").join(extra, "place", "left").select("row", (F.col("each") + F.coalesce("extra", F.lit(0))).cast("int").alias("times"))
+    out = all_times.where("times > 0").select("row", F.explode(F.array_repeat(F.lit(0), F.col("times")))).select("row.*")
+    release(few)
+    return out
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -73,7 +100,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
             docs = durable(docs)
+        if 0 < k < len(STAGES) - 1:
+            release(before)
     return docs
