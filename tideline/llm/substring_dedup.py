@@ -3,9 +3,9 @@
 Every window of `min_words` words holds one winnowed anchor: its smallest-hashed run of
 ANCHOR_WORDS words, leftmost among equals. The anchor depends on the window's words alone, so all
 copies of a window meet at one anchor, and only about two runs in eleven are anchors. An anchor is
-a seed; with it travel fingerprints of its extensions, the windows around it, and documents that
-meet at the seed match exactly as far, left and right, as these agree. Runs of matched windows make
-up the maximal repeats.
+a seed; with it travel fingerprints of the windows around it, its one-word steps of extension. Where documents meet at a seed,
+each that isn't the first extends its match word by word to the left and to the right as long as the next window, too, is
+in a document with a smaller id. What overlaps or touches is then joined into maximal repeats, which go.
 
 Scale: a task first settles windows among its own rows and sends on each only from the smallest
 document, packed by anchor bucket, so copies by the thousand add one record for each task. Anchors
@@ -142,14 +142,11 @@ def _unpack(blob):
     return rec, np.frombuffer(blob, np.uint32, -1, at)
 
 
-def _settle(table):
-    """The seeds of one bucket: which windows have a smaller document elsewhere."""
-    rec, marks = zip(*map(_unpack, table.column("payload").to_pylist()))
-    rec, marks = np.concatenate(rec), np.concatenate(marks)
+def _late(rec, marks):
+    """For each seed the windows around it, as bits, that a smaller document has too."""
     n = np.bitwise_count(rec["sent"]).astype(np.int64)
     of = np.repeat(np.arange(len(rec)), n)
-    bits = (rec["sent"][:, None] >> np.arange(16, dtype=np.uint16)) & 1
-    bit = np.nonzero(bits)[1]
+    bit = np.nonzero((rec["sent"][:, None] >> np.arange(16, dtype=np.uint16)) & 1)[1]
     gone = rec["gone"].astype(np.int64)
     if len(of):
         order = np.lexsort((marks, rec["anchor"][of]))
@@ -158,13 +155,28 @@ def _settle(table):
         least = np.repeat(np.minimum.reduceat(d, head), np.diff(np.r_[head, len(d)]))
         late = order[d > least]
         np.bitwise_or.at(gone, of[late], np.left_shift(1, bit[late]))
-    keep = gone > 0
-    rec, gone = rec[keep], gone[keep]
-    return pa.table({"d": rec["doc"], "t": rec["tag"], "m": (rec["at"].astype(np.int64) << 16) | gone})
+    return gone
+
+
+def _extend(min_words):
+    """The seeds of one bucket to the matches that they extend to: (document, tag, first and last word in one number)."""
+
+    def run(table):
+        rec, marks = (np.concatenate(x) for x in zip(*map(_unpack, table.column("payload").to_pylist())))
+        gone = _late(rec, marks)
+        # a match begins where the window to the left isn't one, and ends where that to the right isn't
+        left, right = gone & ~(gone << 1), gone & ~(gone >> 1)
+        bits = np.arange(17)
+        row, first = np.nonzero((left[:, None] >> bits) & 1)
+        _, last = np.nonzero((right[:, None] >> bits) & 1)
+        at = rec["at"].astype(np.int64)[row]
+        return pa.table({"d": rec["doc"][row], "t": rec["tag"][row], "m": ((at + first) << 32) | (at + last + min_words - 1)})
+
+    return run
 
 
 def _cut(min_words):
-    """Arrow mapper: words covered by a marked window go; the rest, joined by one space, stays."""
+    """Arrow mapper: matches are joined into maximal repeats, which go; the rest, joined by one space, stays."""
 
     def run(batches):
         for batch in batches:
@@ -180,11 +192,9 @@ def _cut(min_words):
                     spans.append([])
                     kept.append(b" ".join(words))
                     continue
-                at = (m >> 16)[:, None] + np.arange(16)
-                at = at[((m[:, None] >> np.arange(16)) & 1) == 1]
                 change = np.zeros(n + 1, np.int64)
-                np.add.at(change, at, 1)
-                np.add.at(change, at + min_words, -1)
+                np.add.at(change, m >> 32, 1)
+                np.add.at(change, (m & 0xFFFFFFFF) + 1, -1)
                 gone = np.cumsum(change)[:n] > 0
                 edge = np.flatnonzero(np.diff(np.r_[False, gone, False]))
                 spans.append([{"first": int(a), "last": int(b) - 1} for a, b in edge.reshape(-1, 2)])
@@ -206,8 +216,9 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     A word goes if a window of min_words words that covers it also starts in a document with a
     smaller id; windows are those of the input. Defined cases: null text has no words; a null id
     orders after all others and stays null; rows that share an id never remove each other's
-    words, equal ones get equal results; an empty table gives an empty one; other columns are
-    ignored. Words are `[^\\x20\\x09-\\x0D]+`. min_words lies between 5 and 19."""
+    words, equal ones get equal results, and of documents that share a window all but those with the smallest id lose it;
+    a text of any length is taken whole, at about 60 times its bytes in one task's memory; an empty table gives an empty
+    one; other columns are ignored. Words are `[^\\x20\\x09-\\x0D]+`. min_words lies between 5 and 19."""
     if not ANCHOR_WORDS < min_words <= ANCHOR_WORDS + 15:
         raise ValueError("min_words must be between 5 and 19")
     spark = docs.sparkSession
@@ -223,7 +234,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         rows.select("i", "x", tag.alias("t"))
         .mapInArrow(_seeds(min_words, hot, buckets), "bucket long, payload binary")
         .groupBy("bucket")
-        .applyInArrow(_settle, "d long, t long, m long")
+        .applyInArrow(_extend(min_words), "d long, t long, m long")
         .groupBy("d", "t")
         .agg(F.collect_list("m").alias("m"))
     )
