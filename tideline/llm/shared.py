@@ -44,15 +44,21 @@ def _sweep():
             return
 
 
+def scratch(spark: SparkSession) -> str:
+    """A path for a table in the shared folder, which goes at the interpreter's end."""
+    if not _written:
+        atexit.register(_sweep)
+    path = f"{shared_dir(spark)}/tideline-{uuid.uuid4().hex}"
+    _written[path] = spark
+    return path
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Write df as a table in the shared folder and read it back: cuts lineage, and survives the
     loss of executors. Unlike cache() nothing depends on executor memory or local disks."""
-    if not _written:
-        atexit.register(_sweep)
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tideline-{uuid.uuid4().hex}"
+    path = scratch(spark)
     df.write.parquet(path)
-    _written[path] = spark
     out = spark.read.schema(df.schema).parquet(path)
     out.tideline_path = path
     return out

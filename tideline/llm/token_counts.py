@@ -6,7 +6,7 @@ are encoded, once each however many rows have them, and the new counts are appen
 
 Scale: digests are computed where the text is read; rows travel as 40 bytes, and text moves only
 for the one row that stands for each miss. The cache is a Parquet table, joined, never broadcast by
-force. Encoding works on a task's distinct pieces between white space, which no token spans."""
+force; counts are read from it alone. Encoding works on a task's distinct pieces between white space, which no token spans."""
 
 from __future__ import annotations
 
@@ -18,10 +18,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import durable
+from .shared import durable, placed, scratch
 
 #: Pieces whose counts a worker remembers before it starts afresh; texts in hand at a time.
 REMEMBERED, STEP = 1 << 19, 64
+CACHE = "tokenizer string, digest binary, n_tokens long"
 
 
 def file_digest(path: str) -> str:
@@ -101,34 +102,30 @@ def token_counts(
     """One row for each row of docs: doc_id, n_bytes (UTF-8), n_tokens, digest.
 
     Counts are the library's, without added special tokens; .json files load in tokenizers, .model
-    files in sentencepiece. With cache_path, counts there are used and new ones appended; without,
-    the cache starts empty and lasts for the call. Defined cases: null text counts as empty (0
-    bytes); null ids and repeated rows stay, one result each; an empty table gives an empty one;
+    files in sentencepiece. The cache is a table of tokenizer (digest of its file), digest and n_tokens at cache_path, which
+    lasts from call to call; without a path it is one of this call's own, in the shared folder. Defined cases: null text
+    counts as empty (0 bytes); null ids and repeated rows stay, one result each; a digest that several writers have
+    appended counts once; texts of any length are encoded whole, in a task's memory; an empty table gives an empty one;
     other columns are ignored."""
     spark = docs.sparkSession
+    docs, place = placed(docs)
     version = file_digest(tokenizer_path)
     pieces = tokenizer_path.endswith(".json") and _piecewise(tokenizer_path)
+    if cache_path is None:
+        cache_path = scratch(spark)
     text = F.coalesce(F.col(text_col), F.lit(""))
     # where white space gives no tokens, its amount is no part of the content
     normal = F.trim(F.regexp_replace(text, r"[\x20\x09-\x0D]+", " ")) if pieces else text
     digest = F.unhex(F.sha2(normal.cast("binary"), 256))
-    rows = docs.select(F.col(id_col).alias("doc_id"), digest.alias("digest"), F.octet_length(text).cast("long").alias("n_bytes"))
-    rows = durable(rows)
-    wanted = rows.groupBy("digest").agg(F.min("doc_id").alias("r"))
-    cached = None
-    if cache_path is not None:
-        try:
-            cached = spark.read.parquet(cache_path).where(F.col("tokenizer") == version).select("digest", "n_tokens")
-        except Exception as e:  # the first use of a cache finds no table
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
-    misses = wanted if cached is None else wanted.join(cached, "digest", "left_anti")
-    # the row that stands for a miss, by digest and id: copies of one text meet in no single task
-    texts = docs.select(digest.alias("digest"), F.col(id_col).alias("r"), normal.alias("x"))
-    on = (texts.digest == misses.digest) & texts.r.eqNullSafe(misses.r)
-    one = texts.join(misses.hint("shuffle_hash"), on, "left_semi").select("digest", "x")
-    fresh = durable(one.mapInArrow(_encoder(tokenizer_path, version, pieces), "digest binary, n_tokens long").dropDuplicates(["digest"]))
-    if cache_path is not None:
-        fresh.select("digest", "n_tokens", F.lit(version).alias("tokenizer")).write.mode("append").parquet(cache_path)
-    counts = fresh if cached is None else fresh.unionByName(cached.dropDuplicates(["digest"]))
+    rows = durable(docs.select(F.col(id_col).alias("doc_id"), digest.alias("digest"), F.octet_length(text).cast("long").alias("n_bytes"), place.alias("p")))
+    spark.createDataFrame([], CACHE).write.mode("append").parquet(cache_path)  # the first use makes the table
+    cached = spark.read.schema(CACHE).parquet(cache_path).where(F.col("tokenizer") == version).select("digest")
+    # one row stands for each miss, by its place: copies of one text meet in no single task
+    misses = rows.groupBy("digest").agg(F.min("p").alias("p")).join(cached, "digest", "left_anti")
+    texts = docs.select(place.alias("p"), normal.alias("x"))
+    one = texts.join(misses.hint("shuffle_hash"), "p").select("digest", "x")
+    fresh = one.mapInArrow(_encoder(tokenizer_path, version, pieces), "digest binary, n_tokens long")
+    fresh.select(F.lit(version).alias("tokenizer"), "digest", "n_tokens").write.mode("append").parquet(cache_path)
+    counts = spark.read.schema(CACHE).parquet(cache_path).where(F.col("tokenizer") == version)
+    counts = counts.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
     return rows.join(counts, "digest").select("doc_id", "n_bytes", "n_tokens", "digest")
