@@ -85,6 +85,39 @@ def test_substring_dedup_null_ids_of_like_checksum(spark):
     assert got == {(1, 30, 0, passage), (None, 34, 30, "head of it tail"), (None, 20, 0, short)}
 
 
+def test_substring_dedup_repeated_ids(spark):
+    """Many rows with null, equal and other ids that share passages, against plain Python, spans too."""
+    rng = np.random.default_rng(8)
+    passages = [[f"p{k}_{i}" for i in range(int(n))] for k, n in enumerate([13, 14, 30, 60, 12])]
+    rows = []
+    for k in range(400):
+        words = [f"u{k}_{i}" for i in range(int(rng.integers(0, 20)))]
+        for j in rng.integers(0, 5, 2):
+            cut = passages[j][int(rng.integers(0, 3)) :]
+            at = int(rng.integers(0, len(words) + 1))
+            words[at:at] = cut
+        rows.append((None if k % 3 == 0 else int(rng.integers(0, 60)), " ".join(words)))
+    rows += rows[:50] + [(None, rows[7][1])] * 30
+    least = {}
+    ids = lambda i: (1 << 63) - 1 if i is None else i
+    for i, t in rows:
+        w = t.split()
+        for a in range(len(w) - 12):
+            key = tuple(w[a : a + 13])
+            least[key] = min(ids(i), least.get(key, ids(i)))
+    want = collections.Counter()
+    for i, t in rows:
+        w, gone = t.split(), set()
+        for a in range(len(w) - 12):
+            if least[tuple(w[a : a + 13])] < ids(i):
+                gone |= set(range(a, a + 13))
+        spans = tuple((p, q) for p, q in zip(sorted(x for x in gone if x - 1 not in gone), sorted(x for x in gone if x + 1 not in gone)))
+        want[i, len(w), len(gone), " ".join(x for p, x in enumerate(w) if p not in gone), spans] += 1
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = collections.Counter((r.doc_id, r.n_words, r.n_removed, r.kept_text, tuple(map(tuple, r.spans))) for r in substring_dedup(frame).collect())
+    assert got == want
+
+
 def test_token_counts(spark, docs, local, odd, empty, tmp_path):
     import public_tokenizers
     from tokenizers import Tokenizer
@@ -104,6 +137,23 @@ def test_token_counts(spark, docs, local, odd, empty, tmp_path):
     assert rows_of(token_counts(odd, path, cache).select("doc_id", "n_bytes", "n_tokens")) == first
     assert spark.read.parquet(cache).count() == size and len(first) == odd.count()
     assert token_counts(empty, path).count() == 0
+    # warm: stored counts are believed, only misses are encoded and appended; other tokenizers' rows aren't seen
+    some = docs.where("doc_id < 40").select("doc_id", "text")
+    token_counts(some.where("doc_id < 20"), path, cache)
+    wrong = spark.read.parquet(cache).withColumn("n_tokens", F.col("n_tokens") + 1000)
+    other = str(tmp_path / "other")
+    wrong.unionByName(wrong.limit(5)).write.parquet(other)
+    size = wrong.select("digest").distinct().count()
+    got = {r.doc_id: r.n_tokens for r in token_counts(some, path, other).collect()}
+    assert got == {i: want[i] + 1000 * (i < 20 or local[i].text in {local[j].text for j in range(20)}) for i in got} and len(got) == 40
+    assert spark.read.parquet(other).select("digest").distinct().count() == size + len({local[i].text for i in range(20, 40)} - {local[j].text for j in range(20)})
+    piece = public_tokenizers.path("piece_bpe_32k.model")
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=piece)
+    assert {r.doc_id: r.n_tokens for r in token_counts(some, piece, other).collect()} == {i: len(model.encode(local[i].text or "")) for i in got}
+    got = {r.doc_id: r.n_tokens for r in token_counts(frame, piece).collect()}
+    assert got == {i: len(model.encode(t)) for i, t in enumerate(tricky)}
 
 
 def test_decontamination(spark, docs, local, data, odd, empty):
@@ -523,6 +573,26 @@ def test_sharding(spark, docs, local, odd, empty):
     for r in out:
         where[local[r.doc_id].text].add(r.shard)
     assert all(max(s) - min(s) == len(s) - 1 for s in where.values())
+    # every row's place, by plain Python
+    rows = sorted((hashlib.md5((r.text or "").encode()).hexdigest(), i, len((r.text or "").encode()) + 8) for i, r in local.items())
+    groups, start, where = collections.Counter(), 0, {}
+    for h, _, size in rows:
+        groups[h] += size
+    for h, i, size in rows:
+        where.setdefault(h, start)
+        middle = where[h] + groups[h] / 2 if groups[h] <= total / 24 / 50 else start + size / 2
+        where[i] = min(23, math.floor(middle * 24 / total))
+        start += size
+    slots = collections.Counter()
+    for _, i, _ in rows:
+        shard = where[i]
+        where[i] = (shard, slots[shard])
+        slots[shard] += 1
+    assert {r.doc_id: (r.shard, r.slot) for r in out} == {i: where[i] for i in local}
+    # a third of all rows are equal, ids too
+    same = spark.range(3000).select(F.when(F.col("id") % 3 > 0, F.col("id")).alias("doc_id"), F.when(F.col("id") % 3 == 0, "same text").otherwise(F.concat(F.lit("t"), "id")).alias("text"))
+    sums = [r.s for r in shard_by_bytes(same).groupBy("shard").agg(F.sum("size").alias("s")).collect()]
+    assert len(sums) == 24 and max(sums) - min(sums) <= 80
     hot = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "same text").otherwise(F.concat(F.lit("t"), "id")).alias("text"))
     sums = [r.s for r in shard_by_bytes(hot).groupBy("shard").agg(F.sum("size").alias("s")).collect()]
     assert len(sums) == 24 and max(sums) - min(sums) <= 80
