@@ -1,5 +1,6 @@
 """The compact form of bars: price deltas and offsets in cents, fixed-point volume, capped counts, a
-ratio byte. Written as Parquet, whose delta and bit packing then have small integers to work on."""
+ratio byte. Written as Parquet, whose delta and bit packing then have small integers to work on. Deltas
+begin anew in each chunk of `chunk` rows, so chunks are coded and decoded alone, and side by side."""
 
 from __future__ import annotations
 
@@ -11,11 +12,16 @@ from ..functions import scalars as s
 #: Fixed values of the format.
 PRICE_SCALE, VOLUME_SCALE, TRADES_CAP, RATIO_SCALE, OFFSET_CAP = 100, 10_000, 65_535, 255, 2_000_000_000
 INT_MAX = 2_147_483_647
+CHUNK = 86_400
 
 
-def encode(bars: DataFrame) -> DataFrame:
+def _chunks(chunk: int):
+    return Window.partitionBy("series", F.floor(F.col("row") / chunk)).orderBy("row")
+
+
+def encode(bars: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """series, ts, row and the encoded columns; values outside 32 bits raise."""
-    w = Window.partitionBy("series").orderBy("row")
+    w = _chunks(chunk)
     d = bars.withColumns({f"{c}_c": s.cents(F.col(c)) for c in ("open", "high", "low", "close")})
     d = d.withColumn("volume_i", F.bround(F.col("volume") * VOLUME_SCALE, 0).cast("long"))
     off = F.bround((s.vwap(F.col("volume"), F.col("quote_volume"), F.col("close")) - F.col("close_c") / PRICE_SCALE) * PRICE_SCALE, 0)
@@ -38,9 +44,9 @@ def encode(bars: DataFrame) -> DataFrame:
     return out
 
 
-def decode(coded: DataFrame) -> DataFrame:
-    """Bars again: prices exact to the cent."""
-    w = Window.partitionBy("series").orderBy("row").rowsBetween(Window.unboundedPreceding, 0)
+def decode(coded: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """Bars again: prices exact to the cent. chunk is that of encode."""
+    w = _chunks(chunk).rowsBetween(Window.unboundedPreceding, 0)
     d = coded.withColumn("c", F.sum("close_delta").over(w))
     volume = F.col("volume_i") / VOLUME_SCALE
     return d.select(

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .blocks import ROWS, last_known, previous
+
 PRICES, FLOWS = ("open", "high", "low", "close"), ("volume", "quote_volume", "trades", "taker_buy_base")
 
 
@@ -34,23 +36,24 @@ def last_wins(rows: DataFrame, order: str) -> DataFrame:
 
 def on_grid(bars: DataFrame, seconds: int, shared: bool = False) -> DataFrame:
     """All cells from each series' first bar to its last (of all series, if shared): missing ones
-    carry the last close as flat prices, no flow, and gap true. Adds row, the cell's number from 0."""
-    ends = bars.agg(F.min("ts").alias("lo"), F.max("ts").alias("hi"))
+    carry the last close as flat prices, no flow, and gap true. Adds row, the cell's number from 0.
+
+    Cells are made block by block, and the last close is carried over blocks, so one series fills on many tasks."""
+    ends = bars.groupBy("series").agg(F.min("ts").alias("lo"), F.max("ts").alias("hi"), F.min_by("close", "ts").alias("first_close"))
     if shared:
-        spans = bars.select("series").distinct().crossJoin(F.broadcast(ends))  # one row
-    else:
-        spans = bars.groupBy("series").agg(F.min("ts").alias("lo"), F.max("ts").alias("hi"))
-    cells = spans.select("series", "lo", F.explode(F.sequence("lo", "hi", F.lit(seconds))).alias("ts"))
+        whole = ends.agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))  # one row
+        ends = ends.select("series", "first_close").crossJoin(F.broadcast(whole))
+    last = F.floor((F.col("hi") - F.col("lo")) / seconds)
+    blocks = ends.select("series", "lo", "first_close", last.alias("last"), F.explode(F.sequence(F.lit(0).cast("long"), F.floor(last / ROWS))).alias("block"))
+    blocks = blocks.repartition("series", "block")
+    row = F.explode(F.sequence(F.col("block") * ROWS, F.least(F.col("last"), (F.col("block") + 1) * ROWS - 1)))
+    cells = blocks.select("series", "lo", "first_close", row.alias("row")).withColumn("ts", F.col("lo") + F.col("row") * seconds)
     joined = cells.join(bars, ["series", "ts"], "left").withColumn("gap", F.col("close").isNull())
-    past = Window.partitionBy("series").orderBy("ts")
-    filled = F.last("close", ignorenulls=True).over(past.rowsBetween(Window.unboundedPreceding, 0))
-    if shared:  # cells before a series' first bar take its first close
-        filled = F.coalesce(filled, F.first("close", ignorenulls=True).over(past.rowsBetween(0, Window.unboundedFollowing)))
-    joined = joined.withColumn("close", filled)
+    joined = last_known(joined, "series", "row", F.floor(F.col("row") / ROWS), "close")
+    joined = joined.withColumn("close", F.coalesce("close", "first_close"))  # before a series' first bar, if shared
     joined = joined.withColumns({c: F.coalesce(c, "close") for c in ("open", "high", "low")})
     joined = joined.withColumns({c: F.coalesce(F.col(c), F.lit(0)) for c in FLOWS})
-    row = ((F.col("ts") - F.col("lo")) / seconds).cast("long")
-    return joined.withColumn("row", row).select("series", "ts", "row", *PRICES, *FLOWS, "gap")
+    return joined.select("series", "ts", "row", *PRICES, *FLOWS, "gap")
 
 
 def concat_parts(parts: list, seconds: int) -> DataFrame:
@@ -65,8 +68,8 @@ def concat_parts(parts: list, seconds: int) -> DataFrame:
 
 def quality(bars: DataFrame, seconds: int) -> DataFrame:
     """Counts of violations and totals, a row for each series."""
-    step = F.col("ts") - F.lag("ts").over(Window.partitionBy("series").orderBy("ts"))
-    b = bars.withColumn("step", step)
+    b = previous(bars, "series", "ts", F.floor(F.col("ts") / (seconds * ROWS)), "ts", "before")
+    b = b.withColumn("step", F.col("ts") - F.col("before"))
     return b.groupBy("series").agg(
         F.count("*").alias("n_bars"),
         F.count_if(~(F.col("close") > 0)).alias("bad_closes"),

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as s
+from .blocks import with_history
 from .ema import ema
 
 #: Spans and lags in rows.
@@ -27,14 +28,13 @@ SIGNALS = (
 
 def returns(bars: DataFrame, lags=RETURN_LAGS, lag_offset: int = 0) -> DataFrame:
     """Adds lp, mom_ret<L> and mom_accel. Before the series begins its first log price holds.
-    lag_offset 1 gives each return a lag of one row less."""
-    w = Window.partitionBy("series").orderBy("row")
-    d = bars.withColumn("lp", s.log_price(F.col("close")))
-    first = F.first("lp").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    lag_offset 1 gives each return a lag of one row less. Blocks bring the rows that the longest lag needs along."""
+    d, w, own = with_history(bars.withColumn("lp", s.log_price(F.col("close"))), "series", "row", max(*lags, 2))
+    first = F.first("lp").over(w.rowsBetween(Window.unboundedPreceding, 0))  # of the series, where a lag leads before it
     d = d.withColumns({f"mom_ret{n}": (F.col("lp") - F.coalesce(F.lag("lp", n - lag_offset).over(w), first)) * 1e3 for n in lags})
     if 1 in lags:
         d = d.withColumn("mom_accel", F.col("mom_ret1") - F.coalesce(F.lag("mom_ret1").over(w), F.lit(0.0)))
-    return d
+    return d.where(own).drop("block_", "own_")
 
 
 def signals(bars: DataFrame, lag_offset: int = 0, names=SIGNALS) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .blocks import ROWS, previous, running_sum
+
 
 def window_id(size: int, row: str = "row") -> Column:
     return F.floor(F.col(row) / size).cast("long")
@@ -21,9 +23,19 @@ def full_windows(bars: DataFrame, size: int, stride: int = 1) -> DataFrame:
 
 def epochs(rows: DataFrame, seconds: int) -> DataFrame:
     """Adds epoch, how many discontinuities lie before a row: recursions start anew in each."""
-    w = Window.partitionBy("series").orderBy("ts")
-    jump = F.coalesce((F.col("ts") - F.lag("ts").over(w) != seconds).cast("int"), F.lit(0))
-    return rows.withColumn("jump", jump).withColumn("epoch", F.sum("jump").over(w)).drop("jump")
+    block = F.floor(F.col("ts") / (seconds * ROWS))
+    d = previous(rows, "series", "ts", block, "ts", "before")
+    d = d.withColumn("jump", F.coalesce((F.col("ts") - F.col("before") != seconds).cast("int"), F.lit(0)))
+    return running_sum(d, "series", "ts", block, "jump", "epoch").drop("jump", "before")
+
+
+def per_epoch(rows: DataFrame, seconds: int) -> DataFrame:
+    """Rows of a series with discontinuities as one series for each epoch, series#epoch, numbered anew from 0: what
+    recurs over these, EMAs, labels, filters, begins again after each discontinuity, and nothing pends across it."""
+    d = epochs(rows, seconds)
+    first = d.groupBy("series", "epoch").agg(F.min("ts").alias("lo"))
+    d = d.join(first, ["series", "epoch"]).withColumn("row", F.floor((F.col("ts") - F.col("lo")) / seconds).cast("long"))
+    return d.withColumn("series", F.concat_ws("#", "series", "epoch")).drop("epoch", "lo")
 
 
 def split_eval(bars: DataFrame, fraction: float, size: int, seconds: int) -> DataFrame:

@@ -123,7 +123,7 @@ def q_months(spark, sf_dir):
 CODED = """c0 AS (SELECT *, CAST(round_even(close * 100, 0) AS BIGINT) AS cc,
     CASE WHEN volume > 0 THEN quote_volume / greatest(volume, 1e-12) ELSE close END AS vw,
     CASE WHEN volume > 0 THEN least(greatest(taker_buy_base / greatest(volume, 1e-12), 0), 1) ELSE 0.5 END AS ra FROM grid),
-coded AS (SELECT series, ts, row, CAST(cc - coalesce(lag(cc) OVER (PARTITION BY series ORDER BY row), 0) AS INT) AS close_delta,
+coded AS (SELECT series, ts, row, CAST(cc - coalesce(lag(cc) OVER (PARTITION BY series, row // 100 ORDER BY row), 0) AS INT) AS close_delta,
   CAST(round_even(open * 100, 0) - cc AS INT) AS open_off, CAST(round_even(high * 100, 0) - cc AS INT) AS high_off, CAST(round_even(low * 100, 0) - cc AS INT) AS low_off,
   CAST(round_even((vw - cc / 100.0::DOUBLE) * 100, 0) AS BIGINT) AS vwap_off, CAST(round_even(volume * 10000, 0) AS INT) AS volume_i,
   CAST(least(trades, 65535) AS INT) AS trades_u16, CAST(round_even(ra * 255, 0) AS INT) AS tb_ratio_u8, gap FROM c0)"""
@@ -131,10 +131,10 @@ coded AS (SELECT series, ts, row, CAST(cc - coalesce(lag(cc) OVER (PARTITION BY
 
 @query(sql.query("SELECT * FROM coded", sql.BASE, CODED))
 def q_codec_encode(spark, sf_dir):
-    return codec.encode(tables.event_grid(spark, sf_dir))
+    return codec.encode(tables.event_grid(spark, sf_dir), 100)
 
 
-DECODED = """dec AS (SELECT *, sum(close_delta) OVER (PARTITION BY series ORDER BY row) AS c, volume_i / 10000.0::DOUBLE AS v FROM coded)"""
+DECODED = """dec AS (SELECT *, sum(close_delta) OVER (PARTITION BY series, row // 100 ORDER BY row) AS c, volume_i / 10000.0::DOUBLE AS v FROM coded)"""
 
 
 @query(
@@ -148,7 +148,7 @@ DECODED = """dec AS (SELECT *, sum(close_delta) OVER (PARTITION BY series ORDER
     )
 )
 def q_codec_roundtrip(spark, sf_dir):
-    out = codec.decode(codec.encode(tables.event_grid(spark, sf_dir)))
+    out = codec.decode(codec.encode(tables.event_grid(spark, sf_dir), 100), 100)
     return rounded(rounded(out, [c for c in BAR_COLUMNS if c != "quote_volume"]), ["quote_volume"], 4)
 
 
