@@ -7,17 +7,22 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..operators.signals import SIGNALS
 from ..sources import tables
 from ..streaming import replay
 from . import sql
-from .catalogue import H, forecasts, query, rounded
+from .catalogue import H, METRIC_SQL, W, forecasts, query, rounded
 
 PARTS = 4
 
 
 def _folder(spark):
     """A new folder where all executors see it."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="tideline-")
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not shared:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        shared = tempfile.mkdtemp(prefix="tideline-")
     return f"{shared}/replay-{uuid.uuid4().hex}"
 
 
@@ -56,3 +61,18 @@ def q_stream_stability(spark, sf_dir):
 def q_stream_labels(spark, sf_dir):
     s, checkpoint = _replayed(spark, tables.event_grid(spark, sf_dir).select("series", "row", "close"), "row")
     return rounded(replay.drained(replay.stream_labels(s, H), checkpoint), ["close", "future_price"])
+
+
+@query(sql.query(sql.signals(SIGNALS), sql.ALL, recursive=True))
+def q_stream_signals(spark, sf_dir):
+    s, checkpoint = _replayed(spark, tables.event_grid(spark, sf_dir), "row")
+    d = replay.drained(replay.stream_signals(s, 3600), checkpoint).drop("resets")
+    return d.withColumns({n: F.round(n, sql.digits(n)) + F.lit(0.0) for n in SIGNALS})
+
+
+@query(sql.query(f"SELECT series, window_id, n, {METRIC_SQL} FROM wm WHERE n = {W}", sql.FORECASTS, sql.metrics("full_w")))
+def q_stream_scores(spark, sf_dir):
+    """Every window is scored when its last label has come."""
+    rows = forecasts(spark, sf_dir).select("series", "row", "close", "mu", "sigma")
+    s, checkpoint = _replayed(spark, rows, "row")
+    return rounded(replay.drained(replay.stream_scores(s, H, W), checkpoint), sql.METRICS)

@@ -6,16 +6,25 @@ offsets and state together. Rows of a micro-batch are sorted by time before they
 
 from __future__ import annotations
 
-import uuid
+import json
+import math
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.ema import alpha
+from ..operators.online import OnlineSignals, score_window
+from ..operators.signals import SIGNALS
 from ..operators.stability import StabilityConfig, StabilityFilter
 
+SCORES = (
+    "n", "mae", "rmse", "mape_pct", "band_accuracy", "direction_acc", "r2", "skill_vs_naive", "reward", "bias", "jitter", "max_slew",
+    "sigma_mean", "calibration",
+)
+
 
 def replay_store(df: DataFrame, path: str, key: str, parts: int) -> str:
     """Writes df as `parts` files in the order of key, one folder each, for a replay in time order."""
@@ -44,11 +53,11 @@ def stream_bars(ticks: DataFrame, seconds: int, late: str = "1 hour") -> DataFra
     ).select("series", F.unix_timestamp("w.start").alias("ts"), "open", "high", "low", "close", "volume", "trades")
 
 
-def _stateful(rows: DataFrame, out: str, state: str, step) -> DataFrame:
+def _stateful(rows: DataFrame, out: str, state: str, step, order: str = "row") -> DataFrame:
     """step(sorted rows, state tuple or None) -> (result rows, state tuple), for each series."""
 
     def run(key, batches, group: GroupState):
-        frame = pd.concat(list(batches)).sort_values("row")
+        frame = pd.concat(list(batches)).sort_values(order)
         result, kept = step(key[0], frame, group.get if group.exists else None)
         group.update(kept)
         yield result
@@ -99,15 +108,84 @@ def stream_labels(rows: DataFrame, horizon: int) -> DataFrame:
     return _stateful(rows, "series string, row long, close double, future_price double", "rows array<long>, closes array<double>", step)
 
 
-def drained(df: DataFrame, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Runs a stream over all that is there, into an in-memory table, and gives that; for tests and replays
-    of bounded size."""
-    name = f"tideline_{uuid.uuid4().hex}"
-    q = df.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return df.sparkSession.table(name)
+def stream_signals(rows: DataFrame, seconds: int) -> DataFrame:
+    """series, ts, resets and the forty signals of gridded bars. The engine's state is kept for each series; a
+    discontinuity begins it anew and adds to resets."""
+
+    def step(series, frame, state):
+        engine = OnlineSignals(seconds, state[0] if state else None)
+        got = [[b["ts"], *engine.update([b])[0], engine.resets] for b in frame.to_dict("records")]
+        out = pd.DataFrame(got, columns=["ts", *SIGNALS, "resets"])
+        out.insert(0, "series", series)
+        return out[["series", "ts", "resets", *SIGNALS]], (engine.state(),)
+
+    names = ", ".join(f"{n} double" for n in SIGNALS)
+    return _stateful(rows, f"series string, ts long, resets int, {names}", "engine string", step, "ts")
 
 
-def into_table(df: DataFrame, path: str, checkpoint: str):
-    """Exactly-once append of matured rows to a Parquet table."""
-    return df.writeStream.outputMode("append").format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def stream_scores(rows: DataFrame, horizon: int, size: int) -> DataFrame:
+    """series, window_id and the scores of each tumbling window of `size` rows, once its last label is there. rows:
+    series, row, close, mu, sigma. The state holds the rows that wait, at most horizon + size; rows after a hole
+    in the numbering begin anew, and what waits before it is dropped."""
+
+    def step(series, frame, state):
+        wait = json.loads(state[0]) if state else []
+        out, rows_ = [], [r for r in frame[["row", "close", "mu", "sigma"]].values.tolist()]
+        for r in rows_:
+            if wait and r[0] != wait[-1][0] + 1:
+                wait = []
+            wait.append(r)
+            last = int(r[0]) - horizon  # the row whose label this is
+            if last >= 0 and (last + 1) % size == 0 and wait[0][0] <= last + 1 - size:
+                first = last + 1 - size
+                own = [w for w in wait if first <= w[0] <= last]
+                later = {w[0]: w[1] for w in wait if w[0] > first}
+                target = [1000 * (math.log(max(later[w[0] + horizon], 1e-12)) - math.log(max(w[1], 1e-12))) for w in own]
+                out.append({"series": series, "window_id": last // size, **score_window([w[1] for w in own], [w[2] for w in own], [w[3] for w in own], target)})
+                wait = [w for w in wait if w[0] > last]
+        return pd.DataFrame(out, columns=["series", "window_id", *SCORES]), (json.dumps(wait),)
+
+    names = ", ".join(f"{n} {'long' if n == 'n' else 'double'}" for n in SCORES)
+    return _stateful(rows, f"series string, window_id long, {names}", "wait string", step)
+
+
+def drained(df: DataFrame, checkpoint: str, mode: str = "append") -> DataFrame:
+    """Runs a stream over all that is there, into a table beside its checkpoint, and reads that. Appended rows are
+    committed exactly once; in complete mode each micro-batch replaces the table."""
+    path = f"{checkpoint}-table"
+    if mode == "append":
+        q = into_table(df, path, checkpoint)
+    else:
+        write = lambda batch, k: batch.write.mode("overwrite").parquet(path)
+        q = df.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def into_table(df: DataFrame, path: str, checkpoint: str, every: str | None = None):
+    """Exactly-once append of matured rows to a Parquet table: of all that is there, or, paced, a micro-batch
+    every so often (such as "1 second") until stopped."""
+    out = df.writeStream.outputMode("append").format("parquet").option("path", path).option("checkpointLocation", checkpoint)
+    return (out.trigger(processingTime=every) if every else out.trigger(availableNow=True)).start()
+
+
+def live_state(df: DataFrame, path: str, checkpoint: str, most: int = 600, every: str | None = None):
+    """Keeps one JSON document at path: of each series, the newest `most` rows, its rolling buffer. df: series, ts and
+    values, streamed; readers poll the file."""
+    rest = [c for c in df.columns if c != "series"]
+
+    def write(batch, k):
+        spark = batch.sparkSession
+        fields = f"series string, points array<struct<{', '.join(f'{f.name}:{f.dataType.simpleString()}' for f in df.select(*rest).schema.fields)}>>"
+        try:
+            held = spark.read.schema(fields).json(path).selectExpr("series", "inline(points)")
+        except AnalysisException:  # the first micro-batch
+            held = batch.limit(0)
+        held = spark.createDataFrame(held.toArrow())  # bounded: series times most
+        newest = Window.partitionBy("series").orderBy(F.desc("ts"))
+        rows = held.unionByName(batch).withColumn("k", F.row_number().over(newest)).where(F.col("k") <= most)
+        points = F.sort_array(F.collect_list(F.struct("ts", *[c for c in rest if c != "ts"])))
+        rows.groupBy("series").agg(points.alias("points")).coalesce(1).write.mode("overwrite").json(path)
+
+    out = df.writeStream.outputMode("append").foreachBatch(write).option("checkpointLocation", checkpoint)
+    return (out.trigger(processingTime=every) if every else out.trigger(availableNow=True)).start()
