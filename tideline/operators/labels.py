@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as s
+from ..schema import BEST_HIGH, BEST_LOW
+from .ema import ema
 
 
 def with_labels(rows: DataFrame, horizon: int) -> DataFrame:
@@ -63,6 +65,18 @@ def running_best(rows: DataFrame, higher: list, lower: list, key: str, order: st
     return d.withColumns({f"best_{c}": F.min(c).over(w) for c in lower})
 
 
+def running_metrics(rows: DataFrame, names: list, key: str = "series", order: str = "row", span: float = 20, high=BEST_HIGH, low=BEST_LOW) -> DataFrame:
+    """key, order and for each metric ema_<name>, its average seeded by its first value and left as it is by null and non-finite
+    ones (null before the first), and best_<name>, the best average so far, where greater or lesser is better. Rows are
+    numbered from 0 without holes, one for each window."""
+    d = ema(rows, {f"ema_{n}": (F.col(n), span, F.lit(None)) for n in names}, key, order, carry=True)
+    past = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    usable = lambda n: F.col(n).isNotNull() & ~F.isnan(n) & (F.abs(F.col(n)) < float("inf"))
+    d = d.withColumns({f"ema_{n}": F.when(F.max(usable(n)).over(past), F.col(f"ema_{n}")) for n in names})
+    best = {f"best_{n}": (F.max if n in high else F.min)(f"ema_{n}").over(past) for n in names if n in high or n in low}
+    return d.withColumns(best).select(key, order, *[f"ema_{n}" for n in names], *best)
+
+
 def loss_terms(rows: DataFrame, keys: list, delta: float = 2.0, order: str = "row") -> DataFrame:
     """Huber, Gaussian likelihood, direction and smoothness terms of mu and log_sigma against target; smoothness
     differences stay inside a lane."""

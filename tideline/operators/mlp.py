@@ -1,4 +1,5 @@
-"""The forecaster's network: features and their moving contexts, one tanh layer, mean and log sigma.
+"""The forecaster's network: features and their moving contexts, one tanh layer, mean and log sigma. Contexts are averages
+over the whole series, so they carry from window to window; smoothness counts inside a lane alone, so seams between lanes don't.
 
 Training is a driver loop over steps; each step's gradient is summed over lanes on the executors, so data
 stay where they are and only weights and gradients, of fixed size, travel. Prediction is one Arrow pass."""
@@ -8,11 +9,24 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .ema import ema
 
 #: Loss weights.
 HUBER, NLL_WEIGHT, SMOOTH_WEIGHT = 2.0, 0.25, 0.6
 
 
+#: Spans of the contexts.
+CONTEXTS = (15, 120, 900)
+
+
+def with_contexts(rows: DataFrame, features: list, key: str = "series", row: str = "row", spans=CONTEXTS) -> tuple:
+    """rows with <feature>_ctx<span>, each feature's moving averages from its first value on, and all names: what the network reads."""
+    names = {f"{f}_ctx{n}": (F.col(f), n, F.col(f)) for n in spans for f in features}
+    return ema(rows, names, key, row), [*features, *names]
+
+
 def init(n: int, hidden: int = 32, seed: int = 0) -> dict:
     rng = np.random.default_rng(seed)
     return {"w1": rng.normal(0, 1 / np.sqrt(n), (n, hidden)), "b1": np.zeros(hidden), "w2": rng.normal(0, 0.05, (hidden, 2)), "b2": np.zeros(2)}

@@ -87,3 +87,15 @@ def smoothness_gain(rows: DataFrame, keys: list, raw: str, smooth: str, order: s
     d = rows.withColumn("a", F.abs(F.col(raw) - F.lag(raw).over(w))).withColumn("b", F.abs(F.col(smooth) - F.lag(smooth).over(w)))
     base = F.avg("a")
     return d.groupBy(*keys).agg(F.when(base > 0, 1 - F.avg("b") / F.when(base > 0, base)).otherwise(0.0).alias("gain"))
+
+
+def filter_info(rows: DataFrame, keys: list, order: str = "row") -> DataFrame:
+    """Of filtered rows (mu, mu_smooth, clipped), in one result: jitter and greatest step after the filter, the share of
+    rows that it held back, and the jitter before it."""
+    w = Window.partitionBy(*keys).orderBy(order)
+    d = rows.withColumn("a", F.abs(F.col("mu") - F.lag("mu").over(w))).withColumn("b", F.abs(F.col("mu_smooth") - F.lag("mu_smooth").over(w)))
+    zero = F.lit(0.0)
+    return d.groupBy(*keys).agg(
+        F.coalesce(F.avg("b"), zero).alias("jitter"), F.coalesce(F.max("b"), zero).alias("max_slew"),
+        F.avg(F.col("clipped").cast("double")).alias("clipped_share"), F.coalesce(F.avg("a"), zero).alias("raw_jitter"),
+    )

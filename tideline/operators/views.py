@@ -21,8 +21,9 @@ def trailing(rows: DataFrame, cells: int, horizon_seconds: int) -> DataFrame:
 
 
 def curves(metrics: DataFrame, names: list, span: int = 40) -> DataFrame:
-    """Each metric with its display average and the series' 1 % and 99 % limits. metrics: series, row."""
-    d = ema(metrics, {f"ema_{n}": (F.col(n), span, F.col(n)) for n in names})
+    """Each metric with its display average and the series' 1 % and 99 % limits; missing values leave the average as it
+    is. metrics: series, row."""
+    d = ema(metrics, {f"ema_{n}": (F.col(n), span, F.lit(None)) for n in names}, carry=True)
     limits = metrics.groupBy("series").agg(*[F.percentile(n, F.array(F.lit(0.01), F.lit(0.99))).alias(f"q_{n}") for n in names])
     d = d.join(limits, "series")
     for n in names:

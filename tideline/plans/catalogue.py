@@ -11,6 +11,7 @@ from ..operators.ema import ema
 from ..operators.normalise import normalise
 from ..operators.signals import SIGNALS, returns, signals
 from ..sources import tables
+from ..sources.store import named_windows
 from . import sql
 
 G, W, H = 3600, 24, 24
@@ -479,11 +480,12 @@ def q_nearest_metrics(spark, sf_dir):
     )
 )
 def q_report_latest(spark, sf_dir):
-    labels.window_metrics(scored_rows(labelled(spark, sf_dir)), ["series", "window_id"]).createOrReplaceTempView("tideline_metrics")
+    metrics = labels.window_metrics(scored_rows(labelled(spark, sf_dir)), ["series", "window_id"])
     return spark.sql(
         """SELECT series AS run_id, round(avg(band_accuracy), 6) AS band_10bps, round(avg(direction_acc), 6) AS direction, round(avg(skill_vs_naive), 6) AS skill,
              round(avg(jitter), 6) AS jitter, count(*) AS windows
-           FROM (SELECT *, row_number() OVER (PARTITION BY series ORDER BY window_id DESC) AS k FROM tideline_metrics) WHERE k <= 20 GROUP BY series"""
+           FROM (SELECT *, row_number() OVER (PARTITION BY series ORDER BY window_id DESC) AS k FROM {metrics}) WHERE k <= 20 GROUP BY series""",
+        metrics=metrics,
     )
 
 
@@ -494,11 +496,11 @@ def q_report_latest(spark, sf_dir):
     )
 )
 def q_actual_vs_pred(spark, sf_dir):
-    labelled(spark, sf_dir).createOrReplaceTempView("tideline_tape")
     return spark.sql(
         """SELECT ts, round(close, 6) + 0.0 AS price_now, round(close * exp(mu / 1000), 6) AS pred_price, round(future_price, 6) + 0.0 AS true_future_price,
              round(abs(close * exp(mu / 1000) - future_price) / future_price * 10000, 4) AS err_bps
-           FROM tideline_tape WHERE series = (SELECT max(series) FROM tideline_tape) ORDER BY ts LIMIT 20000"""
+           FROM {tape} WHERE series = (SELECT max(series) FROM {tape}) ORDER BY ts LIMIT 20000""",
+        tape=labelled(spark, sf_dir),
     )
 
 
@@ -606,15 +608,127 @@ def q_metric_curves(spark, sf_dir):
     return rounded(views.curves(m, ["mae"]).withColumnRenamed("row", "window_id"), names).select("series", "window_id", *names)
 
 
-@query(sql.query("SELECT series, count(*) AS n_points FROM grid JOIN (SELECT series, count(*) AS n FROM grid GROUP BY 1) USING (series) WHERE row % CAST(greatest(1, ceil(n / 100.0)) AS BIGINT) = 0 GROUP BY 1", sql.BASE))
+THINNED = "thin AS (SELECT series, ts, round(close, 2) AS close FROM grid JOIN (SELECT series, count(*) AS n FROM grid GROUP BY 1) USING (series) WHERE row % CAST(greatest(1, ceil(n / 100.0)) AS BIGINT) = 0)"
+
+
+@query(sql.query("""SELECT series, '[' || string_agg('{"ts":' || ts || ',"close":' || CAST(close AS VARCHAR) || '}', ',' ORDER BY ts) || ']' AS points, count(*) AS n_points FROM thin GROUP BY 1""", sql.BASE, THINNED))
 def q_payload(spark, sf_dir):
-    return views.payload(tables.event_grid(spark, sf_dir), ["close"], 100).select("series", "n_points")
+    return views.payload(rounded(tables.event_grid(spark, sf_dir), ["close"], 2), ["close"], 100)
+
+
+@query(sql.query("SELECT series, ts, row, round(open, 6) + 0.0 AS open, round(close, 6) + 0.0 AS close, round(volume, 6) + 0.0 AS volume, round(trades, 6) + 0.0 AS trades FROM grid WHERE row >= 10 AND row < 40", sql.BASE))
+def q_feature_matrix(spark, sf_dir):
+    m = tables.row_slice(tables.feature_matrix(tables.event_grid(spark, sf_dir)), 10, 40)
+    x = lambda k, name: F.get("x", F.lit(k)).alias(name)
+    return rounded(m.select("series", "ts", "row", x(0, "open"), x(3, "close"), x(4, "volume"), x(6, "trades")), ["open", "close", "volume", "trades"])
+
+
+WARM = "grid0 AS (SELECT * FROM grid), warm AS (SELECT * EXCLUDE (row), (ts - min(ts) OVER (PARTITION BY series)) // 3600 AS row FROM grid0 WHERE ts >= 1705017600 - 120 * 3600)"
+
+
+@query(
+    sql.query(
+        "SELECT series, ts, round(y60, 6) + 0.0 AS y60, round(y300, 6) + 0.0 AS y300 FROM e WHERE ts >= 1705017600",
+        sql.BASE,
+        WARM,
+        sql.ema("e", [("y60", "close", 60, "close"), ("y300", "close", 300, "close")], "warm"),
+        recursive=True,
+    )
+)
+def q_prewarm(spark, sf_dir):
+    """Averages from a moment on, begun 120 cells before it."""
+    specs = {"y60": (F.col("close"), 60, F.col("close")), "y300": (F.col("close"), 300, F.col("close"))}
+    out = tables.prewarmed(tables.event_grid(spark, sf_dir), HI, G, lambda d: ema(d, specs), 120)
+    return rounded(out.select("series", "ts", "y60", "y300"), ["y60", "y300"])
+
+
+BEST = {"band_accuracy": "max", "direction_acc": "max", "skill_vs_naive": "max", "r2": "max", "reward": "max", "mae": "min", "rmse": "min", "jitter": "min", "mape_pct": "min"}
+SKIPS = "wr AS (SELECT series, window_id AS row, " + ", ".join(f"CASE WHEN (window_id + {k}) % 5 = 0 THEN NULL ELSE {n} END AS {n}" for k, n in enumerate(BEST)) + " FROM wm)"
+_A20 = "2.0::DOUBLE / 21"
+SKIPPING = "e AS (SELECT series, row, {} FROM wr WHERE row = 0 UNION ALL SELECT i.series, i.row, {} FROM e JOIN wr i ON i.series = e.series AND i.row = e.row + 1)".format(
+    ", ".join(f"{n}::DOUBLE AS {n}" for n in BEST),
+    ", ".join(f"CASE WHEN i.{n} IS NULL THEN e.{n} WHEN e.{n} IS NULL THEN i.{n} ELSE (1 - {_A20}) * e.{n} + {_A20} * i.{n} END" for n in BEST),
+)
+
+
+@query(
+    sql.query(
+        "SELECT series, row AS window_id, "
+        + ", ".join(f"round({n}, 6) + 0.0 AS ema_{n}, round({f}({n}) OVER w, 6) + 0.0 AS best_{n}" for n, f in BEST.items())
+        + " FROM e WINDOW w AS (PARTITION BY series ORDER BY row)",
+        sql.FORECASTS,
+        sql.metrics("full_w"),
+        SKIPS,
+        SKIPPING,
+        recursive=True,
+    )
+)
+def q_running_best(spark, sf_dir):
+    """Averages that skip missing values, and the best of each of nine metrics."""
+    m = labels.window_metrics(scored_rows(labelled(spark, sf_dir)), ["series", "window_id"]).withColumn("row", F.col("window_id"))
+    m = m.select("series", "row", *[F.when((F.col("row") + k) % 5 != 0, F.col(n)).alias(n) for k, n in enumerate(BEST)])
+    low = [n for n, f in BEST.items() if f == "min"]
+    d = labels.running_metrics(m, list(BEST), high=[n for n in BEST if n not in low], low=low)
+    names = [f"{p}_{n}" for n in BEST for p in ("ema", "best")]
+    return rounded(d.withColumnRenamed("row", "window_id"), names)
+
+
+@query(
+    sql.query(
+        "SELECT series, round(coalesce(avg(b), 0.0), 6) + 0.0 AS jitter, round(coalesce(max(b), 0.0), 6) + 0.0 AS max_slew, round(avg(CASE WHEN clipped THEN 1.0 ELSE 0.0 END), 6) + 0.0 AS clipped_share, round(coalesce(avg(a), 0.0), 6) + 0.0 AS raw_jitter FROM (SELECT *, abs(mu - lag(mu) OVER w) AS a, abs(mu_smooth - lag(mu_smooth) OVER w) AS b FROM st WINDOW w AS (PARTITION BY series ORDER BY row)) GROUP BY 1",
+        sql.FORECASTS,
+        sql.stability(),
+        recursive=True,
+    )
+)
+def q_filter_info(spark, sf_dir):
+    f = forecasts(spark, sf_dir)
+    d = f.select("series", "row", "mu").join(stability.stabilise(f, ["series"]), ["series", "row"])
+    return rounded(stability.filter_info(d, ["series"]), ["jitter", "max_slew", "clipped_share", "raw_jitter"])
+
+
+EPOCHS = """ep AS (SELECT *, CAST(sum(j) OVER (PARTITION BY series ORDER BY ts) AS BIGINT) AS epoch FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY series ORDER BY ts) <> 3600 THEN 1 ELSE 0 END AS j FROM bars)),
+grid1 AS (SELECT series || '#' || epoch AS series, ts, (ts - min(ts) OVER (PARTITION BY series, epoch)) // 3600 AS row, close FROM ep)"""
+
+
+@query(
+    sql.query(
+        "SELECT e.series, e.ts, round(e.y, 6) + 0.0 AS y, round(g.close, 6) + 0.0 AS future_price FROM e LEFT JOIN grid1 g ON g.series = e.series AND g.row = e.row + 3",
+        sql.TICKS,
+        sql.bars(),
+        EPOCHS,
+        sql.ema("e", [("y", "close", 20, "close")], "grid1"),
+        recursive=True,
+    )
+)
+def q_epoch_reset(spark, sf_dir):
+    """After a discontinuity averages begin anew, and labels don't reach across it."""
+    d = windows.per_epoch(tables.event_bars(spark, sf_dir, G).select("series", "ts", "close"), G)
+    out = labels.with_labels(ema(d, {"y": (F.col("close"), 20, F.col("close"))}), 3)
+    return rounded(out.select("series", "ts", "y", "future_price"), ["y", "future_price"])
+
+
+@query(
+    sql.query(
+        "SELECT name, CAST(k // 1000 AS BIGINT) AS window_id, CAST(k % 1000 AS INT) AS lane, CAST(r AS INT) AS rank FROM (SELECT o_orderkey AS k, o_custkey % 7 AS r, printf('w%08d_r%d.npz', o_orderkey, o_custkey % 7) AS name FROM orders)"
+    ).removeprefix("WITH \n")
+)
+def q_named_windows(spark, sf_dir):
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    return named_windows(o.select(F.format_string("w%08d_r%d.npz", "o_orderkey", F.col("o_custkey") % 7).alias("name")))
+
+
+@query(sql.query("SELECT series, ts, window_id FROM (SELECT *, max(window_id) OVER (PARTITION BY series) AS top FROM fw) WHERE window_id = top", sql.BASE, FULL_GRID))
+def q_latest_lane(spark, sf_dir):
+    d = windows.full_windows(tables.event_grid(spark, sf_dir), W)
+    return windows.newest_windows(d, 1).select("series", "ts", "window_id")
 
 
 @query(None)
 def q_mlp_train(spark, sf_dir):
-    """Ten steps of the network on scaled returns, a lane for each series: the loss of every step."""
-    d = labels.with_labels(returns(tables.event_grid(spark, sf_dir), (1, 5)), 1).where(F.col("target").isNotNull())
+    """Ten steps of the network on scaled returns and their contexts, a lane for each series: the loss of every step."""
+    d = labels.with_labels(returns(tables.event_grid(spark, sf_dir), (1, 5)), 1)
     d = d.select("series", "row", (F.col("mom_ret1") / 1000).alias("a"), (F.col("mom_ret5") / 1000).alias("b"), (F.col("target") / 1000).alias("target"))
-    _, losses = mlp.train(d, ["a", "b"], "series", "row", steps=10, rate=0.02)
+    d, names = mlp.with_contexts(d, ["a", "b"])
+    _, losses = mlp.train(d.where(F.col("target").isNotNull()), names, "series", "row", steps=10, rate=0.02)
     return spark.createDataFrame([(k, float(x)) for k, x in enumerate(losses)], "step long, loss double")

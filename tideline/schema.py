@@ -21,3 +21,11 @@ METRICS = (
 METRICS_SCHEMA = ", ".join(
     f"{c} {'long' if c in ('window', 't0', 't_end') else 'int' if c == 'rank' else 'string' if c == 'utc' else 'double'}" for c in METRICS
 )
+#: The metric columns that a warehouse keeps, in its order.
+WAREHOUSE_METRICS = (
+    "window", "utc", "loss", "mae_permille", "band_accuracy", "direction_acc", "skill_vs_naive", "calibration", "jitter_permille",
+    "sim_sec_per_sec",
+)
+#: Metrics of which the greatest, and of which the least, running average is the best.
+BEST_HIGH = ("band_accuracy", "direction_acc", "skill_vs_naive", "r2", "reward")
+BEST_LOW = ("mae_permille", "rmse_permille", "jitter_permille", "mape_pct")

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import io
+import zipfile
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as s
+from ..operators.blocks import ROWS, previous, running_sum
 from ..operators.grid import bars_from_ticks, last_wins, on_grid
 from ..schema import KLINES, METRICS_SCHEMA
 
@@ -32,18 +37,52 @@ def event_grid(spark: SparkSession, sf_dir: str, seconds: int = 3600) -> DataFra
     return on_grid(event_bars(spark, sf_dir, seconds), seconds)
 
 
-def klines(spark: SparkSession, paths, series: str) -> DataFrame:
-    """Kline CSV files, with or without a header; malformed lines are dropped (a header is one), the
-    last line of a second wins, milliseconds and microseconds may mix."""
-    raw = spark.read.schema(KLINES).csv(paths, mode="DROPMALFORMED", enforceSchema=True)
-    rows = raw.where(F.col("t").isNotNull() & F.col("close").isNotNull()).withColumn("line", F.monotonically_increasing_id())
+def _parsed(rows: DataFrame, series: str, order) -> DataFrame:
+    rows = rows.where(F.col("t").isNotNull() & F.col("close").isNotNull())
     rows = rows.select(
         F.lit(series).alias("series"), s.epoch_seconds(F.col("t")).alias("ts"), "open", "high", "low", "close", "volume", "quote_volume",
-        "trades", "taker_buy_base", "line",
+        "trades", "taker_buy_base", order.alias("line"),
     )
     return last_wins(rows, "line")
 
 
+def klines(spark: SparkSession, paths, series: str) -> DataFrame:
+    """Kline CSV files, with or without a header; malformed lines are dropped (a header is one), milliseconds and
+    microseconds may mix. The last line of a second wins: by the place of the path in the list, file name, place in the file."""
+    found = None
+    for k, path in enumerate([paths] if isinstance(paths, str) else paths):
+        one = spark.read.schema(KLINES).csv(path, mode="DROPMALFORMED", enforceSchema=True)
+        at = F.struct(F.lit(k).alias("k"), F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("m"))
+        one = one.withColumn("at", at)
+        found = one if found is None else found.unionByName(one)
+    return _parsed(found, series, F.col("at"))
+
+
+def zipped_lines(spark: SparkSession, path) -> DataFrame:
+    """path, member, line_no and line of all files in zip archives; an archive is unpacked by one task, member by member."""
+
+    def run(batches):
+        for batch in batches:
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                with zipfile.ZipFile(io.BytesIO(content)) as z:
+                    for member in sorted(z.namelist()):
+                        lines = z.read(member).decode("utf-8", "replace").splitlines()
+                        n = len(lines)
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array([name] * n), pa.array([member] * n), pa.array(range(n), pa.int64()), pa.array(lines, pa.string())],
+                            names=["path", "member", "line_no", "line"],
+                        )
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "path string, member string, line_no long, line string")
+
+
+def zipped_klines(spark: SparkSession, path, series: str) -> DataFrame:
+    """Klines from zip archives, as klines() reads files."""
+    lines = zipped_lines(spark, path)
+    rows = lines.select(F.from_csv("line", KLINES, {"mode": "PERMISSIVE"}).alias("r"), F.struct("path", "member", "line_no").alias("at"))
+    return _parsed(rows.select("r.*", "at"), series, F.col("at"))
+
+
 def with_fallback(main: DataFrame, other: DataFrame, period: int = 86400) -> DataFrame:
     """main, and rows of other for the periods of which main has none."""
     key = F.floor(F.col("ts") / period)
@@ -61,6 +100,35 @@ def time_range(bars: DataFrame, lo: int, hi: int) -> DataFrame:
     return out
 
 
+def clamped_range(bars: DataFrame, lo: int, hi: int) -> DataFrame:
+    """Bars of [lo, hi) as far as the table goes; an error if there are none."""
+    ends = bars.agg(F.min("ts").alias("lo"), F.max("ts").alias("hi")).first()
+    if ends.lo is None or max(lo, ends.lo) >= min(hi, ends.hi + 1):
+        raise ValueError(f"no bars in [{lo}, {hi})")
+    return time_range(bars, max(lo, ends.lo), min(hi, ends.hi + 1))
+
+
+def prewarmed(bars: DataFrame, t_from: int, seconds: int, compute, warm: int = 7200, t_to: int | None = None) -> DataFrame:
+    """compute(bars) from t_from on, over bars that begin `warm` cells earlier, so that recursions have settled. Each
+    series is numbered from its first bar there."""
+    d = bars.where(F.col("ts") >= t_from - warm * seconds)
+    d = d if t_to is None else d.where(F.col("ts") < t_to)
+    first = d.groupBy("series").agg(F.min("ts").alias("lo"))
+    d = d.join(first, "series").withColumn("row", F.floor((F.col("ts") - F.col("lo")) / seconds).cast("long")).drop("lo")
+    return compute(d).where(F.col("ts") >= t_from)
+
+
+def feature_matrix(bars: DataFrame) -> DataFrame:
+    """series, ts, row and x, the eight canonical columns as one array."""
+    columns = ("open", "high", "low", "close", "volume", "quote_volume", "trades", "taker_buy_base")
+    return bars.select("series", "ts", "row", F.array(*[F.col(c).cast("double") for c in columns]).alias("x"))
+
+
+def row_slice(bars: DataFrame, a: int, b: int) -> DataFrame:
+    """Rows a to b - 1 of each series; what lies outside is left out."""
+    return bars.where((F.col("row") >= max(0, a)) & (F.col("row") < b))
+
+
 def history_before(bars: DataFrame, ts: int, n: int, seconds: int = 1) -> DataFrame:
     return time_range(bars, ts - max(1, n) * seconds, ts)
 
@@ -91,11 +159,12 @@ def months(spark: SparkSession, first: str, last: str) -> DataFrame:
 
 def synthetic(spark: SparkSession, n: int, t0: int, series: str = "synthetic", seed: int = 7) -> DataFrame:
     """A random walk of n one-second bars with gaps, in cents."""
-    w = Window.partitionBy("series").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
     d = spark.range(n).select(F.lit(series).alias("series"), (F.col("id") + t0).alias("ts"), F.col("id").alias("row"), F.randn(seed).alias("z"), F.rand(seed + 1).alias("u"), F.abs(F.randn(seed + 2)).alias("v"))
-    d = d.withColumn("close", F.bround(F.greatest(F.lit(1000.0), 30000 + 3 * F.sum("z").over(w)), 2))
+    block = F.floor(F.col("row") / ROWS)
+    d = running_sum(d, "series", "row", block, "z", "walk").withColumn("close", F.bround(F.greatest(F.lit(1000.0), 30000 + 3 * F.col("walk")), 2))
     d = d.withColumn("gap", F.col("u") < 0.02).withColumn("volume", F.when(F.col("gap"), 0.0).otherwise(F.col("v") * 0.5))
-    last = F.lag("close").over(Window.partitionBy("series").orderBy("ts"))
+    d = previous(d, "series", "row", block, "close", "last")
+    last = F.col("last")
     return d.select(
         "series", "ts", "row", F.coalesce(last, "close").alias("open"), F.bround(F.greatest("close", F.coalesce(last, "close")) + F.col("v") * 0.4, 2).alias("high"),
         F.bround(F.least("close", F.coalesce(last, "close")) - F.col("v") * 0.4, 2).alias("low"), "close", "volume",
