@@ -603,3 +603,59 @@ def test_sharding(spark, docs, local, odd, empty):
 def test_kept_digest(odd):
     r = substring_dedup(odd).where("doc_id = 8 and n_words = 2").first()
     assert hashlib.sha256(r.kept_text.encode()).hexdigest() == hashlib.sha256(b"one two").hexdigest()
+
+
+def everything(spark, data):
+    """Every operator as a function of documents."""
+    import public_tokenizers
+
+    bench, labels = spark.read.parquet(f"{data}/benchmark.parquet"), spark.read.parquet(f"{data}/labels.parquet")
+    path = public_tokenizers.path("word_bpe_49k.json")
+    model = train_language_id(spark.read.parquet(f"{data}/documents.parquet"))
+    return {
+        "op1": substring_dedup, "op2": lambda d: token_counts(d, path), "op3": lambda d: decontaminate(d, bench).drop("row_key"),
+        "op4": lambda d: score_documents(d, ~q.held_out(10, 0)), "op5": mix_sources, "op6": lambda d: identify_languages(d, model),
+        "op7": lambda d: apply_rules(d, labels), "op8": scan_licenses, "op9": near_duplicates, "op10": shard_by_bytes,
+    }
+
+
+def test_columns_of_any_name(spark, data, odd):
+    """Extra columns, named like those that operators make or use inside, change nothing, null ids and repeated rows included."""
+    names = (
+        "i j k n u v t x h g b c p w r s m a d at y ws iv dv row key size place copy copies chunk slice digest range start end digests "
+        "stratum base_failed broken score accepted lang_pred license_id notices text_digest n_tokens n_bytes train trained raw bucket "
+        "taken target source_size row_key component_key component_id n_shingles bands sig ci di least least2 item group runs cover need words "
+        "item_id matched_words verbatim slot text_crc32 block_ _metadata anchor gone spans kept_text tokenizer budget weight finish"
+    ).split()
+    more = odd.select("*", *[F.lit(7).alias(c) for c in names])
+    for op, fn in everything(spark, data).items():
+        assert rows_of(fn(more)) == rows_of(fn(odd)), op
+
+
+def test_odd_rows_have_the_defined_values(spark, odd):
+    rows = [(r.doc_id, r.text) for r in odd.collect()]
+    learnt = [k for k, (i, _) in enumerate(rows) if zlib.crc32(str("" if i is None else i).encode()) % 10]
+    want = brute_lm({k: t for k, (_, t) in enumerate(rows)}, learnt)
+    got = sorted(((r.doc_id is None, r.doc_id or 0, r.n_tokens), r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6)) for r in score_documents(odd, ~q.held_out(10, 0)).collect())
+    assert got == sorted(((i is None, i or 0, want[k][0]), want[k][1], want[k][2], round(want[k][3], 6), round(want[k][4], 6)) for k, (i, _) in enumerate(rows))
+    assert {(r.license_id, r.n_notices, r.notices) for r in scan_licenses(odd).collect()} == {(None, 0, "")}
+    empty_digest = hashlib.sha256(b"").hexdigest()
+    assert {r.doc_id for r in scan_licenses(odd).where(F.col("text_digest") == empty_digest).collect()} == {3, None, 4, 5}
+    got = rows_of(apply_rules(odd, spark.createDataFrame([(6, 1), (6, 0)], "doc_id long, quality int")).select("doc_id", "n_words", "n_lines", "base_failed", "kept"))
+    count = lambda t: len(WORD.findall(t or ""))
+    key = lambda r: tuple((x is None, str(x)) for x in r)
+    assert got == sorted(((i, count(t), int(count(t) > 0), count(t) < 50, count(t) >= 50) for i, t in rows), key=key)
+    # places: in the order of (digest, id), cut at equal bytes, equal texts together where small
+    sized = sorted((hashlib.md5((t or "").encode()).hexdigest(), (1 << 63) - 1 if i is None else i, len((t or "").encode()) + 8) for i, t in rows)
+    total, start, want = sum(s for _, _, s in sized), 0, []
+    groups = collections.Counter()
+    for h, _, s in sized:
+        groups[h] += s
+    first = {}
+    for h, i, s in sized:
+        first.setdefault(h, start)
+        middle = first[h] + groups[h] / 2 if groups[h] <= total / 3 / 50 else start + s / 2
+        want.append((i, s, min(2, math.floor(middle * 3 / total))))
+        start += s
+    got = [((1 << 63) - 1 if r.doc_id is None else r.doc_id, r.size, r.shard) for r in shard_by_bytes(odd, shards=3).collect()]
+    assert sorted(got) == sorted(want)

@@ -24,7 +24,7 @@ from . import textkit as tk
 from .shared import durable, partitions, placed, release
 
 ORDER, DISCOUNT = 5, 0.3
-CHUNK_BYTES, BUCKET_WORDS = 32 << 20, 1 << 18
+CHUNK_BYTES, BUCKET_WORDS = 16 << 20, 1 << 18
 PAD, END, SPACE = 0xFE, 0xFF, 0x20
 _END_KEY = 0x1B873593CC9E2D51
 _MASK = [(1 << (8 * (k + 1))) - 1 for k in range(ORDER + 1)]
@@ -226,9 +226,16 @@ def _score(buckets):
         n_tokens, n_known, raw, score = [], [], [], []
         for _, first, h, code, begin in _slabs(left.column("x")):
             c, n = counts[np.searchsorted(keys, h)], np.diff(first)
-            total = lambda v, first=first: np.diff(np.r_[0, np.cumsum(v)][first])
+            full = np.flatnonzero(n)
+
+            def total(v, first=first, full=full):
+                out = np.zeros(len(first) - 1)
+                if len(full):
+                    out[full] = np.add.reduceat(v.astype(float), first[:-1][full])
+                return out
+
             n_tokens.append(n + 1)
-            n_known.append(total(c > 0) + (end > 0))
+            n_known.append((total(c > 0) + (end > 0)).astype(np.int64))
             raw.append(total(np.log10(c + 0.1)) + np.log10(end + 0.1))
             by = np.argsort(code)
             each = np.empty(len(code))

@@ -91,6 +91,7 @@ def row_key(*columns: str) -> Column:
 def placed(docs: DataFrame) -> tuple:
     """docs and a 64-bit column that is another for every row, equal ones too, and the same whenever docs is
     read: the row's place in its file. Frames that aren't tables as read are written first."""
+    docs = docs.drop("_metadata")  # a column of this name would hide the place
     place = F.xxhash64(F.col("_metadata.file_path"), F.col("_metadata.row_index"))
     try:
         docs.select(place)
