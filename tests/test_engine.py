@@ -95,7 +95,13 @@ def test_klines(spark, tmp_path):
     g = grid.on_grid(bars, 1).orderBy("ts").collect()
     assert [(r.ts, r.close, r.gap, r.volume) for r in g] == [(1600000000, 1.7, False, 10.0), (1600000001, 1.7, True, 0.0), (1600000002, 2.0, False, 1.0)]
     other = bars.withColumn("ts", F.col("ts") + 86400)
-    assert tables.with_fallback(bars, bars.unionByName(other)).count() == 4
+    assert tables.with_fallback(bars, bars.unionByName(other), 86400).count() == 4
+    assert tables.with_fallback(bars, bars.unionByName(other)).count() == 2
+    assert tables.with_fallback(bars, bars.unionByName(bars.withColumn("ts", F.col("ts") + 40 * 86400))).count() == 4
+    from tideline.functions import scalars
+
+    r = spark.sql("SELECT 0.125D AS x, 0.375D AS y, -0.125D AS z").select(*[scalars.even(F.col(c), 2).alias(c) for c in "xyz"]).first()
+    assert tuple(r) == (0.12, 0.38, -0.12)
 
 
 def test_stability_filter(spark):

@@ -66,6 +66,11 @@ def cents(price: Column) -> Column:
     return F.bround(price * 100, 0).cast("long")
 
 
+def even(x: Column, digits: int) -> Column:
+    """Rounded, ties to even."""
+    return F.bround(x, digits)
+
+
 def epoch_seconds(t: Column) -> Column:
     """Seconds from milliseconds or, above 1e14, microseconds."""
     return F.when(t > 10**14, F.floor(t / 1_000_000)).otherwise(F.floor(t / 1000)).cast("long")

@@ -93,10 +93,14 @@ def train(rows: DataFrame, features: list, lane: str, order: str, steps: int = 1
 
     data = rows.select(lane, order, "target", *features)
     for _ in range(steps):
-        parts = data.groupBy(lane).applyInArrow(lane_gradient(w), "loss double, n long, g array<double>").collect()
-        n = sum(p.n for p in parts)
-        losses.append(sum(p.loss for p in parts) / max(1, n))
-        flat = adam.step(pack(w), np.sum([p.g for p in parts], axis=0) / max(1, n))
+        parts = data.groupBy(lane).applyInArrow(lane_gradient(w), "loss double, n long, g array<double>")
+        # added up place by place on the executors: what comes back is as long as the weights
+        values = F.concat(F.array("loss", F.col("n").cast("double")), F.col("g"))
+        total = parts.select(F.posexplode(values).alias("at", "x")).groupBy("at").agg(F.sum("x").alias("x")).orderBy("at")
+        total = np.array([r.x for r in total.collect()] or [0.0] * (2 + len(pack(w))))
+        n = max(1.0, total[1])
+        losses.append(total[0] / n)
+        flat = adam.step(pack(w), total[2:] / n)
         w = unpack(flat, w)
     return w, losses
 

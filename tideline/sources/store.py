@@ -10,6 +10,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import sigma_price
 from ..schema import TAPE, WAREHOUSE_METRICS
 
 
@@ -119,8 +120,11 @@ class RunStore:
         return self.spark.read.option("mergeSchema", "true").parquet(f"{self.root}/tape")
 
     def series(self, last: int | None = None, **where) -> DataFrame:
-        """The tape in time order; equality filters such as lane or rank, and the newest `last` windows."""
+        """The tape in time order; equality filters such as lane or rank, and the newest `last` windows. Where it has sigma,
+        sigma_price is that in units of the price."""
         d = self.tape()
+        if {"sigma", "price_now"} <= set(d.columns):
+            d = d.withColumn("sigma_price", sigma_price(F.col("price_now"), F.col("sigma")))
         for k, v in where.items():
             d = d.where(F.col(k) == v)
         if last is not None:

@@ -83,9 +83,9 @@ def zipped_klines(spark: SparkSession, path, series: str) -> DataFrame:
     return _parsed(rows.select("r.*", "at"), series, F.col("at"))
 
 
-def with_fallback(main: DataFrame, other: DataFrame, period: int = 86400) -> DataFrame:
-    """main, and rows of other for the periods of which main has none."""
-    key = F.floor(F.col("ts") / period)
+def with_fallback(main: DataFrame, other: DataFrame, period="month") -> DataFrame:
+    """main, and rows of other for the periods of which main has none: calendar months, or so many seconds."""
+    key = F.date_format(F.timestamp_seconds("ts"), "yyyy-MM") if period == "month" else F.floor(F.col("ts") / period)
     have = main.select("series", key.alias("p")).distinct()
     extra = other.withColumn("p", key).join(have, ["series", "p"], "left_anti").drop("p")
     return main.unionByName(extra)
