@@ -14,7 +14,7 @@ from tideline.operators import blocks, codec, grid, labels, mlp, windows
 from tideline.operators.ema import ema
 from tideline.operators.online import OnlineSignals
 from tideline.operators.signals import SIGNALS, signals
-from tideline.operators.stability import StabilityFilter, smoothness_gain, stabilise, stability_report
+from tideline.operators.stability import SlewFilter, smoothness_gain, stabilise, stability_report
 from tideline.sources import tables
 from tideline.sources.store import (
     RunStore, append_metrics_table, append_table, append_tape, copy_files, create_tables, describe, files_by_year, named_windows, newest_run, read_manifest, rebuild_manifest,
@@ -112,10 +112,10 @@ def test_stability_filter(spark):
     r = stability_report(out, ["series"], "mu_smooth", limit=0.08 + 1e-9).first()
     assert r.max_slew <= 0.08 + 1e-12 and r.breaches == 0
     assert smoothness_gain(out, ["series"], "mu", "mu_smooth").first().gain > 0
-    f, g = StabilityFilter(), StabilityFilter()
+    f, g = SlewFilter(), SlewFilter()
     for m in mu[:100]:
         f.step(m)
-    g = StabilityFilter(state=f.state())
+    g = SlewFilter(state=f.state())
     assert [f.step(m) for m in mu[100:200]] == [g.step(m) for m in mu[100:200]]
 
 

@@ -50,7 +50,8 @@ def with_history(df: DataFrame, key: str, row: str, back: int, size: int = 4 * R
     no further can use the window; rows where own is true are the block's. size is at least back."""
     size = max(size, back)
     at = F.floor(F.col(row) / size)
-    next_ = F.when(F.col(row) % size >= size - back, F.struct((at + 1).alias("block_"), F.lit(False).alias("own_")))
-    both = F.filter(F.array(F.struct(at.alias("block_"), F.lit(True).alias("own_")), next_), lambda x: x.isNotNull())
+    own = F.struct(at.alias("block_"), F.lit(True).alias("own_"))
+    later = F.struct((at + 1).alias("block_"), F.lit(False).alias("own_"))
+    both = F.when(F.col(row) % size >= size - back, F.array(own, later)).otherwise(F.array(own))
     d = df.withColumn("at_", F.explode(both)).select(*df.columns, "at_.block_", "at_.own_")
     return d, Window.partitionBy(key, "block_").orderBy(row), F.col("own_")

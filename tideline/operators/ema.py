@@ -53,18 +53,19 @@ def ema(df: DataFrame, specs: dict, key: str = "series", row: str = "row", carry
     weights = {n: min(max(alpha(specs[n][1]), 0.0), 1.0) for n in names}
     plain = [n for n in names if weights[n] >= 1.0 and not carry]
     blocked = [n for n in names if n not in plain]
-    d = df
+    d, block = df, 0
+    if blocked:
+        keep = {n: max(1 - weights[n], 1e-300) for n in blocked}
+        block = max(1, min([BLOCK, *(int(200 / -math.log10(b)) for b in keep.values() if b < 1)]))
+        place = F.floor(F.col(row) / block)
+        d = d.withColumn("block", place).withColumn("run", F.floor(place / RUN)).withColumn("j", (F.col(row) % block + 1).cast("double"))
+        d = d.repartition(key, "block")  # values are computed behind it, so that they don't travel
     for n in names:
         x = specs[n][0].cast("double")
         d = d.withColumn(f"x_{n}", F.when(~F.isnan(x) & (F.abs(x) < float("inf")), x) if carry else x)
     for n in plain:
         d = d.withColumn(n, F.col(f"x_{n}"))
     if blocked:
-        keep = {n: max(1 - weights[n], 1e-300) for n in blocked}
-        block = max(1, min([BLOCK, *(int(200 / -math.log10(b)) for b in keep.values() if b < 1)]))
-        place = F.floor(F.col(row) / block)
-        d = d.withColumn("block", place).withColumn("run", F.floor(place / RUN)).withColumn("j", (F.col(row) % block + 1).cast("double"))
-        d = d.repartition(key, "block")
         inside = Window.partitionBy(key, "block").orderBy(row).rowsBetween(Window.unboundedPreceding, 0)
         if carry:  # a row's age is the number of values in its block so far
             d = d.withColumns({f"j_{n}": F.count(f"x_{n}").over(inside).cast("double") for n in blocked})

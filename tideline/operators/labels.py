@@ -78,8 +78,8 @@ def running_metrics(rows: DataFrame, names: list, key: str = "series", order: st
 
 
 def loss_terms(rows: DataFrame, keys: list, delta: float = 2.0, order: str = "row") -> DataFrame:
-    """Huber, Gaussian likelihood, direction and smoothness terms of mu and log_sigma against target; smoothness
-    differences stay inside a lane."""
+    """Huber, Gaussian likelihood and smoothness terms (first and second differences) of mu and log_sigma against target;
+    differences stay inside a lane, so seams between lanes don't count."""
     c = F.col
     w = Window.partitionBy(*keys).orderBy(order)
     e = c("mu") - c("target")

@@ -42,7 +42,8 @@ def signals(bars: DataFrame, lag_offset: int = 0, names=SIGNALS) -> DataFrame:
     not computed; the others run in two waves, the second over results of the first."""
     c = F.col
     need = lambda *prefixes: any(n.startswith(p) for n in names for p in prefixes)
-    d = returns(bars, lag_offset=lag_offset)
+    d = bars.select("series", "ts", "row", "close", "high", "low", "volume", "quote_volume", "trades", "taker_buy_base", "gap")
+    d = returns(d, lag_offset=lag_offset)
     ratio = s.taker_ratio(c("volume"), c("taker_buy_base"))
     rng = s.range_permille(c("high"), c("low"), c("close"))
     r1 = c("mom_ret1")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 
 @dataclass(frozen=True)
-class StabilityConfig:
+class SlewConfig:
     #: The filter's defaults.
     span: float = 45.0
     sigma_gain: float = 0.8
@@ -23,10 +23,10 @@ class StabilityConfig:
     warm: int = 60
 
 
-class StabilityFilter:
+class SlewFilter:
     """One lane's filter; state (value, samples) can be taken out and put back."""
 
-    def __init__(self, config: StabilityConfig = StabilityConfig(), state=None):
+    def __init__(self, config: SlewConfig = SlewConfig(), state=None):
         self.c, self.y, self.n = config, *(state or (None, 0))
 
     def state(self):
@@ -54,12 +54,12 @@ class StabilityFilter:
         return self.y, held
 
 
-def stabilise(rows: DataFrame, keys: list, config: StabilityConfig = StabilityConfig(), order: str = "row") -> DataFrame:
+def stabilise(rows: DataFrame, keys: list, config: SlewConfig = SlewConfig(), order: str = "row") -> DataFrame:
     """keys, order, mu_smooth and clipped for rows with mu and sigma."""
 
     def run(table):
         table = table.sort_by(order)
-        f, smooth, held = StabilityFilter(config), [], []
+        f, smooth, held = SlewFilter(config), [], []
         for mu, sigma in zip(table.column("mu").to_pylist(), table.column("sigma").to_pylist()):
             y, h = f.step(mu, 1.0 if sigma is None else sigma)
             smooth.append(y)

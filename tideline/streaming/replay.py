@@ -18,7 +18,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..operators.ema import alpha
 from ..operators.online import OnlineSignals, score_window
 from ..operators.signals import SIGNALS
-from ..operators.stability import StabilityConfig, StabilityFilter
+from ..operators.stability import SlewConfig, SlewFilter
 
 SCORES = (
     "n", "mae", "rmse", "mape_pct", "band_accuracy", "direction_acc", "r2", "skill_vs_naive", "reward", "bias", "jitter", "max_slew",
@@ -80,11 +80,11 @@ def stream_ema(rows: DataFrame, span: float) -> DataFrame:
     return _stateful(rows, "series string, row long, y double", "y double", step)
 
 
-def stream_stability(rows: DataFrame, config: StabilityConfig = StabilityConfig()) -> DataFrame:
+def stream_stability(rows: DataFrame, config: SlewConfig = SlewConfig()) -> DataFrame:
     """series, row, mu_smooth, clipped for rows with mu and sigma."""
 
     def step(series, frame, state):
-        f = StabilityFilter(config, state)
+        f = SlewFilter(config, state)
         got = [f.step(mu, sigma) for mu, sigma in zip(frame["mu"].tolist(), frame["sigma"].tolist())]
         return pd.DataFrame({"series": series, "row": frame["row"], "mu_smooth": [g[0] for g in got], "clipped": [g[1] for g in got]}), f.state()
 
