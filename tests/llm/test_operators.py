@@ -10,7 +10,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
-from brute import LOWER, WORD, brute_components, brute_mix, key_of, leaks_of
+from brute import LOWER, WORD, brute_components, brute_mix, leaks_of
 from pyspark.sql import functions as F
 
 from tideline.llm import language_id
