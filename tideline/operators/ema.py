@@ -1,45 +1,39 @@
 """Seeded exponential moving averages, y = (1 - a) y' + a x with a = 2 / (span + 1).
 
 The recursion is cut into blocks of at most BLOCK rows. Inside a block it has a closed form, a windowed sum
-of a x b^-j scaled by b^j; across blocks only the ends recur. These are folded in runs of RUN blocks side by side,
-and only one row for each run, of BLOCK * RUN rows, is folded in order for each series. So one long series runs on
-many tasks, and all spans share one layout of the rows, which both the sums and the windows use. Blocks are
-shorter where a weight near one would make b^-j overflow."""
+of a x b^-j scaled by b^j; across blocks only the ends recur, one row in BLOCK, folded in order for each series with all
+spans in one vector. So one long series runs on many tasks, and all spans share one layout of the rows, which the sums and
+the windows both use. Blocks are shorter where a weight near one would make b^-j overflow."""
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK, RUN = 64, 64
+BLOCK = 512
 
 
 def alpha(span: float) -> float:
     return 2.0 / (span + 1.0)
 
 
-def _fold(names, by, seeded):
-    """Arrow group function: from ends and decays of parts in order to the value with which each part starts, and what the
-    whole group ends with and decays by."""
+def _fold(names):
+    """Arrow group function: ends and decays of a series' blocks to the values with which its blocks start."""
 
     def run(table):
-        table = table.sort_by(by)
-        out = {c: table.column(c) for c in ("key", "run", by) if c in table.column_names}
-        for name in names:
-            y = table.column(f"seed_{name}")[0].as_py() if seeded else 0.0
-            starts, decay = [], 1.0
-            for end, part in zip(table.column(f"end_{name}").to_pylist(), table.column(f"decay_{name}").to_pylist()):
-                starts.append((y, decay))
-                y, decay = y * part + end, decay * part
-            out[f"start_{name}"] = pa.array([x for x, _ in starts], pa.float64())
-            if not seeded:
-                n = len(starts)
-                out |= {f"before_{name}": pa.array([x for _, x in starts], pa.float64())}
-                out |= {f"end_{name}": pa.array([y] * n, pa.float64()), f"decay_{name}": pa.array([decay] * n, pa.float64())}
-        return pa.table(out)
+        table = table.sort_by("block")
+        columns = lambda kind: np.stack([table.column(f"{kind}_{n}").to_numpy() for n in names], axis=1)
+        ends, decays, starts = columns("end"), columns("decay"), np.empty((table.num_rows, len(names)))
+        y = np.array([next((v for v in table.column(f"seed_{n}").to_pylist() if v is not None), 0.0) for n in names])
+        for k in range(len(starts)):
+            starts[k] = y
+            y = y * decays[k] + ends[k]
+        out = {"key": table.column("key"), "block": table.column("block")}
+        return pa.table(out | {f"start_{n}": pa.array(starts[:, k]) for k, n in enumerate(names)})
 
     return run
 
@@ -53,12 +47,11 @@ def ema(df: DataFrame, specs: dict, key: str = "series", row: str = "row", carry
     weights = {n: min(max(alpha(specs[n][1]), 0.0), 1.0) for n in names}
     plain = [n for n in names if weights[n] >= 1.0 and not carry]
     blocked = [n for n in names if n not in plain]
-    d, block = df, 0
+    d = df
     if blocked:
         keep = {n: max(1 - weights[n], 1e-300) for n in blocked}
-        block = max(1, min([BLOCK, *(int(200 / -math.log10(b)) for b in keep.values() if b < 1)]))
-        place = F.floor(F.col(row) / block)
-        d = d.withColumn("block", place).withColumn("run", F.floor(place / RUN)).withColumn("j", (F.col(row) % block + 1).cast("double"))
+        size = max(1, min([BLOCK, *(int(200 / -math.log10(b)) for b in keep.values() if b < 1)]))
+        d = d.withColumn("block", F.floor(F.col(row) / size)).withColumn("j", (F.col(row) % size + 1).cast("double"))
         d = d.repartition(key, "block")  # values are computed behind it, so that they don't travel
     for n in names:
         x = specs[n][0].cast("double")
@@ -74,25 +67,16 @@ def ema(df: DataFrame, specs: dict, key: str = "series", row: str = "row", carry
         sums = []
         for n in blocked:
             decay = F.pow(F.lit(keep[n]), F.max(age[n]))
-            sums += [(F.coalesce(F.sum(term[n]), F.lit(0.0)) * decay).alias(f"end_{n}"), decay.alias(f"decay_{n}")]
-        ends = d.groupBy(F.col(key).alias("key"), "run", "block").agg(*sums)
+            seed = specs[n][2] if isinstance(specs[n][2], Column) else F.lit(float(specs[n][2]))
+            seed = F.max(F.when(F.col(row) == 0, seed.cast("double")))
+            if carry:  # without a seed, the first value there is
+                seed = F.coalesce(seed, F.min_by(f"x_{n}", F.when(F.col(f"x_{n}").isNotNull(), F.col(row))))
+            sums += [(F.coalesce(F.sum(term[n]), F.lit(0.0)) * decay).alias(f"end_{n}"), decay.alias(f"decay_{n}"), seed.alias(f"seed_{n}")]
+        ends = d.groupBy(F.col(key).alias("key"), "block").agg(*sums)
+        shape = ", ".join(f"start_{n} double" for n in blocked)
         kind = df.schema[key].dataType.simpleString()
-        columns = ", ".join(f"start_{n} double, before_{n} double, end_{n} double, decay_{n} double" for n in blocked)
-        local = ends.groupBy("key", "run").applyInArrow(_fold(blocked, "block", False), f"key {kind}, run long, block long, {columns}")
-        whole = local.groupBy("key", "run").agg(*[F.first(f"{c}_{n}").alias(f"{c}_{n}") for n in blocked for c in ("end", "decay")])
-        seeds = {n: specs[n][2] if isinstance(specs[n][2], Column) else F.lit(float(specs[n][2])) for n in blocked}
-        if carry:  # where there is no seed, the first value that there is
-            first = {n: F.min_by(f"x_{n}", F.when(F.col(f"x_{n}").isNotNull(), F.col(row))) for n in blocked}
-            seed = {n: F.coalesce(F.max(F.when(F.col(row) == 0, seeds[n])), first[n], F.lit(0.0)) for n in blocked}
-            at_start = d.groupBy(F.col(key).alias("key")).agg(*[seed[n].cast("double").alias(f"seed_{n}") for n in blocked])
-        else:
-            at_start = d.where(F.col(row) == 0).select(F.col(key).alias("key"), *[seeds[n].cast("double").alias(f"seed_{n}") for n in blocked])
-        seeded = whole.join(at_start, "key").groupBy("key").applyInArrow(_fold(blocked, "run", True), f"key {kind}, run long, " + ", ".join(f"start_{n} double" for n in blocked))
-        seeded = seeded.select("key", "run", *[F.col(f"start_{n}").alias(f"run_{n}") for n in blocked])
-        starts = local.join(seeded, ["key", "run"]).select(
-            F.col("key").alias(key), "block", *[(F.col(f"start_{n}") + F.col(f"run_{n}") * F.col(f"before_{n}")).alias(f"start_{n}") for n in blocked]
-        )
-        d = d.drop("run").join(starts, [key, "block"])
+        starts = ends.groupBy("key").applyInArrow(_fold(blocked), f"key {kind}, block long, {shape}")
+        d = d.join(starts.withColumnRenamed("key", key), [key, "block"])
         y = {n: F.pow(F.lit(keep[n]), age[n]) * (F.coalesce(F.sum(term[n]).over(inside), F.lit(0.0)) + F.col(f"start_{n}")) for n in blocked}
         d = d.withColumns(y).drop("block", "j", *[f"start_{n}" for n in blocked], *[f"j_{n}" for n in blocked])
     return d.drop(*[f"x_{n}" for n in names])

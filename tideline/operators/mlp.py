@@ -91,7 +91,7 @@ def train(rows: DataFrame, features: list, lane: str, order: str, steps: int = 1
 
         return run
 
-    data = rows.select(lane, order, "target", *features)
+    data = rows.select(lane, order, "target", *features).repartition(lane).persist()  # read in every step
     for _ in range(steps):
         parts = data.groupBy(lane).applyInArrow(lane_gradient(w), "loss double, n long, g array<double>")
         # added up place by place on the executors: what comes back is as long as the weights
@@ -102,6 +102,7 @@ def train(rows: DataFrame, features: list, lane: str, order: str, steps: int = 1
         losses.append(total[0] / n)
         flat = adam.step(pack(w), total[2:] / n)
         w = unpack(flat, w)
+    data.unpersist()
     return w, losses
 
 
