@@ -26,7 +26,7 @@ from .shared import NULL_ID, durable, partitions
 
 ANCHOR_WORDS = 4
 HOT_SHARE = 1024
-BUCKET_BYTES = 2 << 20
+BUCKET_BYTES = 512 << 10
 FLUSH_WORDS = 1 << 20
 _HEAD = np.dtype([("doc", "<i8"), ("anchor", "<u8"), ("at", "<i4"), ("tag", "<i8"), ("sent", "<u2"), ("gone", "<u2")])
 
