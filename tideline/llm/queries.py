@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .decontamination import decontaminate
+from .filter_audit import audit_filters
 from .language_id import identify_languages, train_language_id
 from .license_scan import scan_licenses
 from .license_texts import DIGESTS, LICENSES, NOTICES, SPELLINGS, TITLES
@@ -201,6 +202,54 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = audit_filters(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return out.select(
+        "part", "filter_order", "step", "kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost", "shapley"
+    )
+
+
+OP11_SQL = r"""
+WITH t AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS x,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), seen AS (
+  SELECT x, min(doc_id) AS first FROM t GROUP BY x
+), said AS (
+  SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id
+), f AS (
+  SELECT t.doc_id, part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic, {
+    'A': len(w) < 100, 'B': 100 * len(list_distinct(w)) < 80 * len(w),
+    'C': 100 * length(regexp_replace(x, '[^A-Z]', '', 'g')) > 10 * length(x),
+    'D': regexp_matches(x, '[#$%&*|]'), 'E': coalesce(t.doc_id > first, first IS NOT NULL)} AS fails
+  FROM t JOIN seen USING (x) LEFT JOIN said ON said.doc_id = t.doc_id
+), l AS (
+  SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS c
+), o AS (
+  SELECT a.c || b.c || c.c || d.c || e.c AS filter_order FROM l a, l b, l c, l d, l e
+  WHERE len(list_distinct([a.c, b.c, c.c, d.c, e.c])) = 5
+), s AS (
+  SELECT filter_order, CAST(step AS INTEGER) AS step, filter_order[step] AS own, string_split(filter_order[1:step - 1], '') AS earlier
+  FROM o, range(1, 6) r(step)
+), k AS (
+  SELECT doc_id, part, good, toxic, map_values(m) AS v, m FROM (
+    SELECT *, MAP {'A': fails.A, 'B': fails.B, 'C': fails.C, 'D': fails.D, 'E': fails.E} AS m FROM f)
+), r AS (
+  SELECT k.part, s.filter_order, s.step, s.own, good, toxic, m[s.own] AS now,
+         len(list_filter(s.earlier, lambda c: c <> '' AND m[c])) > 0 AS gone, len(list_filter(v, lambda y: y)) AS n
+  FROM k, s
+), a AS (
+  SELECT part, filter_order, step, any_value(own) AS own,
+    count(*) FILTER (NOT gone AND NOT now) AS kept, count(*) FILTER (NOT gone AND now) AS removed,
+    count(*) FILTER (gone AND now) AS redundant, count(*) FILTER (now AND n = 1) AS unique_fails,
+    count(*) FILTER (NOT gone AND now AND good = 1) AS good_lost, count(*) FILTER (NOT gone AND now AND toxic = 1) AS toxic_lost
+  FROM r GROUP BY part, filter_order, step
+)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley FROM a
+"""
+
+
 def queries() -> dict:
     return {
         "op1_substring_dedup": op1_substring_dedup,
@@ -213,8 +262,15 @@ def queries() -> dict:
         "op8_license_scan": op8_license_scan,
         "op9_minhash_near_dedup": op9_minhash_near_dedup,
         "op10_sharding": op10_sharding,
+        "op11_filter_audit": op11_filter_audit,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op1_substring_dedup": OP1_SQL, "op5_mixing": OP5_SQL, "op8_license_scan": op8_sql(), "op9_minhash_near_dedup": OP9_SQL}
+    return {
+        "op1_substring_dedup": OP1_SQL,
+        "op5_mixing": OP5_SQL,
+        "op8_license_scan": op8_sql(),
+        "op9_minhash_near_dedup": OP9_SQL,
+        "op11_filter_audit": OP11_SQL,
+    }
