@@ -15,6 +15,7 @@ from .minhash import near_duplicates
 from .mixing import mix_sources
 from .quality_rules import apply_rules
 from .sharding import shard_by_bytes
+from .simhash import simhash_duplicates
 from .substring_dedup import substring_dedup
 from .token_counts import token_counts
 
@@ -250,6 +251,10 @@ SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lo
 """
 
 
+def op13_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_duplicates(documents(spark, sf_dir)).select("doc_id", "fingerprint", "component_id")
+
+
 def queries() -> dict:
     return {
         "op1_substring_dedup": op1_substring_dedup,
@@ -263,6 +268,7 @@ def queries() -> dict:
         "op9_minhash_near_dedup": op9_minhash_near_dedup,
         "op10_sharding": op10_sharding,
         "op11_filter_audit": op11_filter_audit,
+        "op13_simhash_near_dedup": op13_simhash_near_dedup,
     }
 
 
