@@ -16,6 +16,7 @@ from .mixing import mix_sources
 from .quality_rules import apply_rules
 from .sharding import shard_by_bytes
 from .simhash import simhash_duplicates
+from .spelling import spelling_variants
 from .substring_dedup import substring_dedup
 from .token_counts import token_counts
 
@@ -251,6 +252,10 @@ SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lo
 """
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(documents(spark, sf_dir)).select("word", "form", "root", "n", "n_near", "form_n")
+
+
 def op13_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_duplicates(documents(spark, sf_dir)).select("doc_id", "fingerprint", "component_id")
 
@@ -268,6 +273,7 @@ def queries() -> dict:
         "op9_minhash_near_dedup": op9_minhash_near_dedup,
         "op10_sharding": op10_sharding,
         "op11_filter_audit": op11_filter_audit,
+        "op12_spelling_variants": op12_spelling_variants,
         "op13_simhash_near_dedup": op13_simhash_near_dedup,
     }
 
