@@ -13,12 +13,10 @@ one job lies on the disks at a time. Links are whole for any number of either.""
 
 from __future__ import annotations
 
-import gc
-
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as tk
@@ -27,9 +25,10 @@ from .shared import components, durable, release
 BITS, RADIUS, SEED = 64, 4, 42
 SHINGLE_WORDS = 4
 #: Bits of a flip's number, emissions of a group, jobs (a power of two), fingerprints of a task and those expanded at a time.
-FLIP_BITS, PART, ROUNDS, TASK, AT_ONCE = 12, 1 << 21, 4, 4096, 1024
+FLIP_BITS, PART, ROUNDS, TASK, AT_ONCE = 12, 1 << 20, 4, 4096, 2048
 _ODD = tk.U(0x9E3779B97F4A7C15)
 _BLOCK = 1 << 16
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def flips(bits: int = BITS, most: int = RADIUS // 2):
@@ -143,16 +142,20 @@ def _meet(slice_bits):
     return run
 
 
-def _end_of_shuffles(spark: SparkSession):
-    """Shuffle files go when nothing on the driver names their plan any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def _written(df: DataFrame) -> DataFrame:
+    """durable(df), whose shuffle files go at its end and not when the driver next collects garbage."""
+    conf = df.sparkSession.conf
+    before = conf.get(_CLEANUP)
+    conf.set(_CLEANUP, "true")
+    try:
+        return durable(df)
+    finally:
+        conf.set(_CLEANUP, before)
 
 
 def near_fingerprints(distinct: DataFrame) -> DataFrame:
     """distinct: one column of distinct 64-bit fingerprints. Links (u, v), each once, whose components are those of all
     pairs that differ in at most RADIUS bits; every link is such a pair."""
-    spark = distinct.sparkSession
     fingerprint = durable(distinct.toDF("f"))
     n = fingerprint.count()
     emitted = n * len(FLIPS)
@@ -162,9 +165,7 @@ def near_fingerprints(distinct: DataFrame) -> DataFrame:
     for turn in range(ROUNDS):
         sent = fingerprint.repartition(1 + n // TASK).mapInArrow(_emit(slice_bits, parts, turn), "part long, slice long, block binary")
         met = sent.groupBy("part").applyInArrow(_meet(slice_bits), "u long, v long").distinct()
-        links.append(durable(met.where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= RADIUS)))
-        del sent, met
-        _end_of_shuffles(spark)
+        links.append(_written(met.where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= RADIUS)))
     every = links[0]
     for more in links[1:]:
         every = every.unionByName(more)
