@@ -4,7 +4,7 @@ Every document's flags meet all orders of the filters (120 rows of five filters,
 each order is computed, the steps are exploded, and conditional sums count what happens at each step.
 
 Scale: whole texts are read once, for flags and a digest; repeats are found by a join on digests in which Spark can split
-a hot digest, and whose other side has one row for each digest. The replay makes rows inside a task only: sums are combined
+a hot digest, and whose other side has one row for each repeated digest. The replay makes rows inside a task only: sums are combined
 there, so a task sends at most (parts x orders x steps) rows, however many documents it has."""
 
 from __future__ import annotations
@@ -22,8 +22,6 @@ from .shared import NULL_ID, durable
 
 #: Orders grow as the factorial of the filters; their table is broadcast, so filters are bounded.
 MOST_FILTERS = 6
-
-
 _CAPITAL, _SYMBOL = np.zeros(256, bool), np.zeros(256, bool)
 _STARTS = (np.arange(256) & 0xC0) != 0x80  # bytes that begin a character
 _CAPITAL[65:91] = True
@@ -71,8 +69,11 @@ def document_flags(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     )
     told = durable(one.mapInArrow(_flags, "doc_id long, part string, A boolean, B boolean, C boolean, D boolean, digest binary"))
     place = F.coalesce("doc_id", F.lit(NULL_ID))
-    first = told.groupBy("digest").agg(F.min(place).alias("first"))
-    return told.join(first, "digest").select("doc_id", "part", "A", "B", "C", "D", (place > F.col("first")).alias("E"))
+    repeated = told.groupBy("digest").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
+    # written, so that both sides of the join are plain shuffles, of which Spark can split a hot digest's
+    first = durable(repeated.select("digest", "first"))
+    later = F.coalesce(place > F.col("first"), F.lit(False))
+    return told.join(first, "digest", "left").select("doc_id", "part", "A", "B", "C", "D", later.alias("E"))
 
 
 def replay_orders(flags: DataFrame, filters: tuple, outcomes: dict[str, str] | None = None, part: str = "part") -> DataFrame:
