@@ -13,10 +13,12 @@ one job lies on the disks at a time. Links are whole for any number of either.""
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkit as tk
@@ -142,15 +144,15 @@ def _meet(slice_bits):
     return run
 
 
-def _written(df: DataFrame) -> DataFrame:
-    """durable(df), whose shuffle files go at its end and not when the driver next collects garbage."""
-    conf = df.sparkSession.conf
-    before = conf.get(_CLEANUP)
-    conf.set(_CLEANUP, "true")
+@contextmanager
+def _shuffles_end(spark: SparkSession):
+    """Shuffle files of frames made in here go when their job ends, not when the driver next collects garbage."""
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
     try:
-        return durable(df)
+        yield
     finally:
-        conf.set(_CLEANUP, before)
+        spark.conf.set(_CLEANUP, before)
 
 
 def near_fingerprints(distinct: DataFrame) -> DataFrame:
@@ -162,10 +164,11 @@ def near_fingerprints(distinct: DataFrame) -> DataFrame:
     part_bits = max(ROUNDS.bit_length() - 1, (emitted // PART).bit_length())
     parts, slice_bits = 1 << part_bits, max(FLIP_BITS, part_bits)
     links = []
-    for turn in range(ROUNDS):
-        sent = fingerprint.repartition(1 + n // TASK).mapInArrow(_emit(slice_bits, parts, turn), "part long, slice long, block binary")
-        met = sent.groupBy("part").applyInArrow(_meet(slice_bits), "u long, v long").distinct()
-        links.append(_written(met.where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= RADIUS)))
+    with _shuffles_end(distinct.sparkSession):
+        for turn in range(ROUNDS):
+            sent = fingerprint.repartition(1 + n // TASK).mapInArrow(_emit(slice_bits, parts, turn), "part long, slice long, block binary")
+            met = sent.groupBy("part").applyInArrow(_meet(slice_bits), "u long, v long").distinct()
+            links.append(durable(met.where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= RADIUS)))
     every = links[0]
     for more in links[1:]:
         every = every.unionByName(more)
