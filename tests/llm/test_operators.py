@@ -23,7 +23,7 @@ from tideline.llm.lm_scoring import DISCOUNT, ORDER, score_documents
 from tideline.llm.minhash import near_duplicates
 from tideline.llm.mixing import mix_sources
 from tideline.llm.quality_rules import DELTA, LIMIT, RULES, STEPS, apply_rules, choose_cutoffs, upper_bound
-from tideline.llm.shared import row_key
+from tideline.llm.shared import as_read, row_key
 from tideline.llm.sharding import shard_by_bytes
 from tideline.llm.substring_dedup import substring_dedup
 from tideline.llm.token_counts import token_counts
@@ -632,6 +632,28 @@ def test_columns_of_any_name(spark, data, odd):
         assert rows_of(fn(more)) == rows_of(fn(odd)), op
 
 
+def test_rows_of_derived_frames_have_their_own_places(spark, data, docs):
+    """Explode, join, union and sample repeat or choose rows of a file; results are those of the rows written out."""
+    import public_tokenizers
+
+    read = spark.read.parquet(f"{data}/documents.parquet").where("doc_id < 60")
+    path = public_tokenizers.path("word_bpe_49k.json")
+    frames = {  # of each kind of plan; op9 on one
+        "explode": read.withColumn("text", F.explode(F.split("text", "\n"))),
+        "join": read.join(spark.range(2).withColumnRenamed("id", "twice")),
+        "union": read.unionByName(read),
+        "sample": read.sample(True, 2.0, seed=3),
+        "plain": read.where("n_chars > 40").withColumn("text", F.upper("text")),
+    }
+    for name, frame in frames.items():
+        local = spark.createDataFrame(frame.collect(), frame.schema)
+        assert rows_of(token_counts(frame, path)) == rows_of(token_counts(local, path)), name
+        if name == "explode":
+            kept = [near_duplicates(d).select("doc_id", "n_shingles", "component_id", "kept") for d in (frame, local)]
+            assert rows_of(kept[0]) == rows_of(kept[1])
+    assert as_read(frames["plain"]) is frames["plain"] and all(as_read(f) is not f for k, f in frames.items() if k != "plain")
+
+
 def test_odd_rows_have_the_defined_values(spark, odd):
     rows = [(r.doc_id, r.text) for r in odd.collect()]
     learnt = [k for k, (i, _) in enumerate(rows) if zlib.crc32(str("" if i is None else i).encode()) % 10]

@@ -88,16 +88,27 @@ def row_key(*columns: str) -> Column:
     return F.unhex(F.md5(F.concat(*parts).cast("binary")))
 
 
+def as_read(docs: DataFrame) -> DataFrame:
+    """docs, if each of its rows is one row of a file, by a plan of one scan, filters and projections; else (joins,
+    explode, union, sample, rows of the session) docs as written and read back."""
+    node = docs._jdf.queryExecution().analyzed()
+    same = node.deterministic()
+    while same and node.children().size() == 1 and node.getClass().getSimpleName() in ("Project", "Filter", "SubqueryAlias"):
+        node = node.children().head()
+    if same and node.getClass().getSimpleName() == "LogicalRelation":
+        try:
+            docs.select("_metadata.row_index")
+            return docs
+        except AnalysisException:  # not a kind of file that numbers its rows
+            pass
+    return durable(docs)
+
+
 def placed(docs: DataFrame) -> tuple:
     """docs and a 64-bit column that is another for every row, equal ones too, and the same whenever docs is
-    read: the row's place in its file. Frames that aren't tables as read are written first."""
-    docs = docs.drop("_metadata")  # a column of this name would hide the place
-    place = F.xxhash64(F.col("_metadata.file_path"), F.col("_metadata.row_index"))
-    try:
-        docs.select(place)
-    except AnalysisException:
-        docs = durable(docs)
-    return docs, place
+    read: the row's place in its file."""
+    docs = as_read(docs.drop("_metadata"))  # a column of this name would hide the place
+    return docs, F.xxhash64(F.col("_metadata.file_path"), F.col("_metadata.row_index"))
 
 
 def components(edges: DataFrame) -> DataFrame:
