@@ -9,7 +9,6 @@ get as many copies as their places in the queue give them together, dealt out ev
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -18,7 +17,7 @@ from tideline.llm.language_id import keep_identified, train_language_id
 from tideline.llm.minhash import near_duplicates
 from tideline.llm.mixing import mix_sources
 from tideline.llm.sharding import shard_by_bytes
-from tideline.llm.shared import durable, release, row_key
+from tideline.llm.shared import as_read, durable, release, row_key
 
 CHUNK_ROWS = 10_000
 
@@ -57,11 +56,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     taken = mix_sources(docs).where("size > 0").groupBy(F.col("row_key").alias("key"))
     times = taken.agg(F.count("*").alias("rows"), F.sum(F.expr("taken div size")).alias("times")).where("times > 0")
     times = durable(times.select("key", F.expr("times div rows").alias("each"), (F.col("times") % F.col("rows")).alias("more")))
-    try:
-        where = docs.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"))
-        del where
-    except AnalysisException:  # not a table as read: rows have no place yet
-        docs = durable(docs)
+    docs = as_read(docs.drop("_metadata"))
     columns = ("doc_id", "text", "source")
     place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at")).alias("place")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), row_key(*columns).alias("key"), place)
