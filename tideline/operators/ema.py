@@ -41,7 +41,7 @@ def _fold(names):
 def ema(df: DataFrame, specs: dict, key: str = "series", row: str = "row", carry: bool = False) -> DataFrame:
     """Adds a column for each name in specs: (value, span, seed), seed a number or an expression
     taken at row 0. Rows are numbered from 0 without holes in each key. A weight of 1 or more copies the
-    value; one of 0 or less keeps the seed. Values are finite; with carry, null and non-finite ones leave the
+    value; one of 0 or less keeps the seed. Without carry a null or non-finite value raises; with carry such values leave the
     average as it is, and a null seed lets it begin with the first value there is."""
     names = list(specs)
     weights = {n: min(max(alpha(specs[n][1]), 0.0), 1.0) for n in names}
@@ -55,7 +55,8 @@ def ema(df: DataFrame, specs: dict, key: str = "series", row: str = "row", carry
         d = d.repartition(key, "block")  # values are computed behind it, so that they don't travel
     for n in names:
         x = specs[n][0].cast("double")
-        d = d.withColumn(f"x_{n}", F.when(~F.isnan(x) & (F.abs(x) < float("inf")), x) if carry else x)
+        missing = F.lit(None) if carry else F.raise_error(F.lit(f"{n}: a missing value; carry=True leaves the average as it is there"))
+        d = d.withColumn(f"x_{n}", F.when(~F.isnan(x) & (F.abs(x) < float("inf")), x).otherwise(missing.cast("double")))
     for n in plain:
         d = d.withColumn(n, F.col(f"x_{n}"))
     if blocked:

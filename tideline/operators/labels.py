@@ -28,7 +28,8 @@ def linear(columns: dict, bias: float = 0.0) -> Column:
 
 
 def window_metrics(rows: DataFrame, keys: list, band_bps: float = 10.0, floor: float = 0.25, order: str = "row") -> DataFrame:
-    """Scores of mu against target, price close and sigma, for each window; one shuffle."""
+    """Scores of mu against target, price close and sigma, for each window; one shuffle. Rows without a target count in jitter,
+    max_slew and sigma_mean alone; n is the number of rows that have one."""
     c = F.col
     w = Window.partitionBy(*keys).orderBy(order)
     err, y, p = c("mu") - c("target"), c("target"), c("mu")
@@ -36,7 +37,7 @@ def window_metrics(rows: DataFrame, keys: list, band_bps: float = 10.0, floor: f
     rel = F.abs(c("close") * F.exp(p / 1000) - true) / F.greatest(true, F.lit(1e-9))
     big = F.abs(y) > floor
     d = rows.withColumn("step", F.abs(p - F.lag("mu").over(w)))
-    n, e2, y2 = F.count("*"), F.sum(err * err), F.sum(y * y)
+    n, e2, y2 = F.count(y), F.sum(err * err), F.sum(y * y)
     spread = F.var_pop(y) * n
     skill = F.when(y2 > 0, 1 - e2 / F.when(y2 > 0, y2)).otherwise(0.0)
     r2 = F.when(spread > 1e-12, 1 - e2 / F.when(spread > 1e-12, spread)).otherwise(0.0)

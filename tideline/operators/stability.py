@@ -33,7 +33,12 @@ class SlewFilter:
         return self.y, self.n
 
     def step(self, mu: float, sigma: float = 1.0) -> tuple:
-        """The smoothed value, and whether the slew limit held it back."""
+        """The smoothed value, and whether the slew limit held it back. A missing mu (null or NaN) leaves the value and
+        the state as they are; a missing sigma is 1."""
+        if mu is None or mu != mu:
+            return self.y, False
+        if sigma is None or sigma != sigma:
+            sigma = 1.0
         c = self.c
         mu = max(-c.clip, min(c.clip, mu))
         if self.n == 0 or self.y is None:
@@ -61,7 +66,7 @@ def stabilise(rows: DataFrame, keys: list, config: SlewConfig = SlewConfig(), or
         table = table.sort_by(order)
         f, smooth, held = SlewFilter(config), [], []
         for mu, sigma in zip(table.column("mu").to_pylist(), table.column("sigma").to_pylist()):
-            y, h = f.step(mu, 1.0 if sigma is None else sigma)
+            y, h = f.step(mu, sigma)
             smooth.append(y)
             held.append(h)
         return pa.table({**{k: table.column(k) for k in [*keys, order]}, "mu_smooth": pa.array(smooth, pa.float64()), "clipped": pa.array(held, pa.bool_())})

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from ..functions import scalars as s
 from ..operators import grid, mlp
 from ..operators.signals import returns
-from ..sources import store, tables
+from ..sources import chunks, store, tables
 from . import sql
-from .catalogue import BAR_COLUMNS, BAR_SQL, G, labelled, query, rounded
+from .catalogue import BAR_COLUMNS, BAR_SQL, CODED, DECODED, G, labelled, query, rounded
 from .streams import _folder
 
 KLINE_SQL = """SELECT ts, round(CASE WHEN ts % 18000 = 0 THEN close + 1 ELSE close END, 6) + 0.0 AS close, round(volume, 6) + 0.0 AS volume, trades
@@ -170,3 +170,28 @@ def q_mlp_predict(spark, sf_dir):
     d = returns(tables.event_grid(spark, sf_dir), (1, 5))
     d = d.select("series", "row", (F.col("mom_ret1") / 1000).alias("a"), (F.col("mom_ret5") / 1000).alias("b"))
     return rounded(mlp.predict(d, weights, ["a", "b"]).drop("a", "b"), ["mu", "log_sigma"])
+
+
+CHUNK_SQL = """SELECT series, ts, round((c + open_off) / 100.0, 6)::DOUBLE AS open, round((c + high_off) / 100.0, 6)::DOUBLE AS high, round((c + low_off) / 100.0, 6)::DOUBLE AS low,
+  round(c / 100.0, 6)::DOUBLE AS close, round(v, 6) + 0.0 AS volume, round(v * (c / 100.0::DOUBLE + vwap_off / 100.0::DOUBLE), 4) AS quote_volume,
+  CAST(trades_u16 AS BIGINT) AS trades, round(v * tb_ratio_u8 / 255, 6) AS taker_buy_base, gap FROM dec"""
+
+
+def chunk_store(spark, sf_dir):
+    path = _folder(spark)
+    chunks.write_chunks(tables.event_grid(spark, sf_dir), path, G, "X")
+    return path
+
+
+@query(sql.query(CHUNK_SQL, sql.BASE, CODED, DECODED))
+def q_chunk_files(spark, sf_dir):
+    """The whole grid as chunk files, written and read back."""
+    out = chunks.read_chunks(spark, chunk_store(spark, sf_dir))
+    return rounded(rounded(out, [c for c in BAR_COLUMNS if c != "quote_volume"]), ["quote_volume"], 4)
+
+
+@query(sql.query(f"{CHUNK_SQL} WHERE ts >= 1704240000 AND ts < 1704412800 AND series IN ('click', 'view')", sql.BASE, CODED, DECODED))
+def q_chunk_range(spark, sf_dir):
+    """Two days of two series, from the chunks that the catalogue names."""
+    out = chunks.chunk_range(spark, chunk_store(spark, sf_dir), 1704240000, 1704412800).where("series IN ('click', 'view')")
+    return rounded(rounded(out, [c for c in BAR_COLUMNS if c != "quote_volume"]), ["quote_volume"], 4)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import time
+import uuid
 
 import numpy as np
 from pyspark.errors import AnalysisException
@@ -106,6 +107,36 @@ def copy_files(spark: SparkSession, source: str, target: str, pattern: str = "",
     return copied
 
 
+def put_file(spark: SparkSession, source: str, target: str) -> None:
+    """Puts the file source in the place of target by one rename, so that readers find the one or the other, whole, on file systems
+    with such a rename (local ones and HDFS)."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    hadoop = jvm.org.apache.hadoop.fs
+    files = hadoop.Path(target).getFileSystem(conf)
+    at, to = files.makeQualified(hadoop.Path(source)), files.makeQualified(hadoop.Path(target))
+    if to.toUri().getScheme() == "file":  # with checksums, which stand in a file of their own, a local rename isn't one step
+        if not files.getRawFileSystem().rename(at, to):
+            raise OSError(f"{target} can't be replaced")
+        return
+    options = getattr(hadoop, "Options$Rename")
+    how = spark.sparkContext._gateway.new_array(options, 1)
+    how[0] = options.OVERWRITE
+    hadoop.FileContext.getFileContext(to.toUri(), conf).rename(at, to, how)
+
+
+def put_document(rows: DataFrame, target: str, form: str = "json") -> None:
+    """rows, few, as one file at target; it is written beside it first, and an older version stays until the new one is whole."""
+    spark = rows.sparkSession
+    beside = f"{target}.{uuid.uuid4().hex}"
+    rows.coalesce(1).write.format(form).save(beside)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    files = path(beside).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    part = [f.getPath().toString() for f in files.listStatus(path(beside)) if f.getPath().getName().startswith("part-")]
+    if part:
+        put_file(spark, part[0], target)
+    files.delete(path(beside), True)
+
+
 class RunStore:
     """Tables of one run below a folder: tape (by window), metrics, checkpoints, documents."""
 
@@ -167,7 +198,8 @@ class RunStore:
         return self.spark.read.option("mergeSchema", "true").parquet(f"{self.root}/metrics")
 
     def write_document(self, name: str, payload: dict) -> None:
-        self.spark.createDataFrame([(json.dumps(payload, default=str),)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.root}/{name}")
+        """Readers see the document before or after, whole."""
+        put_document(self.spark.createDataFrame([(json.dumps(payload, default=str),)], "value string"), f"{self.root}/{name}", "text")
 
     def read_document(self, name: str) -> dict:
         return json.loads(self.spark.read.text(f"{self.root}/{name}").first().value)

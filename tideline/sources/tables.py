@@ -37,25 +37,25 @@ def event_grid(spark: SparkSession, sf_dir: str, seconds: int = 3600) -> DataFra
     return on_grid(event_bars(spark, sf_dir, seconds), seconds)
 
 
-def _parsed(rows: DataFrame, series: str, order) -> DataFrame:
-    rows = rows.where(F.col("t").isNotNull() & F.col("close").isNotNull())
-    rows = rows.select(
-        F.lit(series).alias("series"), s.epoch_seconds(F.col("t")).alias("ts"), "open", "high", "low", "close", "volume", "quote_volume",
-        "trades", "taker_buy_base", order.alias("line"),
-    )
+def _parsed(lines: DataFrame, series: str) -> DataFrame:
+    """lines: line, at (their order). Klines have 10 to 12 fields, all that a bar needs readable; other lines are dropped."""
+    read = lines.where(F.size(F.split("line", ",")).between(10, 12)).select(F.from_csv("line", KLINES, {"mode": "PERMISSIVE"}).alias("r"), "at")
+    needed = ("open", "high", "low", "close", "volume", "quote_volume", "trades", "taker_buy_base")
+    rows = read.select("r.*", "at").dropna(subset=["t", *needed])
+    rows = rows.select(F.lit(series).alias("series"), s.epoch_seconds(F.col("t")).alias("ts"), *needed, F.col("at").alias("line"))
     return last_wins(rows, "line")
 
 
 def klines(spark: SparkSession, paths, series: str) -> DataFrame:
-    """Kline CSV files, with or without a header; malformed lines are dropped (a header is one), milliseconds and
-    microseconds may mix. The last line of a second wins: by the place of the path in the list, file name, place in the file."""
+    """Kline CSV files, with or without a header; malformed lines are dropped (a header is one, and lines of under 10 or over 12 fields), milliseconds
+    and microseconds may mix. The last line of a second wins: by the place of the path in the list, file name, place in the file."""
     found = None
     for k, path in enumerate([paths] if isinstance(paths, str) else paths):
-        one = spark.read.schema(KLINES).csv(path, mode="DROPMALFORMED", enforceSchema=True)
+        one = spark.read.text(path).withColumnRenamed("value", "line")
         at = F.struct(F.lit(k).alias("k"), F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("m"))
         one = one.withColumn("at", at)
         found = one if found is None else found.unionByName(one)
-    return _parsed(found, series, F.col("at"))
+    return _parsed(found.select("line", "at"), series)
 
 
 def zipped_lines(spark: SparkSession, path) -> DataFrame:
@@ -79,8 +79,7 @@ def zipped_lines(spark: SparkSession, path) -> DataFrame:
 def zipped_klines(spark: SparkSession, path, series: str) -> DataFrame:
     """Klines from zip archives, as klines() reads files."""
     lines = zipped_lines(spark, path)
-    rows = lines.select(F.from_csv("line", KLINES, {"mode": "PERMISSIVE"}).alias("r"), F.struct("path", "member", "line_no").alias("at"))
-    return _parsed(rows.select("r.*", "at"), series, F.col("at"))
+    return _parsed(lines.select("line", F.struct("path", "member", "line_no").alias("at")), series)
 
 
 def with_fallback(main: DataFrame, other: DataFrame, period="month") -> DataFrame:

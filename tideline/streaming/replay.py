@@ -19,6 +19,7 @@ from ..operators.ema import alpha
 from ..operators.online import OnlineSignals, score_window
 from ..operators.signals import SIGNALS
 from ..operators.stability import SlewConfig, SlewFilter
+from ..sources.store import put_document
 
 SCORES = (
     "n", "mae", "rmse", "mape_pct", "band_accuracy", "direction_acc", "r2", "skill_vs_naive", "reward", "bias", "jitter", "max_slew",
@@ -86,7 +87,7 @@ def stream_stability(rows: DataFrame, config: SlewConfig = SlewConfig()) -> Data
     def step(series, frame, state):
         f = SlewFilter(config, state)
         got = [f.step(mu, sigma) for mu, sigma in zip(frame["mu"].tolist(), frame["sigma"].tolist())]
-        return pd.DataFrame({"series": series, "row": frame["row"], "mu_smooth": [g[0] for g in got], "clipped": [g[1] for g in got]}), f.state()
+        return pd.DataFrame({"series": series, "row": frame["row"], "mu_smooth": pd.array([g[0] for g in got], "Float64"), "clipped": [g[1] for g in got]}), f.state()
 
     return _stateful(rows, "series string, row long, mu_smooth double, clipped boolean", "y double, n long", step)
 
@@ -170,22 +171,31 @@ def into_table(df: DataFrame, path: str, checkpoint: str, every: str | None = No
 
 
 def live_state(df: DataFrame, path: str, checkpoint: str, most: int = 600, every: str | None = None):
-    """Keeps one JSON document at path: of each series, the newest `most` rows, its rolling buffer. df: series, ts and
-    values, streamed; readers poll the file."""
+    """Keeps one JSON document, a file at path: of each series, the newest `most` rows, its rolling buffer. df: series, ts and
+    values, streamed; readers poll the file, and find the last version or the one before it, whole.
+
+    The document names the stream and micro-batch that wrote it: one that comes again, after a failure, changes nothing. A row whose
+    (series, ts) the buffer has takes the older one's place."""
     rest = [c for c in df.columns if c != "series"]
+    kinds = ", ".join(f"{f.name}:{f.dataType.simpleString()}" for f in df.select(*rest).schema.fields)
+    fields = f"series string, points array<struct<{kinds}>>, stream string, batch long"
 
     def write(batch, k):
         spark = batch.sparkSession
-        fields = f"series string, points array<struct<{', '.join(f'{f.name}:{f.dataType.simpleString()}' for f in df.select(*rest).schema.fields)}>>"
         try:
-            held = spark.read.schema(fields).json(path).selectExpr("series", "inline(points)")
+            document = spark.read.schema(fields).json(path)
         except AnalysisException:  # the first micro-batch
-            held = batch.limit(0)
-        held = spark.createDataFrame(held.toArrow())  # bounded: series times most
+            document = spark.createDataFrame([], fields)
+        if document.where((F.col("stream") == checkpoint) & (F.col("batch") >= k)).limit(1).count():
+            return
+        held = document.selectExpr("series", "inline(points)").withColumn("age", F.lit(1))
+        last = Window.partitionBy("series", "ts").orderBy("age")
+        rows = held.unionByName(batch.withColumn("age", F.lit(0))).withColumn("k", F.row_number().over(last)).where("k = 1")
         newest = Window.partitionBy("series").orderBy(F.desc("ts"))
-        rows = held.unionByName(batch).withColumn("k", F.row_number().over(newest)).where(F.col("k") <= most)
+        rows = rows.withColumn("k", F.row_number().over(newest)).where(F.col("k") <= most)
         points = F.sort_array(F.collect_list(F.struct("ts", *[c for c in rest if c != "ts"])))
-        rows.groupBy("series").agg(points.alias("points")).coalesce(1).write.mode("overwrite").json(path)
+        told = rows.groupBy("series").agg(points.alias("points"))
+        put_document(told.withColumn("stream", F.lit(checkpoint)).withColumn("batch", F.lit(k).cast("long")), path)
 
     out = df.writeStream.outputMode("append").foreachBatch(write).option("checkpointLocation", checkpoint)
     return (out.trigger(processingTime=every) if every else out.trigger(availableNow=True)).start()
