@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from tideline.operators.ema import ema
 from tideline.operators.labels import window_metrics
 from tideline.operators.normalise import normalise
-from tideline.operators.stability import stabilise
+from tideline.operators import stability
+from tideline.operators.stability import stabilise, stabilise_long
 from tideline.sources import chunks, tables
 from tideline.sources.store import RunStore
 from tideline.streaming import replay
@@ -175,3 +176,26 @@ def test_average_of_a_missing_value_raises(spark):
     with pytest.raises(Exception, match="missing value"):
         ema(df, {"y": (F.col("x"), 20, 0.0)}).collect()
     assert ema(df, {"y": (F.col("x"), 20, 0.0)}, carry=True).count() == 2
+
+
+def test_filter_of_blocks_is_the_sequential_one(spark, monkeypatch):
+    """To the last bit: noise, values that stand in the dead zone, holes in the numbering, missing values, short series."""
+    rng = np.random.default_rng(6)
+    kinds = {
+        "noise": [(k, float(x)) for k, x in enumerate(rng.normal(0, 3, 5000))],
+        "still": [(k, 1.0 if k < 700 else 1.2) for k in range(2000)],
+        "holes": [(k, float(rng.normal())) for k in range(2500) if k % 900 < 500 or k > 2000],
+        "missing": [(k, None if k < 300 or 800 < k < 1300 else float(rng.normal())) for k in range(1500)],
+        "short": [(k, float(k)) for k in range(3)],
+        None: [(k, float(rng.normal())) for k in range(600)],
+    }
+    rows = [(s, k, mu, float(rng.random())) for s, x in kinds.items() for k, mu in x]
+    df = spark.createDataFrame(rows, "series string, row long, mu double, sigma double").repartition(4).cache()
+    show = lambda d: {(r.series, r.row): (r.mu_smooth, r.clipped) for r in d.collect()}
+    want = show(stabilise(df, ["series"]))
+    assert len(want) == len(rows)
+    for size, lead, rounds in ((256, 64, 8), (1024, 512, 8), (128, 16, 2), (65_536, 8_192, 8)):
+        monkeypatch.setattr(stability, "ROUNDS", rounds)
+        got = stabilise_long(df, ["series"], block=size, lead=lead)
+        assert got.count() == len(rows) and show(got) == want, (size, lead, rounds)
+    assert stabilise_long(df.limit(0), ["series"]).count() == 0

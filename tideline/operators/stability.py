@@ -1,7 +1,7 @@
 """The stability filter: a slew-limited, noise-adaptive smoother; and its reports.
 
 The recursion is not linear, so it runs row by row in Arrow groups, one for each (series, lane), in parallel
-over these. A group of any length passes as sorted columns of a few numbers a row."""
+over these; stabilise_long cuts long series into blocks that run side by side, and checks them."""
 
 from __future__ import annotations
 
@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import checkpointed
+
 
 @dataclass(frozen=True)
 class SlewConfig:
@@ -75,6 +77,101 @@ def stabilise(rows: DataFrame, keys: list, config: SlewConfig = SlewConfig(), or
     return rows.select(*keys, order, "mu", "sigma").groupBy(*keys).applyInArrow(run, f"{kinds}, mu_smooth double, clipped boolean")
 
 
+#: Rows of a block, rows before it from which its start is guessed, and rounds before a series is filtered whole.
+BLOCK, LEAD, ROUNDS = 65_536, 8_192, 8
+
+
+def _block_filter(config, keys, order):
+    """Arrow group mapper: one block's rows, and leading rows before them, to smoothed rows; the last has the block's edges."""
+
+    def run(table):
+        table = table.sort_by(order)
+        lead, mu, sigma = (table.column(c).to_pylist() for c in ("lead", "mu", "sigma"))
+        first = sum(lead)
+        if first == len(lead):
+            return _edged(table.slice(0, 0), keys, order, [], [], None, None)
+        if table.column("given")[-1].as_py():
+            f = SlewFilter(config, (table.column("from_y")[-1].as_py(), table.column("from_n")[-1].as_py()))
+        elif first:
+            start = next((m for m in mu[:first] if m is not None and m == m), None)
+            f = SlewFilter(config, (None, 0) if start is None else (max(-config.clip, min(config.clip, start)), config.warm))
+        else:
+            f = SlewFilter(config)
+        for k in range(first):
+            f.step(mu[k], sigma[k])
+        begin, smooth, held = f.state(), [], []
+        for k in range(first, len(lead)):
+            y, h = f.step(mu[k], sigma[k])
+            smooth.append(y)
+            held.append(h)
+        return _edged(table.slice(first), keys, order, smooth, held, begin, f.state())
+
+    return run
+
+
+def _edged(table, keys, order, smooth, held, begin, end):
+    last = lambda x, kind: pa.array([None] * (len(smooth) - 1) + [x] if smooth else [], kind)
+    begin, end = begin or (None, None), end or (None, None)
+    return pa.table(
+        {
+            **{k: table.column(k) for k in [*keys, order, "block"]}, "mu_smooth": pa.array(smooth, pa.float64()), "clipped": pa.array(held, pa.bool_()),
+            "begin_y": last(begin[0], pa.float64()), "begin_n": last(begin[1], pa.int64()), "end_y": last(end[0], pa.float64()), "end_n": last(end[1], pa.int64()),
+        }
+    )
+
+
+def stabilise_long(
+    rows: DataFrame, keys: list, config: SlewConfig = SlewConfig(), order: str = "row", block: int = BLOCK, lead: int = LEAD
+) -> DataFrame:
+    """What stabilise gives, exactly, with the blocks of a series on many tasks.
+
+    order numbers the rows of a key. Every block begins with a guess, the filter run over the `lead` rows before it: the
+    filter forgets its start, so nearly all guesses are the true state to the last bit. Each block's start is then compared with the
+    end of the block before, and only blocks that disagree run again, from that end, until none does. A series of which blocks still
+    disagree after ROUNDS rounds (its values stand in the dead zone for long, so that nothing is forgotten) is filtered whole. Rounds are
+    checkpoints in the shared folder."""
+    d = rows.select(*keys, order, "mu", "sigma").withColumn("block", F.floor(F.col(order) / block))
+    kinds = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in [*keys, order])
+    shape = f"{kinds}, block long, mu_smooth double, clipped boolean, begin_y double, begin_n long, end_y double, end_n long"
+    none = {"given": F.lit(False), "from_y": F.lit(None).cast("double"), "from_n": F.lit(None).cast("long")}
+    ahead = d.where(F.pmod(F.col(order), F.lit(block)) >= block - lead).withColumn("block", F.col("block") + 1)
+    both = d.withColumn("lead", F.lit(False)).unionByName(ahead.withColumn("lead", F.lit(True))).withColumns(none)
+    run = _block_filter(config, keys, order)
+    done = [checkpointed(both.groupBy(*keys, "block").applyInArrow(run, shape))]
+    at = F.struct(*keys, "block").alias("at")
+    edges = done[0].where("end_n is not null").select(at, "begin_y", "begin_n", "end_y", "end_n")
+    w = Window.partitionBy(*[F.col(f"at.{k}") for k in keys]).orderBy("at.block")
+    settled = F.lit(config.warm)
+    again, whole = [], None
+    while True:
+        ends = edges.withColumn("from_y", F.lag("end_y").over(w)).withColumn("from_n", F.lag("end_n").over(w))
+        same = F.col("from_y").eqNullSafe(F.col("begin_y")) & (F.least("from_n", settled) == F.least("begin_n", settled))
+        wrong = checkpointed(ends.where(F.col("from_n").isNotNull() & ~same).select("at", "from_y", "from_n"))
+        if not wrong.limit(1).count():
+            break
+        if len(done) > ROUNDS:
+            whole = wrong.select(F.struct(*[F.col(f"at.{k}") for k in keys]).alias("own")).distinct()
+            break
+        rerun = d.withColumn("at", F.struct(*keys, "block")).join(wrong, "at").drop("at")
+        rerun = rerun.withColumn("lead", F.lit(False)).withColumn("given", F.lit(True))
+        done.append(checkpointed(rerun.groupBy(*keys, "block").applyInArrow(run, shape)))
+        again.append(wrong.select("at"))
+        new = done[-1].where("end_n is not null").select(at, "begin_y", "begin_n", "end_y", "end_n")
+        edges = checkpointed(edges.join(wrong.select("at"), "at", "left_anti").unionByName(new))
+    out = None
+    for k, table in enumerate(done):  # of each block, its last run
+        table = table.withColumn("at", F.struct(*keys, "block"))
+        for later in again[k:]:
+            table = table.join(later, "at", "left_anti")
+        table = table.select(*keys, order, "mu_smooth", "clipped")
+        out = table if out is None else out.unionByName(table)
+    if whole is not None:
+        own = lambda x: x.withColumn("own", F.struct(*keys))
+        kept = own(out).join(whole, "own", "left_anti").drop("own")
+        out = kept.unionByName(stabilise(own(d).join(whole, "own", "left_semi").drop("own"), keys, config, order))
+    return out
+
+
 def stability_report(rows: DataFrame, keys: list, column: str, limit: float = 0.08, order: str = "row") -> DataFrame:
     step = F.abs(F.col(column) - F.lag(column).over(Window.partitionBy(*keys).orderBy(order)))
     d = rows.withColumn("step", step)

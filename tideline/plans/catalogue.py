@@ -370,6 +370,14 @@ def q_stability(spark, sf_dir):
     return rounded(d.select("series", "ts", "mu_smooth", "clipped"), ["mu_smooth"])
 
 
+@query(sql.query("SELECT series, ts, round(mu_smooth, 6) + 0.0 AS mu_smooth, clipped FROM st", sql.FORECASTS, sql.stability(), recursive=True))
+def q_stability_blocks(spark, sf_dir):
+    """The filter of blocks side by side; short ones, so that some begin with a wrong guess and run again."""
+    f = forecasts(spark, sf_dir)
+    d = f.select("series", "row", "ts").join(stability.stabilise_long(f, ["series"], block=256, lead=64), ["series", "row"])
+    return rounded(d.select("series", "ts", "mu_smooth", "clipped"), ["mu_smooth"])
+
+
 REPORT = """SELECT series, round(coalesce(avg(d), 0.0), 6) AS jitter, round(coalesce(max(d), 0.0), 6) AS max_slew, round(coalesce(avg(CASE WHEN d IS NULL THEN NULL WHEN d > 0.08 THEN 1.0 ELSE 0.0 END), 0.0), 6) AS breaches, count(*) AS n
 FROM (SELECT *, abs(mu - lag(mu) OVER (PARTITION BY series ORDER BY row)) AS d FROM fc) GROUP BY 1"""
 
