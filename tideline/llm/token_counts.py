@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .shared import durable, placed, scratch
 
-#: Pieces whose counts a worker remembers before it starts afresh; texts in hand at a time.
+#: Pieces whose counts a worker remembers before they age (those used again stay), twice; texts in hand at a time.
 REMEMBERED, STEP = 1 << 19, 64
 CACHE = "tokenizer string, digest binary, n_tokens long"
 
@@ -70,8 +70,8 @@ def _encoder(path, version, pieces):
         # Workers serve many tasks: the tokenizer and the pieces stay for the next one.
         kept = sys.modules.setdefault("tideline_worker", types.ModuleType("tideline_worker")).__dict__
         if kept.get("version") != version:
-            kept.update(version=version, count=load(), known={})
-        count, known = kept["count"], kept["known"]
+            kept.update(version=version, count=load(), known={}, aged={})
+        count, known, aged = kept["count"], kept["known"], kept["aged"]
         for batch in batches:
             n = []
             for lo in range(0, batch.num_rows, STEP):
@@ -80,13 +80,16 @@ def _encoder(path, version, pieces):
                     n += count(texts)
                     continue
                 split = [t.encode().split() for t in texts]
-                new = list({w for words in split for w in words if w not in known})
+                missing = {w for words in split for w in words if w not in known}
+                known.update((w, aged[w]) for w in missing if w in aged)
+                new = [w for w in missing if w not in aged]
                 for at in range(0, len(new), 4096):
                     part = new[at : at + 4096]
                     known.update(zip(part, count([w.decode() for w in part])))
                 n += [sum(map(known.__getitem__, words)) for words in split]
                 if len(known) > REMEMBERED:
-                    known.clear()
+                    aged, known = known, {}
+                    kept.update(known=known, aged=aged)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64())], names=["digest", "n_tokens"])
 
     return run
