@@ -1,6 +1,6 @@
 """Query plans of the time-series engine, by name, and their SQL."""
 
-from . import catalogue, stores, streams  # noqa: F401  these add their queries to the catalogue
+from . import catalogue, learning, stores, streams  # noqa: F401  these add their queries to the catalogue
 
 
 def queries() -> dict:
