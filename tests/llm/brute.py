@@ -74,8 +74,9 @@ def brute_leak(doc, item):
 
 
 def leaks_of(docs, items):
-    docs, items = [(i, marked_words(t)) for i, t in docs if t], [(k, marked_words(t)) for k, t in items if t]
-    return {(i, k, words) for i, d in docs for k, it in items if it and (words := brute_leak(d, it))}
+    """(doc, item, words) of all leaks; an item is looked for as it is and without capitals."""
+    docs, items = [(i, marked_words(t)) for i, t in docs if t], [(k, marked_words(t), marked_words(t.lower())) for k, t in items if t]
+    return {(i, k, words) for i, d in docs for k, *forms in items if forms[0] and (words := max(brute_leak(d, it) for it in forms))}
 
 
 def brute_components(texts):

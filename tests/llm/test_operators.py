@@ -175,14 +175,16 @@ def test_decontamination(spark, docs, local, data, odd, empty):
         # a word put in: neither side is long enough alone
         question.replace("and 12 green", "and exactly 12 green"),
         "they asked: what weighs more than gold? nobody knew", "short one", "a short one here", "set 1 2 3 4 5 6 7 8 9 10 end", "set 1 2 3 4 5 6 7 9 8 10 end", None, "", "#n=3 = _ # %",
+        # whole items without their capitals, or all in capitals, and with other numbers
+        ("so then " + question).lower(), "SEE: " + question.upper(), ("Then " + question).replace("12", "31").lower(), long_item.upper().replace("12 SIEVES", "14 SIEVES"),
     ]
     frame = spark.createDataFrame([(None if k == 3 else k, t) for k, t in enumerate(texts)], "doc_id long, text string")
     bench = spark.createDataFrame([(k, t, "z") for k, t in items], "item_id long, text string, kept string")
     out = decontaminate(frame.unionByName(frame.where("doc_id = 0")), bench).collect()
     got = {(3 if r.doc_id is None else r.doc_id, r.item_id, r.matched_words) for r in out}
     assert got == leaks_of(enumerate(texts), items) and len(out) == len(got)
-    assert {(i, k) for i, k, _ in got} == {(0, 1), (3, 1), (4, 1), (5, 6), (6, 1), (7, 4), (8, 3), (10, 5)}
-    assert {r.doc_id for r in out if r.verbatim} == {None, 5, 6, 7, 8, 10}
+    assert {(i, k) for i, k, _ in got} == {(0, 1), (3, 1), (4, 1), (5, 6), (6, 1), (7, 4), (8, 3), (10, 5), (15, 1), (16, 1), (17, 1), (18, 6)}
+    assert {r.doc_id for r in out if r.verbatim} == {None, 5, 6, 7, 8, 10, 15, 16, 18}
     assert decontaminate(odd, bench).count() == 0 and decontaminate(empty, bench).count() == 0
     assert decontaminate(frame, bench.limit(0)).count() == 0
 
@@ -499,6 +501,29 @@ def test_license_scan_of_wrapped_texts(spark):
         assert (r.text_digest, r.license_id, r.n_notices, r.notices) == (digest, license_id, n, notices)
 
 
+def test_license_scan_of_dressed_texts(spark):
+    """Headings, identifier lines, copyright lines that go on, curly quotes and dashes: by Spark and by SQL."""
+    heads = [
+        "# License\n\n", "LICENSE\n=======\n\nMIT License\n\n", "Copyright (c) 2021 Jane Doe, John Doe,\n  and contributors\n\n", "Copyright \u00a9 2020 A &\nB Company\n\n",
+        "\u2014\u2014\u2014\n", "\u201cLicense\u201d\n",
+    ]
+    curly = lambda t: t.replace(' "', " \u201c").replace('("', "(\u201c").replace('"', "\u201d").replace("'", "\u2019")
+    ids = {n: f"SPDX-License-Identifier: {n}\n\n" for n, _ in LICENSES}
+    rows = [(n, h + f(t)) for n, t in LICENSES for h in [*heads, ids[n], "# License\n" + ids[n]] for f in (str, curly)]
+    rows += [(None, "License"), (None, "# License\n\nCopyright (c) 2021 Jane,\nand others"), (None, "License " + LICENSES[0][1] + " \u00e9"), ("MIT", "SPDX-License-Identifier: MIT")]
+    frame = spark.createDataFrame([(k, t) for k, (_, t) in enumerate(rows)], "doc_id long, text string")
+    got = {r.doc_id: r for r in scan_licenses(frame).collect()}
+    assert [(name, rows[k][1][:40]) for k, (name, _) in enumerate(rows) if got[k].license_id != name] == []
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", [(k, t) for k, (_, t) in enumerate(rows)])
+    for doc_id, digest, license_id, n, notices in con.execute(q.op8_sql()).fetchall():
+        r = got[doc_id]
+        assert (r.text_digest, r.license_id, r.n_notices, r.notices) == (digest, license_id, n, notices)
+
+
 def test_license_digests(spark):
     """Long texts, where this machine has them, against the fixed digests."""
     names = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}

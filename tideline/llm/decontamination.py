@@ -5,6 +5,8 @@ with other numbers or names keeps its template; a name of several words is one p
 template words of both sides are hash-joined; windows of one document and item at one offset make runs. A run counts if
 its slots are consistent: each value of the item stands for one value in the document; where they aren't, its
 verbatim stretches do. Runs at neighbouring offsets (a word put in or left out) add up. What covers enough words is a leak.
+Names are known by their capitals, which texts all in lower or upper case don't have: every item with names therefore has a second form, whose
+names are plain words. Documents have one form, so this costs them nothing.
 
 Scale: DataFrame functions alone. A document's windows are hashed in its row; the benchmark's
 windows are broadcast only if a count shows them to be at most BROADCAST_WINDOWS, else both sides are
@@ -80,8 +82,8 @@ def decontaminate(
     item_col: str = "item_id",
     item_text_col: str = "text",
 ) -> DataFrame:
-    """Leaks, a row for each document (id and text) and item: doc_id, item_id, matched_words (of the item),
-    item_words, slots (in them), verbatim (no slot has another value), row_key (row_key of id and text).
+    """Leaks, a row for each document (id and text) and item: doc_id, item_id, matched_words (of the item, in the
+    form of it that covers most), item_words (of that form), slots (in the matched words), verbatim (no slot has another value), row_key (row_key of id and text).
 
     A leak covers at least LEAK_WORDS words of the item, or all but one of a shorter item (its first word is
     taken for a name where it follows on a sentence). Items of fewer than WINDOW words leak only with the
@@ -92,8 +94,9 @@ def decontaminate(
     values; a text of any length is matched whole, in its row; empty tables give an empty result; other columns are ignored."""
     i = F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("i")
     rows = docs.where(F.col(text_col).isNotNull()).select(i, F.col(text_col).alias("x"), row_key(id_col, text_col).alias("g"))
-    items = benchmark.where(F.col(item_text_col).isNotNull()).select(F.col(item_col).alias("item"), valued(F.col(item_text_col)).alias("y"))
-    items = items.select("item", tokens(F.col("y")).alias("iv"), template(F.col("y")).alias("c"))
+    forms = F.posexplode(F.array_distinct(F.array(valued(F.col(item_text_col)), valued(F.lower(F.col(item_text_col))))))
+    items = benchmark.where(F.col(item_text_col).isNotNull()).select(F.col(item_col).alias("id"), forms.alias("form", "y"))
+    items = items.select(F.struct("id", "form").alias("item"), tokens(F.col("y")).alias("iv"), template(F.col("y")).alias("c"))
     items = durable(items.withColumn("n", F.size("c")).where("n > 0"))
     hashed = items.where(F.col("n") >= WINDOW).select("item", "n", "c", "iv", F.posexplode(window_hashes(F.col("c"), WINDOW)).alias("at", "w"))
     slots = F.size(F.filter(F.slice("c", F.col("at") + 1, WINDOW), lambda w: w.startswith("#")))
@@ -167,7 +170,7 @@ def decontaminate(
     pairs = F.flatten(F.transform("runs", lambda r: F.transform(r["p"], lambda j: F.struct(F.get("iv", j).alias("a"), F.get("dv", j + r["shift"]).alias("b")))))
     changed = F.size(F.filter(pairs, lambda x: ~x["a"].eqNullSafe(x["b"])))
     n_slots = F.size(F.filter("cover", lambda j: F.get("iv", j).startswith("#")))
-    good = both.where(F.size("cover") >= F.col("need")).select("i", "g", "item", "n", F.size("cover").alias("words"), n_slots.alias("slots"), changed.alias("changed"))
+    good = both.where(F.size("cover") >= F.col("need")).select("i", "g", F.col("item.id").alias("item"), "n", F.size("cover").alias("words"), n_slots.alias("slots"), changed.alias("changed"))
     best = good.groupBy("i", "g", "item").agg(F.max(F.struct("words", (-F.col("changed")).alias("same"), "slots", "n")).alias("m"))
     release(probes)
     return best.select(

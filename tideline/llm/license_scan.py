@@ -14,17 +14,18 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .license_texts import DIGESTS, LICENSES, NOTICES, SPELLINGS, TITLES
+from .license_texts import DIGESTS, IDENTIFIERS, LICENSES, NOTICES, SPELLINGS, TITLES
 from .shared import let
 
 MOST_KNOWN = 100_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-#: A line is a copyright line if a year, a mark or a blank to fill in follows, or if it stands above the body.
-COPYRIGHT = r"(^|\n)[^a-z0-9\n]*(?:copyright[ \t]*(?:\(c\)|\xA9|[\[<{]|[12][0-9]{3})|\(c\)[ \t]*[12][0-9]{3}|\xA9)[^\n]*"
+#: A line is a copyright line if a year, a mark or a blank to fill in follows, or if it stands above the body; it goes
+#: on with the next line where it ends with a comma, "and" or "&" and a letter follows.
+COPYRIGHT = r"(^|\n)[^a-z0-9\n]*(?:copyright[ \t]*(?:\(c\)|\xA9|[\[<{]|[12][0-9]{3})|\(c\)[ \t]*[12][0-9]{3}|\xA9)(?:[^\n]*(?:,| and|&)[ \t\r]*\n[ \t]*[a-z])*[^\n]*"
 FIRST = r"^([^\n]{0,60}licen[sc]e[^\n]{0,60}\n)?\s*copyright[ \t][^\n]*\n"
-TITLE = "^(?:the )?(?:" + "|".join(TITLES) + ") ([a-z0-9])"
+TITLE = "^(?:(?:the )?(?:" + "|".join((*TITLES, *(f"spdx license identifier {x}" for x in IDENTIFIERS))) + ") )+([a-z0-9])"
 
 
 def spelled(text: Column) -> Column:
@@ -34,8 +35,9 @@ def spelled(text: Column) -> Column:
 
 
 def bare(text: Column) -> Column:
-    """Words alone in one spelling, one space between them, without a title or a reservation of rights."""
-    t = F.regexp_replace(F.concat(F.lit(" "), text, F.lit(" ")), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " ")
+    """Words alone (letters, marks and digits of any script) in one spelling, one space between them, without titles, identifier
+    lines or a reservation of rights."""
+    t = F.regexp_replace(F.concat(F.lit(" "), text, F.lit(" ")), r"[^\p{L}\p{M}\p{N}]+", " ")
     for other, word in SPELLINGS:
         t = F.replace(t, F.lit(other), F.lit(word))
     return F.regexp_replace(F.trim(F.replace(t, F.lit(" all rights reserved "), F.lit(" "))), TITLE, "$1")

@@ -106,14 +106,18 @@ LICENSES = (
     ("Zlib", _ZLIB),
 )
 
-#: Titles that a text may have above its body, as they stand in canonical form.
+#: Titles that a text may have above its body, several on end, as they stand in canonical form.
 TITLES = (
+    "license", "license text", "copying",
     "mit license mit", "mit license", "expat license", "isc license isc", "isc license", "bsd 2 clause license", "bsd 3 clause license",
     "bsd 2 clause simplified license", "bsd 3 clause new or revised license", "2 clause bsd license", "3 clause bsd license",
     "bsd zero clause license", "zero clause bsd license", "zero clause bsd", "bsd license", "new bsd license", "simplified bsd license",
     "unlicense", "boost software license version 1 0 august 17th 2003", "boost software license version 1 0", "zlib license",
 )
 
+#: Licences whose identifier line may stand above the body.
+IDENTIFIERS = ("mit", "isc", "0bsd", "bsd 2 clause", "bsd 3 clause", "unlicense", "bsl 1 0", "zlib")
+
 #: Digests of the canonical forms of long public texts, with and without what stands behind their terms.
 DIGESTS = (
     ("Apache-2.0", "04e64e0427d80fdde16fa8415931bf2c09bc943f13ec322a09df188bf23a3543"),

@@ -9,7 +9,7 @@ from .decontamination import decontaminate
 from .filter_audit import audit_filters
 from .language_id import identify_languages, train_language_id
 from .license_scan import scan_licenses
-from .license_texts import DIGESTS, LICENSES, NOTICES, SPELLINGS, TITLES
+from .license_texts import DIGESTS, IDENTIFIERS, LICENSES, NOTICES, SPELLINGS, TITLES
 from .lm_scoring import score_documents
 from .minhash import near_duplicates
 from .mixing import mix_sources
@@ -135,16 +135,16 @@ def _sql_text(x: str) -> str:
 
 def _spelled_sql(x: str) -> str:
     x = f"translate({x}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-    x = rf"regexp_replace({x}, '(^|\n)[^a-z0-9\n]*(?:copyright[ \t]*(?:\(c\)|©|[\[<{{]|[12][0-9]{{3}})|\(c\)[ \t]*[12][0-9]{{3}}|©)[^\n]*', '\1', 'g')"
+    x = rf"regexp_replace({x}, '(^|\n)[^a-z0-9\n]*(?:copyright[ \t]*(?:\(c\)|©|[\[<{{]|[12][0-9]{{3}})|\(c\)[ \t]*[12][0-9]{{3}}|©)(?:[^\n]*(?:,| and|&)[ \t\r]*\n[ \t]*[a-z])*[^\n]*', '\1', 'g')"
     x = rf"regexp_replace({x}, '^([^\n]{{0,60}}licen[sc]e[^\n]{{0,60}}\n)?[ \t-\r]*copyright[ \t][^\n]*\n', '\1')"
     return x
 
 
 def _digest_sql(x: str) -> str:
-    x = rf"regexp_replace(' ' || {x} || ' ', '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g')"
+    x = rf"regexp_replace(' ' || {x} || ' ', '[^\p{{L}}\p{{M}}\p{{N}}]+', ' ', 'g')"
     for other, word in SPELLINGS:
         x = f"replace({x}, {_sql_text(other)}, {_sql_text(word)})"
-    return rf"sha256(regexp_replace(trim(replace({x}, ' all rights reserved ', ' ')), {_sql_text('^(?:the )?(?:' + '|'.join(TITLES) + ') ([a-z0-9])')}, '\1'))"
+    return rf"sha256(regexp_replace(trim(replace({x}, ' all rights reserved ', ' ')), {_sql_text('^(?:(?:the )?(?:' + '|'.join((*TITLES, *('spdx license identifier ' + i for i in IDENTIFIERS))) + ') )+([a-z0-9])')}, '\1'))"
 
 
 def op8_sql() -> str:
