@@ -292,6 +292,55 @@ def test_balls_of_fingerprints_meet(spark, monkeypatch):
         assert {k: find(k) for k in range(len(d))} == want
 
 
+def test_crowded_halves_and_strangers(spark, monkeypatch):
+    """Fingerprints that share a half or nearly, most far from each other in the rest: compared, by balls, and some of both."""
+    rng = np.random.default_rng(5)
+    one = lambda b: np.uint64(1) << np.asarray(b, np.uint64)
+    rest = rng.integers(0, 1 << 32, 60, dtype=np.uint64)
+    high = np.uint64(0xDEADBEEF00000000)
+    prints = {int(high ^ r) for r in rest} | {int(high ^ r ^ one(rng.integers(0, 32)) ^ one(rng.integers(32, 64))) for r in rest[:30]}
+    prints |= {int(high ^ rest[0] ^ one(a) ^ one(b)) for a, b in itertools.combinations(range(0, 64, 5), 2)}  # dense: up to 4 apart
+    prints |= {int(f) for f in (rest << np.uint64(32)) ^ np.uint64(77)} | {(1 << 63), 0, (1 << 64) - 1}
+    rows = list(enumerate(sorted(prints)))
+    df = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f,) for _, f in rows], "f long")
+    want = collections.defaultdict(set)
+    for (_, f), (_, _, c) in zip(rows, brute_classes(rows)):
+        want[c].add(f)
+    for crowd in (1024, 70, 3, 1):
+        monkeypatch.setattr(simhash, "CROWD", crowd)
+        links = [(r.u & (1 << 64) - 1, r.v & (1 << 64) - 1) for r in near_fingerprints(df).collect()]
+        assert len(set(links)) == len(links) and all(0 < (u ^ v).bit_count() <= 4 for u, v in links)
+        near = collections.defaultdict(set)
+        for u, v in links:
+            near[u].add(v)
+            near[v].add(u)
+        for own in want.values():
+            seen, todo = set(), [min(own)]
+            while todo:
+                if (f := todo.pop()) not in seen:
+                    seen.add(f)
+                    todo += near[f]
+            assert seen == own
+
+
+def test_fingerprints_send_few_bytes(spark):
+    """What one fingerprint writes to shuffle files doesn't fill the disks: it was 16 kB."""
+    n = 9000
+    prints = np.random.default_rng(6).integers(-(1 << 63), 1 << 63, n, dtype=np.int64)
+    df = spark.createDataFrame([(int(f),) for f in prints], "f long")
+    store = spark.sparkContext._jsc.sc().statusStore()
+    spark.sparkContext.setJobGroup("few bytes", "")
+    try:
+        assert near_fingerprints(df).count() == 0
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    tracker = spark.sparkContext.statusTracker()
+    stages = {s for j in tracker.getJobIdsForGroup("few bytes") for s in tracker.getJobInfo(j).stageIds}
+    written = sum(store.lastStageAttempt(s).shuffleWriteBytes() for s in stages)
+    assert 0 < written < 1000 * n
+
+
 def test_flips_and_majority():
     f = simhash.FLIPS
     assert len(f) == len(set(f.tolist())) == 2081 and int(np.bitwise_count(f).max()) == 2
